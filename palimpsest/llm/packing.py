@@ -12,38 +12,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, tasks_for, text_slices, texts_of
+from .common import materialize, tasks_for, text_slices
 from .words import WordIds
 
 #: Buckets of a hashed document vector, and dimensions and bits of each of its projection.
-BUCKETS, DIMS, BITS = 1024, 3, 16
+BUCKETS, DIMS, BITS = 1 << 10, 3, 16
+
+
+#: Byte-level models see each byte as a character: printable ones as themselves, the others from 256 on, in order.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class Encoder:
+    """Ids of a word by a tokenizer file: pieces that are plain are handed to its model at once, others go its whole way."""
+
+    def __init__(self, tokenizer_file: str):
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.marks = self.tokenizer.model, {}
+
+    def whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        out, tokenize, marks = [], self.model.tokenize, self.marks
+        for word in words:
+            if not word:
+                out.append([])
+                continue
+            plain = word.isascii()
+            if plain and word.isalpha() and word.islower():
+                out.append([t.id for t in tokenize(word)])
+                continue
+            if plain or max(word) <= "\xff":
+                word = word.lower()
+                last = "" if word.isalpha() else word[-1]
+                head = word[:-1] if last else word
+                if not last or last in ".,;:!?|" and head.isalpha():
+                    ids = [t.id for t in tokenize(head if plain else head.encode().decode("latin-1").translate(_BYTES))]
+                    if last:
+                        if last not in marks:
+                            marks[last] = self.whole(last)
+                        ids += marks[last]
+                    out.append(ids)
+                    continue
+            out.append(self.whole(word))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
 def _words(tokenizer_file: str) -> WordIds:
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return WordIds(lambda new: [e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)])
+    return WordIds(Encoder(tokenizer_file))
 
 
-def _chunks(text: str) -> list[str]:
-    for gap in "\t\n\r":
-        if gap in text:
-            text = text.replace(gap, " ")
-    return text.split(" ")
-
-
-def token_ids(texts: list[str], tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: pa.Array, tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the texts in a row, and each text's count, as tokenizers gives them for the whole texts.
 
-    For tokenizers that normalize character by character, drop white space and split there, such as the word-end BPE files.
+    For tokenizer files that compose and lower-case characters, drop white space, split there and between letters, digits and
+    other signs, and have a byte-level model with word ends.
     """
-    known = _words(tokenizer_file)
-    parts = [_chunks(t) for t in texts]
-    flat, lens = known.ids(known.numbers([w for p in parts for w in p]))
-    ends = np.concatenate([[0], np.cumsum(lens)])
-    upto = np.cumsum([len(p) for p in parts])
-    return flat, np.diff(np.concatenate([[0], ends[upto]]))
+    return _words(tokenizer_file).of_texts(texts, lower=True)
 
 
 @functools.lru_cache(maxsize=1)
@@ -78,7 +107,7 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 def curve_keys(flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Each text's place on the curve: token counts hashed to BUCKETS, unit length, projected to DIMS, cut to a grid."""
     rows = np.repeat(np.arange(len(lens)), lens)
-    counts = np.bincount(rows * BUCKETS + flat.astype(np.int64) * 2654435761 % BUCKETS, minlength=len(lens) * BUCKETS).reshape(len(lens), BUCKETS).astype(np.float64)
+    counts = np.bincount(rows * BUCKETS + (flat.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(22)).astype(np.int64), minlength=len(lens) * BUCKETS).reshape(len(lens), BUCKETS).astype(np.float64)
     counts /= np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1.0)
     placed = np.clip((counts @ _projection()) / 8 + 0.5, 0, 1) * ((1 << BITS) - 1)
     return hilbert_key(placed.astype(np.int64))
@@ -91,7 +120,7 @@ def tokenize(df: DataFrame, tokenizer_file: str, end_id: int, id: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            flat, lens = token_ids(texts_of(batch, "text"), tokenizer_file)
+            flat, lens = token_ids(batch.column("text"), tokenizer_file)
             keys, ends = curve_keys(flat, lens), np.cumsum(lens)
             out = np.insert(flat, ends, end_id).astype("<u2").tobytes()
             stops = 2 * (ends + np.arange(1, len(lens) + 1))

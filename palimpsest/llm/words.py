@@ -1,20 +1,37 @@
-"""Subword ids word by word: each distinct word is tokenized once and its ids are gathered with numpy."""
+"""Words by number: the words of many texts are found and told apart by Arrow, and only distinct ones reach Python."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct words that a worker keeps.
-MOST_WORDS = 300_000
+MOST_WORDS = 400_000
+
+
+def distinct_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the number of each word of all texts, in a row, and each text's count of words. Words lie between the six ASCII
+    white-space characters; null texts have none. lower: A-Z become a-z first."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = lists.flatten().dictionary_encode()
+    found, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    if "" in found:  # before a leading and after a trailing gap
+        real = numbers != found.index("")
+        counts = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(counts)])])
+        numbers = numbers[real]
+    return found, numbers, counts
 
 
 class WordIds(dict):
     """Word -> number; ids of word k are flat[starts[k] : starts[k] + lens[k]].
 
-    `encode` turns a list of new words into a list of id lists. It's right wherever a tokenizer treats the words of a text
-    independently of each other, and white space only parts them.
+    `encode` turns new words into lists of ids. It's right wherever a tokenizer treats the words of a text independently of
+    each other, and white space only parts them.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]]):
@@ -24,9 +41,7 @@ class WordIds(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.new: list[str] = []
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.starts, self.lens, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def __missing__(self, word: str) -> int:
         self[word] = k = len(self)
@@ -37,6 +52,7 @@ class WordIds(dict):
         """The words' numbers; new words are tokenized."""
         if len(self) > MOST_WORDS:
             self.reset()
+        self.new: list[str] = []
         found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
             got = self.encode(self.new)
@@ -50,7 +66,6 @@ class WordIds(dict):
             self.lens[first : len(self)] = lens
             self.starts[first : len(self)] = self.used + np.cumsum(lens) - lens
             self.used += total
-            self.new = []
         return found
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,3 +74,9 @@ class WordIds(dict):
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.starts[numbers] - ends + lens, lens) + np.arange(total)], lens
+
+    def of_texts(self, texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, in a row, and each text's count of ids."""
+        words, numbers, counts = distinct_words(texts, lower)
+        flat, lens = self.ids(self.numbers(words)[numbers])
+        return flat, np.diff(np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])])
