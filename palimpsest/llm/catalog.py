@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, tokens
+from . import caps, extraction, language, minhash, packing, private, quality, scoring, sharding, tokens
 
 #: Equal shards of production, and as many and one.
 SHARDS = 24
@@ -18,6 +18,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Key of the pseudonyms; a deployment passes its own secret.
+PSEUDONYM_KEY = b"palimpsest-example-key"
+
+
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -32,6 +40,25 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "removed")
+
+
+def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), "pii")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language.identify(docs).select("doc_id", "lang", "source", "language", "confidence", "text_language", "kept")
+
+
+def op7_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return scoring.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, held)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = tokens.encode(_table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
@@ -39,13 +66,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_quality, op8_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_extraction, op5_private, op6_language, op7_attention, op8_byte_bpe, op9_caps, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,19 +43,40 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of a table that may be broadcast, and copies of it, one for each salt, if it has more.
+BROADCAST_ROWS, SALTS = 50_000, 64
+
+
+def join_small(rows: DataFrame, table: DataFrame, keys: list[str], salt: list[str]) -> DataFrame:
+    """rows left join table on equal keys (null equals null); table has one slim row for each key.
+
+    Counted: up to BROADCAST_ROWS rows it is broadcast. Beyond, each of its rows is copied to SALTS salts and `rows` dealt
+    by a hash of the `salt` columns, so that a hot key is spread.
+    """
+    table = table.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(c for c in table.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), same, "left").drop(*(f"__k_{k}" for k in keys))
+    table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__pick", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
+    return rows.join(table, same & (F.col("__pick") == F.col("__salt")), "left").drop("__pick", "__salt", *(f"__k_{k}" for k in keys))
+
+
 def tasks_for(total_bytes: int, each: int = 16 << 20, least: int = 12) -> int:
     """So many tasks that each gets about `each` bytes."""
     return max(least, -(-int(total_bytes or 0) // each))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `limit` bytes of `column`; a longer text is alone in its slice."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))), start + SLICE_ROWS)
+            stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))), start + rows)
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -65,14 +86,6 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def split_words(text: str) -> list[str]:
-    """Words between runs of the six white-space characters."""
-    for gap in "\t\n\x0b\x0c\r":
-        if gap in text:
-            text = text.replace(gap, " ")
-    return [w for w in text.split(" ") if w]
-
-
 def connect(edges: DataFrame, label: str) -> DataFrame:
     """Connected classes of undirected links (a long, b long): rows (id, root), root the smallest id reachable.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, materialize
+from .common import WORD_GAP, join_small, materialize
 
 SYMBOLS = "[#*$%&|<>]"
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -26,13 +26,11 @@ class Rule:
 
 
 #: Metrics are whole numbers, in thousandths.
-RULES = (Rule("symbols_pm", 6, 30), Rule("dup_lines_pm", 6, 400), Rule("repeats_pm", 6, 150), Rule("word_length_pm", 8, 4000, low=True))
+RULES = (Rule("symbols_pm", 6, 30), Rule("dup_lines_pm", 6, 400), Rule("repeats_pm", 6, 200), Rule("word_length_pm", 8, 4000, low=True))
 #: Buckets of a sketch for each metric: thousandths in steps of 5 up to this many.
 STEP, MOST = 5, 4000
 #: Rows of the base checks that a (language, source) needs for its own fences; else its language's, else all rows' fences hold.
 GROUP_ROWS = 200
-#: Groups whose fences may be broadcast (under 200 bytes each), and copies of each group's fences beyond that.
-BROADCAST_GROUPS, SALTS = 50_000, 64
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
@@ -112,19 +110,13 @@ def fit(measured: DataFrame, lang: str = "lang", source: str = "source", rules:
 
 
 def apply(measured: DataFrame, chosen: DataFrame, lang: str = "lang", source: str = "source", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """measured with kept boolean. Up to BROADCAST_GROUPS groups (counted) their fences are broadcast; beyond, they are
-    copied to each salt of a salted join, so that a hot source is spread."""
-    same = F.col(lang).eqNullSafe(F.col("__gl")) & F.col(source).eqNullSafe(F.col("__gs"))
-    if chosen.count() <= BROADCAST_GROUPS:
-        joined = measured.join(F.broadcast(chosen), same, "left")
-    else:
-        salted = chosen.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = measured.withColumn("__pick", F.pmod(F.xxhash64("word_chars", "n_words", "n_symbols", "n_repeat_words"), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, same & (F.col("__pick") == F.col("__salt")), "left").drop("__pick", "__salt")
+    """measured with kept boolean. The fences are few numbers a group; see join_small()."""
+    chosen = chosen.withColumnsRenamed({"__gl": lang, "__gs": source})
+    joined = join_small(measured, chosen, [lang, source], ["word_chars", "n_words", "n_symbols", "n_repeat_words"])
     fits = ~F.col("base_failed")
     for r in rules:
         fits &= F.coalesce(_metrics()[r.metric].between(F.col(f"__low_{r.metric}"), F.col(f"__high_{r.metric}")), F.lit(True))
-    return joined.withColumn("kept", fits).drop(*chosen.columns, "__n_lines")
+    return joined.withColumn("kept", fits).drop(*(c for c in chosen.columns if c[:2] == "__"), "__n_lines")
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry_text: bool = True, rules: tuple[Rule, ...] = RULES, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import quality, sharding
+from palimpsest.llm import common, quality, sharding
 
 
 def test_rendezvous_moves_only_into_the_new_shard(spark):
@@ -68,7 +68,7 @@ def documents(spark):
 
 @pytest.mark.parametrize("broadcast", [50_000, 0])
 def test_adaptive_fences(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(quality, "BROADCAST_GROUPS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     got = {r.doc_id: r.kept for r in quality.judge(documents(spark)).collect()}
     assert len(got) == 633
     assert all(got[i] for i in range(600)) and not any(got[1000 + i] for i in range(30))
