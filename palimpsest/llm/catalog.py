@@ -80,4 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return {"op1_minhash": oracles.minhash(), "op2_sharding": oracles.sharding(SHARDS), "op3_quality": oracles.quality(), "op9_caps": oracles.caps()}

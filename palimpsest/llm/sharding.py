@@ -29,7 +29,7 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[fl
     """df with shard int, slot long (gapless from 0 in its shard) and, if `grown` weights are given, grown_shard int.
 
     The shard depends on the key's string form alone, so it is stable across runs; a null key counts as the key
-    '\\\\N'. Slots number the rows of a shard by a hash bucket of the key, then key, then the `tie` columns; rows equal in all
+    '\\\\N'. Slots number the rows of a shard by a hash bucket of key and ties, then key, then the `tie` columns; rows equal in all
     of them may swap slots. Shards are numbered bucket by bucket and the buckets' counts summed up, so a shard of any
     size is never sorted in one task. Empty table: no rows. Columns named shard, slot or grown_shard are replaced.
     """
@@ -39,7 +39,8 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[fl
     if grown is not None:
         out = out.withColumn("grown_shard", shard_of(shown, grown))
     n_buckets = max(64, df.count() // (bucket_rows * len(weights)))
-    out = out.withColumn("__bucket", F.pmod(F.xxhash64(shown, *tie), F.lit(n_buckets)))
+    spread = F.concat_ws(":", shown, *(F.col(c).cast("string") for c in tie))
+    out = out.withColumn("__bucket", F.conv(F.substring(F.md5(spread), 1, 8), 16, 10).cast("long") % n_buckets)
     counts = out.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
