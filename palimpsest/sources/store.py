@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 import uuid
+from collections import Counter
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +20,7 @@ from ..operators import log as reads
 from ..operators import runs as cuts
 from ..operators.log import LOG_SCHEMA
 from .files import Files
+from .runfile import Run, RunReader, read_logs, write_run
 
 
 class Conflict(RuntimeError):
@@ -35,27 +38,6 @@ class Config:
     bloom: bool = True
 
 
-@dataclass(frozen=True)
-class Run:
-    """What is known about a run without reading it."""
-
-    id: int
-    path: str
-    entry_count: int
-    min_key: str
-    max_key: str
-    min_seq: int
-    max_seq: int
-    bytes: int
-
-    def might_contain(self, key: bytes) -> bool:
-        return base64.b64decode(self.min_key) <= key <= base64.b64decode(self.max_key)
-
-    def overlaps(self, low: bytes | None, high: bytes | None) -> bool:
-        """Whether it may hold keys with low <= key < high."""
-        return (low is None or base64.b64decode(self.max_key) >= low) and (high is None or base64.b64decode(self.min_key) < high)
-
-
 @dataclass(frozen=True)
 class Segment:
     path: str
@@ -90,6 +72,8 @@ class Store:
         for folder in ("manifest", "runs", "wal"):
             self.files.make(folder)
         self.manifest = self._newest()
+        #: What this object has done: batches, flushes, compactions, entries written to the log and to runs.
+        self.metrics: Counter[str] = Counter()
 
     @staticmethod
     def open(spark: SparkSession, path: str = "./data", **options) -> Store:
@@ -180,6 +164,7 @@ class Store:
                 self._commit(replace(old, marks=marks))
             return old.next_seq, old.next_seq - 1
         segment = Segment(path, seen.n, seen.bytes, seen.high)
+        self.metrics.update(batches=1, entries_in_log=seen.n)
         self._commit(replace(old, next_seq=max(old.next_seq, seen.high + 1), segments=(*old.segments, segment), marks=marks))
         self.maybe_flush()
         return seen.low, seen.high
@@ -197,23 +182,15 @@ class Store:
             return False
         new = self._write_run(self._read([s.path for s in old.segments]).dropDuplicates(["key", "seq"]), old.next_run)
         self._commit(replace(old, runs=(new, *old.runs), segments=(), next_run=old.next_run + 1))
+        self.metrics["flushes"] += 1
         for s in old.segments:
             self.files.delete(s.path)
         return True
 
     def _write_run(self, rows: DataFrame, number: int) -> Run:
-        path = f"runs/{number:012d}-{uuid.uuid4().hex}"
-        size = rows.agg(F.sum(cuts.entry_bytes())).first()[0] or 0
-        parts = max(1, -(-size // self.config.file_bytes))
-        # By key and seq, so that a key with very many versions is spread over files too.
-        sorted_rows = rows.repartitionByRange(parts, F.asc("key"), F.desc("seq")).sortWithinPartitions(F.asc("key"), F.desc("seq"))
-        writer = sorted_rows.write.option("compression", self.config.compression)
-        if self.config.bloom:
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true")
-        writer.parquet(f"{self.config.path}/{path}")
-        seen = cuts.run_meta(self._read([path]).withColumn("run", F.lit(number))).first()
-        text = lambda b: base64.b64encode(bytes(b)).decode()
-        return Run(number, path, seen.entry_count, text(seen.min_key), text(seen.max_key), seen.min_seq, seen.max_seq, seen.bytes)
+        run = write_run(rows, self.config.path, f"runs/{number:012d}-{uuid.uuid4().hex}", number, self.config.file_bytes, self.config.compression, self.config.bloom)
+        self.metrics["entries_in_runs"] += run.entry_count
+        return run
 
     def compact(self, runs: list[int] | None = None) -> Run | None:
         """Puts runs (all by default) together as one with the newest versions only. Tombstones go only if these are all runs and nothing is
@@ -227,10 +204,25 @@ class Store:
         empty = rows.isEmpty()
         new = None if empty else self._write_run(rows, old.next_run)
         self._commit(replace(old, runs=(*([new] if new else []), *(r for r in old.runs if r not in chosen)), next_run=old.next_run + 1))
+        self.metrics["compactions"] += 1
         for r in chosen:
             self.files.delete(r.path)
         return new
 
+    def compact_tiers(self, fan: int = 4) -> int:
+        """Puts together runs of like size, `fan` or more, tier by tier, until no tier has so many; returns how often. Each version is
+        rewritten about once a tier, not once a flush."""
+        done = 0
+        while True:
+            tiers: dict[int, list[int]] = {}
+            for r in self.manifest.runs:
+                tiers.setdefault(int(math.log(max(r.bytes, 1), fan)), []).append(r.id)
+            full = next((ids for _, ids in sorted(tiers.items()) if len(ids) >= fan), None)
+            if full is None:
+                return done
+            self.compact(full)
+            done += 1
+
     def collect_garbage(self) -> list[str]:
         """Deletes what the current manifest doesn't name: remains of writes that failed. Not while another writes."""
         named = {p.path for p in (*self.manifest.runs, *self.manifest.segments)}
@@ -243,9 +235,7 @@ class Store:
     # Reads
 
     def _read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(*(f"{self.config.path}/{p}" for p in paths))
+        return read_logs(self.spark, [f"{self.config.path}/{p}" for p in paths])
 
     def log(self, low: bytes | None = None, high: bytes | None = None, through: int | None = None) -> DataFrame:
         """All versions, of runs that may hold keys from low to below high and seqs up to `through`."""
@@ -257,7 +247,10 @@ class Store:
         return self._read([s.path for s in self.manifest.segments])
 
     def run(self, number: int) -> DataFrame:
-        return self._read([next(r.path for r in self.manifest.runs if r.id == number)])
+        return self.reader(number).scan()
+
+    def reader(self, number: int) -> RunReader:
+        return RunReader(self.spark, self.config.path, next(r for r in self.manifest.runs if r.id == number))
 
     def runs(self) -> DataFrame:
         """Run metadata, newest run first."""

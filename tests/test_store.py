@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from palimpsest.__main__ import main as cli
+from palimpsest.sources.buffer import DELETED, Buffer
+from palimpsest.sources.runfile import write_run
 from palimpsest.sources.store import Conflict, Store
 from palimpsest.streaming import ingest as streams
 
@@ -139,6 +142,50 @@ def test_compaction(spark, tmp_path):
     assert store.collect_garbage() and live(open_store(spark, tmp_path)) == {b"a": b"3"}
 
 
+def test_tiers(spark, tmp_path):
+    store, want = open_store(spark, tmp_path), {}
+    for i in range(6):
+        store.put_batch(batch(spark, rows := [(b"k%d" % (i % 4), b"v%d" % i), (b"x", b"")]))
+        want.update(rows)
+        store.flush()
+    assert store.compact_tiers(fan=3) >= 1 and store.stats()["runs"] < 6
+    assert live(store) == want and store.metrics["flushes"] == 6 and store.metrics["compactions"] >= 1 and store.metrics["entries_in_log"] == 12
+
+
+def test_run_reader(spark, tmp_path):
+    store = open_store(spark, tmp_path)
+    store.put_batch(batch(spark, [(b"key", b"v1"), (b"key", b"v2"), (b"key", b"v3"), (b"other", b"x")]))
+    store.flush()
+    reader = store.reader(1)
+    assert [bytes(r.value) for r in reader.get_all(b"key").collect()] == [b"v3", b"v2", b"v1"]
+    assert reader.get_all(b"zzz").count() == 0 and reader.get_all(b"m").count() == 0 and reader.scan().count() == 4
+    empty = write_run(store.log().limit(0), store.config.path, "runs/empty", 9)
+    assert (empty.entry_count, empty.min_key, empty.min_seq) == (0, "", 0) and not empty.might_contain(b"") and not empty.overlaps(None, None)
+
+
+def test_buffer(spark):
+    b = Buffer()
+    assert [b.put("c", "3"), b.put(b"a", b"1"), b.put("a", "2"), b.delete("b"), b.put("e", "")] == [1, 2, 3, 4, 5]
+    assert b.rows() == [(b"a", 3, b"2"), (b"a", 2, b"1"), (b"b", 4, None), (b"c", 1, b"3"), (b"e", 5, b"")]
+    assert b.get("a") == b"2" and b.get("b") is DELETED and b.get("z") is None and b.get("e") == b"" and b.get_all("a") == [(3, b"2"), (2, b"1")]
+    assert b.size_bytes() == 26 * 3 + 25 + 25 and len(b) == 5 and not b.is_full() and b.is_full(100)
+    b.put_with_seq("a", "9", 20)
+    b.delete_with_seq("a", 10)
+    assert b.get("a") == b"9" and b.current_seq == 21 and b.log(spark).count() == 7
+    b.clear()
+    assert len(b) == 0 and b.size_bytes() == 0 and b.put("n", "") == 21
+    with pytest.raises(ValueError):
+        b.put_with_seq("a", "", 1 << 63)
+    assert Buffer(7).put("a", "") == 7
+
+
+def test_command_line(spark, tmp_path, capsys):
+    path = str(tmp_path / "store")
+    assert [cli([path, *x]) for x in (["put", "a", "1"], ["put", "b", "é"], ["delete", "a"], ["get", "b"], ["get", "a"], ["scan"], ["history", "a"], ["flush"], ["compact"], ["gc"], ["stats"])] == [0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0]
+    out = capsys.readouterr().out.splitlines()
+    assert out[:4] == ["1", "2", "3", "é"] and out[4] == '["b", "\\u00e9"]' and out[5:7] == ["[3, null]", '[1, "1"]'] and '"total_entries": 1' in out[-1]
+
+
 def test_crash_before_the_manifest(spark, tmp_path, monkeypatch):
     store = open_store(spark, tmp_path)
     store.put("a", "1")
