@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import base64
 import functools
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +25,11 @@ RAW_IDS = 1 << 16
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
 
 def _unpack(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
 def _ranks(rank_file: str) -> dict[bytes, int]:
