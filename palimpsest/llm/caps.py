@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connect, materialize, tasks_for
+from .common import connect, materialize, tasks_for, whole_groups
 
 #: Blocks of a product code; codes to aim at; filters that a pair at the threshold shares on average; members of a filter to aim at.
 BLOCKS, TURNS, SHARED, MEMBERS = 3, 48, 16.0, 10.0
@@ -21,6 +21,8 @@ BLOCKS, TURNS, SHARED, MEMBERS = 3, 48, 16.0, 10.0
 CHUNK = 1024
 #: Rows and pairs that are looked at together.
 BLOCK_ROWS, BLOCK_PAIRS = 8192, 1 << 17
+#: Members from which on a bucket is compared by products of matrices.
+LARGE = 24
 
 
 @dataclass(frozen=True)
@@ -102,16 +104,43 @@ def _links(block: dict[str, np.ndarray], units: np.ndarray, lists: np.ndarray, a
     """Of the pairs of places those that are links, and whose least common filter this is."""
     fits = (block["part"][a] != block["part"][b]) | (block["i"][a] == block["j"][a])
     a, b = a[fits], b[fits]
-    near = np.einsum("ij,ij->i", units[a], units[b]) >= cosine - 1e-9
+    near = _near(np.einsum("ij,ij->i", units[a], units[b]), block["vectors"], a, b, cosine)
     a, b = a[near], b[near]
-    x, y = block["vectors"][a], block["vectors"][b]
-    a, b = (z[exact_cosine(x, y) >= cosine] for z in (a, b))
     low, high, fresh = lists[a], lists[b], np.ones(len(a), bool)
     for k in range(low.shape[1]):
         fresh &= ~((low[:, k : k + 1] == high) & (high >= 0)).any(1)
     return a[fresh], b[fresh]
 
 
+def _near(found: np.ndarray, vectors: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Which cosines reach the threshold; those that rounding could turn are computed again from the vectors themselves."""
+    near, close = found >= cosine, np.flatnonzero(np.abs(found - cosine) < 1e-9)
+    near[close] = exact_cosine(vectors[a[close]], vectors[b[close]]) >= cosine
+    return near
+
+
+def _links_of(block: dict[str, np.ndarray], units: np.ndarray, lists: np.ndarray, first: int, n: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all pairs of a large bucket, by products of matrices: cosines, and counts of lesser filters in common."""
+    own = slice(first, first + n)
+    filters, place = np.unique(lists[own], return_inverse=True)
+    holds = np.zeros((n, len(filters)), np.float32)
+    holds[np.arange(n)[:, None], place.reshape(n, -1)] = 1
+    holds = holds[:, filters >= 0]
+    part, one = block["part"][own], block["i"][first] == block["j"][first]
+    found_a, found_b = [], []
+    for k in range(0, n, BLOCK_PAIRS // n + 1):
+        rows = slice(k, min(k + BLOCK_PAIRS // n + 1, n))
+        near = units[own][rows] @ units[own].T
+        fits = (near >= cosine - 1e-9) & (holds[rows] @ holds.T == 0) & (np.arange(n) > np.arange(n)[rows, None])
+        if not one:
+            fits &= part != part[rows, None]
+        a, b = np.nonzero(fits)
+        sure = _near(near[a, b], block["vectors"], first + k + a, first + b, cosine)
+        found_a.append(first + k + a[sure])
+        found_b.append(first + b[sure])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def exact_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine in double precision, scaled first so that no square over- or underflows."""
     x, y = (v / np.abs(v).max(1, keepdims=True) for v in (x, y))
@@ -129,24 +158,18 @@ def _work(block: dict[str, np.ndarray], cosine: float) -> dict[int, list[int]]:
     lists = np.full((len(units), width), -1)
     for k, x in enumerate(block["lists"]):
         lists[k, : len(x)] = x
-    found_a, found_b = [], []
-
-    def look(a: np.ndarray, b: np.ndarray) -> None:
-        x, y = _links(block, units, lists, a, b, cosine)
-        found_a.append(x)
-        found_b.append(y)
-
-    small = size * (size - 1) // 2 <= BLOCK_PAIRS
-    first, count = change[small], size[small]
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    few = size < LARGE
+    first, count = change[few], size[few]
     turns = np.cumsum(count * (count - 1) // 2) // BLOCK_PAIRS
     for t in np.unique(turns):
-        look(*_pairs(first[turns == t], count[turns == t]))
-    for f, n in zip(change[~small], size[~small], strict=True):
-        step = max(1, BLOCK_PAIRS // n)
-        for k in range(0, n, step):
-            rows = np.arange(k, min(k + step, n))
-            a, b = np.meshgrid(rows, np.arange(n), indexing="ij")
-            look(*(f + z[b > a] for z in (a, b)))
+        a, b = _links(block, units, lists, *_pairs(first[turns == t], count[turns == t]), cosine)
+        found_a.append(a)
+        found_b.append(b)
+    for f, n in zip(change[~few].tolist(), size[~few].tolist(), strict=True):
+        a, b = _links_of(block, units, lists, f, n, cosine)
+        found_a.append(a)
+        found_b.append(b)
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     ids, flat = np.unique(np.concatenate([block["id"][a], block["id"][b]]), return_inverse=True)
     a_id, b_id = flat[: len(a)], flat[len(a) :]
@@ -230,10 +253,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id: str = "vec_id", vec
 
 def _stream(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
     """Buckets out of sorted rows, many together; one figure for each vector of each block."""
-    held: list[pa.RecordBatch] = []
-
-    def work(table: pa.Table) -> pa.RecordBatch:
-        names = ("bucket", "part", "i", "j", "id", "copies")
+    names = ("bucket", "part", "i", "j", "id", "copies")
+    for table in whole_groups(batches, "bucket", BLOCK_ROWS):
         found: dict[int, list[int]] = {}
         wide = np.array([len(x) for x in table.column("v")])
         for dim in np.unique(wide):  # a bucket's vectors are equally long
@@ -242,21 +263,4 @@ def _stream(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
             for k, (n, low) in _work(block, cosine).items():
                 old = found.setdefault(k, [0, low])
                 found[k] = [old[0] + n, min(old[1], low)]
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in (0, 1))], ["id", "linked", "low"])
-
-    count = 0
-    for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(start, BLOCK_ROWS)
-            held.append(part)
-            count += part.num_rows
-            if count < BLOCK_ROWS:
-                continue
-            table = pa.Table.from_batches(held)
-            keys = table.column("bucket").to_numpy()
-            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
-            if cut:
-                yield work(table.slice(0, cut))
-            held, count = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
-    if count:
-        yield work(pa.Table.from_batches(held))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in (0, 1))], ["id", "linked", "low"])

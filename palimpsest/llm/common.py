@@ -81,6 +81,27 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             start = stop
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 8192) -> Iterator[pa.Table]:
+    """Rows that come sorted by `key`, in tables of about `rows` rows that never cut a group."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            held.append(batch.slice(start, rows))
+            count += held[-1].num_rows
+            if count < rows:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = table.column(key).to_numpy()
+            other = np.flatnonzero(keys != keys[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield table.slice(0, cut)
+            held, count = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
+    if count:
+        yield pa.Table.from_batches(held)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
