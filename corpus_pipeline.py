@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +12,25 @@ from palimpsest.llm import common, language, minhash, packing, private, quality
 from palimpsest.llm.catalog import PSEUDONYM_KEY
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _keep_others(stage: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """stage(docs) with the columns of docs. Columns besides those of documents are out of the operator's way meanwhile, so names of
+    its results don't meet theirs."""
+    away = {c: f"__other{i}" for i, c in enumerate(docs.columns) if c not in OWN}
+    out = stage(docs.withColumnsRenamed(away))
+    return out.withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns) if away else out.select(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base checks and lie within the fences of their language and source."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return _keep_others(lambda d: quality.judge(d).where("kept").select(*d.columns), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
-    return language.identify(docs, keep_text=True).where("kept").select(*docs.columns)
+    return _keep_others(lambda d: language.identify(d, keep_text=True).where("kept").select(*d.columns), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in the place of personal data."""
-    out = private.pseudonymize(docs, PSEUDONYM_KEY, spans=None)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    count = F.length("text").cast("long").alias("n_chars")
+    return _keep_others(lambda d: private.pseudonymize(d, PSEUDONYM_KEY, spans=None).withColumn("n_chars", count), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,8 +75,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over the main text of pages, with their markup's language, host and address suffix."""
+    pages = _table(spark, sf_dir, "pages")
+    texts = extraction.extract(pages).select(F.col("page_id").alias("id"), "text", "host")
+    markup = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    declared = pages.select("page_id", F.when(markup != "", markup).alias("markup")).dropDuplicates(["page_id"])
+    rows = texts.join(declared, F.col("id") == F.col("page_id")).drop("id")
+    out = language.identify(rows, declared="markup", host="host", suffix=F.regexp_extract("host", r"\.([^.]+)$", 1))
+    return out.select("page_id", "host", "markup", "language", "confidence", "text_language", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_extraction, op5_private, op6_language, op7_attention, op8_byte_bpe, op9_caps, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash, op2_sharding, op3_quality, op4_extraction, op5_private, op6_language, op7_attention, op8_byte_bpe, op9_caps, op10_packing, language_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:

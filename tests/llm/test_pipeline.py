@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -70,6 +71,17 @@ def test_stages_keep_the_columns(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
 
 
+def test_other_columns_stay(spark, folder):
+    extra = {"kept": 1, "language": "x", "point": 2.5, "key": None, "n_words": "w"}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40")
+    for k, v in extra.items():
+        docs = docs.withColumn(k, F.lit(v).cast("string"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() > 0
+        assert {tuple(r[k] for k in extra) for r in out.collect()} == {tuple(None if v is None else str(v) for v in extra.values())}
+
+
 def test_pseudonyms_leave_no_number(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = corpus_pipeline.personal_data(spark, docs, folder).collect()
