@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import join_small, materialize, text_slices, texts_of
 
 #: A subtree goes if this many different pages of the host have it, and one in ONE_IN of them. Copies of a page count once.
@@ -168,21 +169,27 @@ class Page:
         return [text for (text, _), w in zip(self.blocks, wanted, strict=True) if w], spans
 
 
-def take_apart(df: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """Per row: id, url, host, main_hash long, blocks array<string>, spans array<struct<first, stop, key>>, subtrees array<long>."""
+def take_apart(df: DataFrame, id: str = "page_id", url: str = "url", page: str = "html", texts: bool = True) -> DataFrame:
+    """Per row: id, url, host, page_key long (hash of url and html), main_hash long, spans array<struct<first, stop, key>>, subtrees array<long>;
+    blocks array<string> if `texts`, else null."""
     kind = df.schema[id].dataType.simpleString()
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("key", pa.int64())]))
+    signed = lambda t: xxhash.xxh3_64_intdigest(t) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "html"):
-            pages = [Page(t) for t in texts_of(batch, "html")]
+            sources, urls = texts_of(batch, "html"), texts_of(batch, "url")
+            pages = [Page(t) for t in sources]
             mains = [p.main() for p in pages]
-            hashes = [xxhash.xxh3_64_intdigest("\n\n".join(m)) - (1 << 63) for m, _ in mains]
+            keys = [signed(f"{u}\0{t}") for u, t in zip(urls, sources, strict=True)]
+            hashes = [signed("\n\n".join(m)) for m, _ in mains]
             spans = [[{"first": a, "stop": b, "key": k} for a, b, k in s] for _, s in mains]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(hashes, pa.int64()), pa.array([m for m, _ in mains], pa.list_(pa.string())), pa.array(spans, span_type), pa.array([sorted(p.subtrees) for p in pages], pa.list_(pa.int64()))], ["id", "url", "main_hash", "blocks", "spans", "subtrees"])
+            blocks = pa.array([m if texts else None for m, _ in mains], pa.list_(pa.string()))
+            columns = [batch.column("id"), batch.column("url"), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), blocks, pa.array(spans, span_type), pa.array([sorted(p.subtrees) for p in pages], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "url", "page_key", "main_hash", "blocks", "spans", "subtrees"])
 
     rows = df.select(F.col(id).alias("id"), F.col(url).cast("string").alias("url"), F.col(page).alias("html"))
-    out = rows.mapInArrow(run, f"id {kind}, url string, main_hash long, blocks array<string>, spans array<struct<first:int,stop:int,key:bigint>>, subtrees array<bigint>")
+    out = rows.mapInArrow(run, f"id {kind}, url string, page_key long, main_hash long, blocks array<string>, spans array<struct<first:int,stop:int,key:bigint>>, subtrees array<bigint>")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return out.withColumn("host", host)
 
@@ -207,14 +214,17 @@ def extract(df: DataFrame, id: str = "page_id", url: str = "url", page: str = "h
     a subtree of containers that recurs on the host go too (`removed` counts them). Paragraphs and headings of an article are no
     such subtrees: an article keeps passages that other pages share. White space inside a block becomes one blank; blocks are
     joined by an empty line. Null or empty html, or html without text: empty text. A null or odd url: host ''. Repeated rows
-    give repeated rows (rows equal in all columns are matched by number). Empty table: no rows.
+    give repeated rows. Empty table: no rows. Pages are taken apart twice, first for their layout alone, so no text is stored on
+    the way; pages that lose a block are broadcast if they are few by count, else joined by a shuffle.
     """
-    parts = materialize(take_apart(df, id, url, page).withColumn("row", F.monotonically_increasing_id()), "pages")
-    found = materialize(templates(parts, least, one_in), "templates")
-    spans = parts.select("row", "host", F.explode("spans").alias("span")).withColumn("key", F.col("span.key"))
-    gone = join_small(spans, found.withColumn("hit", F.lit(1)), ["host", "key"], ["row"]).where("hit = 1")
-    gone = gone.groupBy("row").agg(F.collect_list("span").alias("gone"))
-    met = parts.join(gone, "row", "left")
-    left = F.filter("blocks", lambda _, i: ~F.coalesce(F.exists("gone", lambda s: (s["first"] <= i) & (i < s["stop"])), F.lit(False)))
-    met = met.withColumn("stay", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(left)).withColumn("text", F.array_join("stay", "\n\n"))
+    layout = take_apart(df, id, url, page, texts=False).select("page_key", "host", "main_hash", "spans", "subtrees")
+    layout = materialize(layout, "layout")
+    found = materialize(templates(layout, least, one_in), "templates")
+    inside = layout.select("page_key", "host", F.explode(F.array_distinct(F.transform("spans", lambda s: s["key"]))).alias("key"))
+    gone = join_small(inside, found.withColumn("hit", F.lit(1)), ["host", "key"], ["page_key"]).where("hit = 1")
+    gone = materialize(gone.groupBy("page_key").agg(F.collect_set("key").alias("gone")), "gone")
+    met = take_apart(df, id, url, page).join(F.broadcast(gone) if gone.count() <= common.BROADCAST_ROWS else gone, "page_key", "left")
+    cut = F.filter("spans", lambda s: F.array_contains("gone", s["key"]))
+    left = F.filter("blocks", lambda _, i: ~F.exists("cut", lambda s: (s["first"] <= i) & (i < s["stop"])))
+    met = met.withColumn("cut", cut).withColumn("stay", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(left)).withColumn("text", F.array_join("stay", "\n\n"))
     return met.select(F.col("id").alias(id), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"), "host", (F.size("blocks") - F.size("stay")).cast("long").alias("removed"))
