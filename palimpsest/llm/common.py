@@ -107,15 +107,49 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+#: Links that one task may put together.
+LOCAL_LINKS = 200_000
+
+
+def few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, marked for broadcast if it has at most BROADCAST_ROWS rows (or `most`); they are counted, so df should be a stored table."""
+    return F.broadcast(df) if df.limit((most or BROADCAST_ROWS) + 1).count() <= (most or BROADCAST_ROWS) else df
+
+
+def _local_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches]
+    if not parts:
+        return
+    ids, flat = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    a, b = flat.reshape(2, -1)
+    low = np.arange(len(ids))
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, low[a], least)
+        np.minimum.at(new, low[b], least)
+        while not (new[new] == new).all():
+            new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[low], pa.int64())], ["id", "root"])
+
+
 def connect(edges: DataFrame, label: str) -> DataFrame:
     """Connected classes of undirected links (a long, b long): rows (id, root), root the smallest id reachable.
 
     Alternates large-star and small-star steps until nothing changes; each step is one shuffle and keeps at
-    most one link per row, so a class of any size stays spread. Every step is written to the scratch folder.
-    Empty input: no rows. Ids that occur in no link get no row.
+    most one link per row, so a class of any size stays spread. Every step is written to the scratch folder. Up to LOCAL_LINKS
+    links, counted, are put together by one task instead, with the same result. Empty input: no rows. Ids that occur in no link
+    get no row.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     before = None
+    if now.count() <= LOCAL_LINKS:
+        roots = materialize(now.coalesce(1).mapInArrow(_local_roots, "id long, root long"), label)
+        drop_scratch(now)
+        return roots
     while True:
         # large star: every neighbour above a links to the smallest of a and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

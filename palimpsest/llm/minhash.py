@@ -12,15 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connect, materialize, text_slices
+from .common import connect, drop_scratch, few, materialize, tasks_for, text_slices, whole_groups
 from .words import distinct_words
 
 #: Words of a shingle; bands and coordinates of each. A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^28, under 2 in 100,000.
 SHINGLE, BANDS, ROWS = 5, 28, 5
 #: Darts have ranks; the first stretch of ranks, and as long as some coordinate is empty another as long as all before.
 FIRST_STRETCH = 0.125
-#: Rounds in which each bucket is compared with one more of its members, before all that is left is.
+#: Rounds in which each bucket is compared with one of its members, before all that is left is.
 HUB_ROUNDS = 2
+#: Members and elements that are compared together; rows of a few numbers that may be broadcast.
+CHUNK, CHUNK_ELEMENTS, BROADCAST_IDS = 1024, 2_000_000, 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,14 +113,19 @@ class Shingles:
 
 
 def occurrences(rows: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each shingle as often as it occurs, as numbers that differ: sets whose plain Jaccard similarity is the weighted one."""
+    """Each shingle as often as it counts, as numbers that differ: sets whose plain Jaccard similarity is the weighted one."""
     at = np.repeat(np.arange(len(rows)), counts)
     turn = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
     return rows[at], mix(shingles[at] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: id long, point binary (128-bit hash of the whole weighted set; null without words), bands array<long>."""
+def _weights(counts: np.ndarray, weigh: str) -> np.ndarray:
+    return counts if weigh == "count" else np.ones(len(counts), np.int64)
+
+
+def sketch(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weigh: str = "set") -> DataFrame:
+    """Per row: id long, point binary (128-bit hash of the whole weighted set; null without words), bands array<long>.
+    weigh: 'set', each shingle weighs 1; 'count', as much as it's frequent in its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, salts = Shingles(shingle), np.array([_salt(b, "band") for b in range(bands)])
@@ -126,10 +133,11 @@ def sketch(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int =
         for batch in text_slices(batches, "text"):
             n = batch.num_rows
             at, elements, counts = maker.sets(batch.column("text"))
-            signs = dart_signatures(at, elements, counts.astype(np.float64), n, bands * rows)
+            weights = _weights(counts, weigh)
+            signs = dart_signatures(at, elements, weights.astype(np.float64), n, bands * rows)
             keys = mix((signs.reshape(n, bands, rows) * odd).sum(2, dtype=np.uint64) + salts).astype(np.int64)
             ends = np.searchsorted(at, np.arange(n + 1))
-            points = [xxhash.xxh3_128_digest(elements[a:b].tobytes() + counts[a:b].tobytes()) if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            points = [xxhash.xxh3_128_digest(elements[a:b].tobytes() + weights[a:b].tobytes()) if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(points, pa.binary()), lists], ["id", "point", "bands"])
 
@@ -137,13 +145,14 @@ def sketch(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int =
     return picked.mapInArrow(run, "id long, point binary, bands array<bigint>")
 
 
-def elements(df: DataFrame, shingle: int) -> DataFrame:
+def elements(df: DataFrame, shingle: int, weigh: str) -> DataFrame:
     """Of rows (id, text) the elements array<long> that verification compares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Shingles(shingle)
         for batch in text_slices(batches, "text"):
-            at, every = occurrences(*maker.sets(batch.column("text")))
+            at, shingles, counts = maker.sets(batch.column("text"))
+            at, every = occurrences(at, shingles, _weights(counts, weigh))
             ends = np.searchsorted(at, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "elements"])
@@ -151,67 +160,124 @@ def elements(df: DataFrame, shingle: int) -> DataFrame:
     return df.select("id", "text").mapInArrow(run, "id long, elements array<bigint>")
 
 
-def near_duplicates(df: DataFrame, similarity: float = 0.8, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, similarity: float = 0.8, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weigh: str = "set") -> DataFrame:
     """One row per row of df: id, class_id long (smallest id of its class), kept boolean (id = class_id).
 
-    Links: weighted Jaccard similarity of five-word shingles, each as heavy as it is frequent, of `similarity` or more, computed
-    exactly for pairs that share a band. Classes: reachable by links. Equal sets are one point from the start. In a bucket of
-    points that share a band all are compared with one of them, then those that are in other classes by now with another,
-    and at last what is still apart pair by pair: every pair of a bucket is linked, compared or already of one class.
-    Documents without a word and null ids have a class of their own and stay; rows that repeat an id are one document, all
-    stay or go together. Whole texts count, of any length. Empty table: no rows.
+    Links: (weighted) Jaccard similarity of five-word shingles of `similarity` or more, computed exactly for pairs that share a
+    band. Classes: reachable by links. Equal sets are one point from the start. In a bucket of points that share a band all are
+    compared with one of them, then those of other classes than it with another; what is apart after that is compared in the
+    bucket's tasks, all with all other classes. So every pair of a bucket is compared or already of one class, and hot buckets cost
+    rows, not pairs. Documents without a word and null ids have a class of their own and stay; rows that repeat an id are one
+    document, all stay or go together. Whole texts count, of any length. Empty table: no rows.
     """
-    signs = materialize(sketch(df, id, text, shingle, bands, rows), "signatures")
+    signs = materialize(sketch(df, id, text, shingle, bands, rows, weigh), "signatures")
     sound = F.col("point").isNotNull() & F.col("id").isNotNull()
     points = materialize(signs.where(sound).groupBy("point").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "points")
     buckets = points.select("id", F.explode("bands").alias("key"))
-    # the smallest id of a bucket is its first hub; buckets of one are left out
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    hubs = materialize(hubs, "hubs")
-    shared = materialize(buckets.join(hubs, "key").select("key", "id", "hub"), "buckets")
-    wanted = shared.select("id").distinct()
-    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = materialize(elements(texts, shingle).dropDuplicates(["id"]), "elements")
-    seen = materialize(shared.where("id != hub").select("id", F.col("hub").alias("other")).distinct(), "pairs")
-    links = verify(seen, sets, similarity)
-    roots = materialize(connect(links, "classes"), "roots")
+    full = materialize(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "full")
+    shared = materialize(buckets.join(full, "key").select("key", "id"), "buckets")
+    wanted = materialize(shared.select("id").distinct(), "wanted")
+    # few ids by count are broadcast, so that no text is shuffled
+    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(few(wanted, BROADCAST_IDS), "id", "left_semi")
+    sets = materialize(elements(texts, shingle, weigh).dropDuplicates(["id"]), "elements")
+    seen = links = roots = None
     for turn in range(HUB_ROUNDS + 1):
-        apart = _apart(shared.select("key", "id"), roots)
-        if turn < HUB_ROUNDS:  # the smallest id outside the first class meets all outside its own
-            low = apart.groupBy("key").agg(F.min("root").alias("low"))
-            split = materialize(low, "low")
-            hub = materialize(apart.join(split, "key").where("root != low").groupBy("key").agg(F.min(F.struct("id", "root")).alias("h")).select("key", "h.*").withColumnsRenamed({"id": "hub", "root": "hub_root"}), "hubs")
-            more = apart.join(hub, "key").where("root != hub_root").select("id", F.col("hub").alias("other"))
-        else:
-            left = apart.withColumnsRenamed({"id": "other", "root": "other_root"})
-            more = apart.join(left, "key").where("id < other and root != other_root").select("id", "other")
+        members = shared if roots is None else shared.join(few(roots, BROADCAST_IDS), "id", "left")
+        members = materialize(members.select("key", "id", F.coalesce("root", "id").alias("root") if roots else F.col("id").alias("root")), "members")
+        hub = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("hub")
+        split = members.groupBy("key").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        split = materialize(split.select("key", F.col("hub.id").alias("other"), F.col("hub.root").alias("hub_root")), "hubs")
+        if split.isEmpty():
+            break
+        apart = members.join(few(split, BROADCAST_IDS), "key")
+        if turn == HUB_ROUNDS:
+            found = _compare(apart.select("key", "id", "root"), sets, similarity)
+            roots = connect(found if links is None else links.unionByName(found), "classes")
+            break
+        more = apart.where("root != hub_root").select("id", "other")
         more = more.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct()
-        more = materialize(more.join(seen, ["id", "other"], "left_anti"), "pairs")
+        more = materialize(more if seen is None else more.join(few(seen, BROADCAST_IDS), ["id", "other"], "left_anti"), "pairs")
+        drop_scratch(members)
         if more.isEmpty():
             continue
-        links = materialize(links.unionByName(verify(more, sets, similarity)), "links")
-        seen = materialize(seen.unionByName(more), "seen")
-        roots = materialize(connect(links, "classes"), "roots")
-    classes = points.select("point", "id").join(roots, "id", "left").select("point", F.coalesce("root", "id").alias("class_id"))
+        found = verify(more, sets, similarity)
+        links = found if links is None else links.unionByName(found)
+        seen = more if seen is None else seen.unionByName(more)
+        roots = connect(links, "classes")
+    if roots is None:
+        classes = points.select("point", F.col("id").alias("class_id"))
+    else:
+        classes = points.select("point", "id").join(roots, "id", "left").select("point", F.coalesce("root", "id").alias("class_id"))
     classes = materialize(classes, "classes")
     met = signs.select("id", F.when(sound, F.col("point")).alias("point")).join(classes, "point", "left")
     met = met.select(F.col("id").alias(id), F.coalesce("class_id", "id").alias("class_id"))
     return met.withColumn("kept", F.coalesce(F.col(id) == F.col("class_id"), F.lit(True)))
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, id, root) of the buckets whose members are of more than one class."""
-    met = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    met = materialize(met, "members")
-    mixed = materialize(met.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key"), "mixed")
-    return materialize(met.join(mixed, "key"), "apart")
+def _compare(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of a bucket that are of different classes; enough of them to tie together all that is linked.
+
+    Buckets are dealt into chunks of CHUNK members or CHUNK_ELEMENTS elements, each pair of chunks is a piece of work. A member is
+    compared with all members of other classes at once; where it's linked the classes become one. Pairs never leave the task.
+    """
+    apart = materialize(apart, "apart")
+    sizes = apart.join(few(materialize(sets.select("id", F.size("elements").alias("size")), "sizes"), BROADCAST_IDS), "id")
+    sizes = sizes.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
+    met = apart.join(few(materialize(sizes, "chunks"), BROADCAST_IDS), "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int"))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("id", "root", "part", F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with")).alias("bucket"), (F.col("part") == F.col("with")).alias("one"))
+    met = materialize(met.join(sets, "id"), "dealt")
+    total = met.agg(F.sum(F.size("elements"))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "bucket", 256):
+            keys = table.column("bucket").to_numpy()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            left, right = [], []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+                x, y = _tied(table.slice(a, b - a), similarity)
+                left += x
+                right += y
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    met = met.repartition(tasks_for(8 * int(total or 0), 8 << 20), "bucket").sortWithinPartitions("bucket").select("bucket", "id", "root", "part", "one", "elements")
+    return materialize(met.mapInArrow(run, "a long, b long"), "links")
+
+
+def _tied(bucket: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that tie the classes of one bucket together."""
+    ids, parts = bucket.column("id").to_numpy(), bucket.column("part").to_numpy()
+    _, root = np.unique(bucket.column("root").to_numpy(), return_inverse=True)
+    lists = bucket.column("elements").combine_chunks()
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(size) - size
+    known, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    has, one = np.zeros(len(known), bool), bool(bucket.column("one")[0].as_py())
+    left, right = [], []
+    for row in range(len(ids) - 1):
+        fits = root[row + 1 :] != root[row]
+        if not one:
+            fits &= parts[row + 1 :] != parts[row]
+        rest = row + 1 + np.flatnonzero(fits)
+        if not len(rest):
+            continue
+        own = codes[starts[row] : starts[row] + size[row]]
+        has[own] = True
+        both = np.add.reduceat(has[codes[starts[row + 1] :]], starts[row + 1 :] - starts[row + 1], dtype=np.int64)[rest - row - 1]
+        has[own] = False
+        for other in rest[both >= similarity * (size[row] + size[rest] - both) - 1e-9].tolist():
+            if root[other] != root[row]:
+                left.append(int(ids[row]))
+                right.append(int(ids[other]))
+                root[root == root[other]] = root[row]
+    return left, right
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b): the pairs whose sets' similarity is at least `similarity`, in whole numbers of elements."""
+    """Links (a, b): the pairs whose sets' similarity is at least `similarity`."""
     left = sets.select("id", F.col("elements").alias("x"))
     right = sets.select(F.col("id").alias("other"), F.col("elements").alias("y"))
-    met = pairs.join(left, "id").join(right, "other")
+    met = left.join(few(pairs, BROADCAST_IDS), "id").join(right, "other")
     both = F.size(F.array_intersect("x", "y"))
     met = met.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both) - 1e-9)
     return materialize(met.select(F.col("id").alias("a"), F.col("other").alias("b")), "links")

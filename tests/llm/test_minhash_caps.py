@@ -65,15 +65,18 @@ def make_texts():
         texts.append(" ".join(chain[:200] if k == 0 else [*(word() for _ in range(4)), *chain[4:]]))
         chain = texts[-1].split()
         chain = chain[4:] + chain[:4]
+    texts += [" ".join([*(word() for _ in range(40)), *["and so"] * 300]) for _ in range(30)]  # much alike only by one pair of words
     texts += ["copied text of seven words or so"] * 300 + ["x " * 30_000, "x " * 30_000 + "y"]
     return texts
 
 
-def similarity_links(texts):
+def similarity_links(texts, weigh):
     sets = []
     for t in texts:
         w = (t or "").lower().split()
         sets.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else []))
+    if weigh == "set":
+        sets = [Counter(set(s)) for s in sets]
     where = defaultdict(set)
     for i, s in enumerate(sets):
         for g in s:
@@ -85,13 +88,16 @@ def similarity_links(texts):
             yield a, b
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, weigh, chunk, ids", [(0, "set", 3, 1), (4, "set", 1024, 10**6), (1, "count", 1024, 10**6)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, rounds, weigh, chunk, ids):
     monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(common, "LOCAL_LINKS", ids)
     texts = make_texts()
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], "doc_id long, text string, class_id string, id int").repartition(5)
-    got = {r.doc_id: r for r in minhash.near_duplicates(df).collect()}
-    want = classes(range(len(texts)), similarity_links(texts))
+    got = {r.doc_id: r for r in minhash.near_duplicates(df, weigh=weigh).collect()}
+    want = classes(range(len(texts)), similarity_links(texts, weigh))
     assert {i: r.class_id for i, r in got.items()} == want
     assert all(r.kept == (r.class_id == i) for i, r in got.items())
 
@@ -104,7 +110,9 @@ def test_repeated_and_null_ids(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_connect(spark):
+@pytest.mark.parametrize("local", [200_000, 0])
+def test_connect(spark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL_LINKS", local)
     draw = random.Random(1)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(40)] + [(draw.randint(300, 500), draw.randint(300, 500)) for _ in range(120)] + [(7, 7)]
     real = [p for p in links if p[0] != p[1]]
@@ -124,9 +132,10 @@ def make_vectors():
     return rows
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_caps_equal_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, large", [(1024, 24), (3, 24), (1024, 2), (3, 2)])
+def test_caps_equal_brute_force(spark, monkeypatch, chunk, large):
     monkeypatch.setattr(caps, "CHUNK", chunk)
+    monkeypatch.setattr(caps, "LARGE", large)
     rows = make_vectors()
     df = spark.createDataFrame([(i, v, l, 5) for i, (l, v) in enumerate(rows)], "vec_id long, embedding array<double>, label int, n_links int").repartition(3)
     links = []
