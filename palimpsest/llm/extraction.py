@@ -36,7 +36,7 @@ SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body"
 #: Words in a class, id or role that mark what is not main text.
 MARKS = re.compile(
     r"(?<![a-z])(?:ad|ads|adv|advert|adverts|advertisement|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|sidebar|side-bar|comment|comments|disqus|reply|replies|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|masthead|pagination|pager|social|share|sharing|related|recommended|newsletter|subscribe|signup|popup|modal|widget|toolbar|complementary|contentinfo|search|alert|alertdialog)(?![a-z])"
+    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|masthead|(?:site|page|top|global)[- ]?header|pagination|pager|social|share|sharing|related|recommended|newsletter|subscribe|signup|popup|modal|widget|toolbar|complementary|contentinfo|search|alert|alertdialog)(?![a-z])"
 )
 COMMENTS = re.compile(r"(?<![a-z])(?:comment|comments|disqus|reply|replies)(?![a-z])")
 MAIN_ROLES = {"main", "article"}
@@ -59,11 +59,12 @@ class Page:
         if self.words:
             text = " ".join(html.unescape("".join(self.words)).split())
             self.words = []
-            if text and not (self.stack and self.stack[-1][1]):
+            if text:
                 self.blocks.append((text, bool(self.stack and self.stack[-1][2])))
 
     def _add(self, text: str) -> None:
-        self.words.append(text)
+        if not (self.stack and self.stack[-1][1]):
+            self.words.append(text)
         if self.stack and not text.isspace():
             self.stack[-1][4].append(" ".join(text.split()))
 
@@ -102,7 +103,7 @@ class Page:
         names = {k.lower(): v.strip("\"'").lower() for k, v in NAMES.findall(attributes)}
         is_main = tag in ("article", "main") or names.get("role") in MAIN_ROLES or names.get("itemprop") == "articlebody"
         marks = COMMENTS if tag == "article" and not main else MARKS
-        marked = tag not in ("html", "body", "p", "main") and not (is_main and tag != "article")
+        marked = tag not in ("html", "body", "main") and not (is_main and tag != "article")
         marked = marked and any(marks.search(re.sub(r"[_\s]+", " ", names.get(k, ""))) for k in ("class", "id", "role"))
         gone = tag in DROPPED or tag == "header" and not main or marked or "hidden" in names or names.get("aria-hidden") == "true"
         main = not dropped and not gone and (main or is_main)

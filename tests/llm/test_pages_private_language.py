@@ -23,6 +23,8 @@ def text_of(html):
         ("<p>unclosed <b>bold", "unclosed bold"),
         ("a < b <3 <!-- open", "a < b <3"),
         ("<article><p>road map</p><p class=\"lead addition\">shadow</p></article>", "road map\n\nshadow"),
+        ("<article><p>a <button>Share</button><span class='ad'>buy</span> b<svg><text>s</text></svg></p><p class=notice>n</p><select><option>o</select>c</article>", "a b\n\nc"),
+        ("<div class=site-header>h</div><div class='article-header'>t</div><p>x <b>y</b> <i>z</p>w", "t\n\nx y z\n\nw"),
         ("<article><header><h1>T</h1></header><p>x</p></article>", "T\n\nx"),
     ],
 )
