@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,24 @@ from palimpsest.llm import common, language, minhash, packing, private, quality
 from palimpsest.llm.catalog import PSEUDONYM_KEY
 
 
+#: Scratch folders of stages whose results are written by now.
+_used: list[str] = []
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage's result may read scratch tables until it's written; when the next stage starts, those that its documents don't read go."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _used[:] = common.release(spark, _used, docs)
+        with common.scratch_scope() as made:
+            out = work(spark, docs, sf_dir)
+        _used.extend(made)
+        return out
+
+    return run_stage
+
+
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -23,16 +42,19 @@ def _keep_others(stage: Callable[[DataFrame], DataFrame], docs: DataFrame) -> Da
     return out.withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns) if away else out.select(*docs.columns)
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base checks and lie within the fences of their language and source."""
     return _keep_others(lambda d: quality.judge(d).where("kept").select(*d.columns), docs)
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     return _keep_others(lambda d: language.identify(d, keep_text=True).where("kept").select(*d.columns), docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the smallest doc_id; rows that are equal in all columns stay once.
     Documents without a doc_id have no class and stay."""
@@ -41,12 +63,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return chosen.dropDuplicates(["doc_id", "__row"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in the place of personal data."""
     count = F.length("text").cast("long").alias("n_chars")
     return _keep_others(lambda d: private.pseudonymize(d, PSEUDONYM_KEY, spans=None).withColumn("n_chars", count), docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens, with their ids."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -59,7 +83,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; each result is written and read again, and goes once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        with common.scratch_scope() as made:
+            docs = common.materialize(out, f"stage-{name}")
+        before = common.release(spark, [*before, *made], docs)
     return STAGES[-1][1](spark, docs, sf_dir)

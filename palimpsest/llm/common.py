@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +27,45 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the folders that materialize() makes meanwhile."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared scratch folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, folders: list[str], keep: DataFrame) -> list[str]:
+    """Deletes scratch folders that `keep` doesn't read; returns the others."""
+    needed = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
+    stay = [f for f in folders if f.rsplit("/", 1)[-1] in needed]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        if folder not in stay:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    return stay
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Deletes the files behind a frame that materialize() made, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    release(df.sparkSession, [f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]], df.sparkSession.range(0))
 
 
 #: Rows of a table that may be broadcast, and copies of it, one for each salt, if it has more.

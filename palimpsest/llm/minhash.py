@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connect, drop_scratch, few, materialize, tasks_for, text_slices, whole_groups
+from .common import connect, drop_scratch, few, materialize, release, scratch_scope, tasks_for, text_slices, whole_groups
 from .words import distinct_words
 
 #: Words of a shingle; bands and coordinates of each. A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^28, under 2 in 100,000.
@@ -168,8 +168,16 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, id: str = "doc_id",
     compared with one of them, then those of other classes than it with another; what is apart after that is compared in the
     bucket's tasks, all with all other classes. So every pair of a bucket is compared or already of one class, and hot buckets cost
     rows, not pairs. Documents without a word and null ids have a class of their own and stay; rows that repeat an id are one
-    document, all stay or go together. Whole texts count, of any length. Empty table: no rows.
+    document, all stay or go together. Whole texts count, of any length. Empty table: no rows. The result is a stored table; what
+    it was made from is deleted.
     """
+    with scratch_scope() as made:
+        out = materialize(_near_duplicates(df, similarity, id, text, shingle, bands, rows, weigh), "classes")
+    release(df.sparkSession, made, out)
+    return out
+
+
+def _near_duplicates(df: DataFrame, similarity: float, id: str, text: str, shingle: int, bands: int, rows: int, weigh: str) -> DataFrame:
     signs = materialize(sketch(df, id, text, shingle, bands, rows, weigh), "signatures")
     sound = F.col("point").isNotNull() & F.col("id").isNotNull()
     points = materialize(signs.where(sound).groupBy("point").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "points")
