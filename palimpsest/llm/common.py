@@ -27,6 +27,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker: both sides hold some, for each task.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_BYTES if they may be larger."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 _scopes: list[list[str]] = []
 
 
@@ -47,6 +59,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     for made in _scopes:
         made.append(path)
+    small_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -104,6 +117,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))), start + rows)
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 8192) -> Iterator[pa.Table]:

@@ -61,18 +61,13 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def _words(tokenizer_file: str) -> WordIds:
-    return WordIds(Encoder(tokenizer_file))
-
-
-def token_ids(texts: pa.Array, tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the texts in a row, and each text's count, as tokenizers gives them for the whole texts.
+def words_of(tokenizer_file: str) -> WordIds:
+    """Ids of texts as tokenizers gives them for the whole texts. For one task: it holds distinct words.
 
     For tokenizer files that compose and lower-case characters, drop white space, split there and between letters, digits and
     other signs, and have a byte-level model with word ends.
     """
-    return _words(tokenizer_file).of_texts(texts, lower=True)
+    return WordIds(Encoder(tokenizer_file))
 
 
 @functools.lru_cache(maxsize=1)
@@ -119,8 +114,9 @@ def tokenize(df: DataFrame, tokenizer_file: str, end_id: int, id: str = "doc_id"
     kind = df.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(tokenizer_file)
         for batch in text_slices(batches, "text"):
-            flat, lens = token_ids(batch.column("text"), tokenizer_file)
+            flat, lens = words.of_texts(batch.column("text"), lower=True)
             keys, ends = curve_keys(flat, lens), np.cumsum(lens)
             out = np.insert(flat, ends, end_id).astype("<u2").tobytes()
             stops = 2 * (ends + np.arange(1, len(lens) + 1))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,6 @@ def _ranks(rank_file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@functools.lru_cache(maxsize=2)
 def _subwords(rank_file: str, pattern: str) -> WordIds:
     ranks = _ranks(rank_file)
     encode = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
