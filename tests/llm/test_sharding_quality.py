@@ -89,3 +89,12 @@ def test_empty(spark):
 
 def test_crc_is_zlibs(spark):
     assert spark.range(1).select(F.crc32(F.lit("é").cast("binary"))).first()[0] == zlib.crc32("é".encode())
+
+
+def test_native_plans(spark, tmp_path):
+    """No Python between the scan and the result."""
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for out in (quality.judge(docs), quality.measure(docs), sharding.assign(docs.select("doc_id"), "doc_id", [1.0] * 4, [1.0] * 5)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow")), plan
