@@ -152,7 +152,7 @@ LOCAL_LINKS = 200_000
 
 def few(df: DataFrame, most: int | None = None) -> DataFrame:
     """df, marked for broadcast if it has at most BROADCAST_ROWS rows (or `most`); they are counted, so df should be a stored table."""
-    return F.broadcast(df) if df.limit((most or BROADCAST_ROWS) + 1).count() <= (most or BROADCAST_ROWS) else df
+    return F.broadcast(df) if df.count() <= (most or BROADCAST_ROWS) else df
 
 
 def _local_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

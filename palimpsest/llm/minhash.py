@@ -22,7 +22,7 @@ FIRST_STRETCH = 0.125
 #: Rounds in which each bucket is compared with one of its members, before all that is left is.
 HUB_ROUNDS = 2
 #: Members and elements that are compared together; rows of a few numbers that may be broadcast.
-CHUNK, CHUNK_ELEMENTS, BROADCAST_IDS = 1024, 2_000_000, 500_000
+CHUNK, CHUNK_ELEMENTS, BROADCAST_IDS = 512, 1_000_000, 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
