@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -107,6 +109,15 @@ def tasks_for(total_bytes: int, each: int = 16 << 20, least: int = 12) -> int:
     return max(least, -(-int(total_bytes or 0) // each))
 
 
+def give_back() -> None:
+    """Returns memory that a worker's task has freed to the system; the worker lives on and waits."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `limit` bytes of `column`; a longer text is alone in its slice."""
     for batch in batches:
@@ -117,7 +128,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))), start + rows)
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 8192) -> Iterator[pa.Table]:

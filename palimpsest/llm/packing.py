@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, tasks_for, text_slices
+from .common import give_back, materialize, tasks_for, text_slices
 from .words import WordIds
 
 #: Buckets of a hashed document vector, and dimensions and bits of each of its projection.
@@ -122,6 +122,8 @@ def tokenize(df: DataFrame, tokenizer_file: str, end_id: int, id: str = "doc_id"
             stops = 2 * (ends + np.arange(1, len(lens) + 1))
             ids = [out[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.int64()), pa.array(lens + 1, pa.int64()), pa.array(ids, pa.binary())], ["id", "curve_key", "n_tokens", "ids"])
+        del words
+        give_back()
 
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, curve_key long, n_tokens long, ids binary").withColumnRenamed("id", id)
