@@ -72,7 +72,7 @@ def blocks(rows: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     one(serial, pa.int64()), one(held, pa.list_(pa.bool_())), one(counts.astype(np.int32), pa.list_(pa.int32())), one(_pack(numbers), pa.binary()), one(words, pa.list_(pa.string())),
-                    one(train, longs), one(_pack(flat.astype(np.uint16)), pa.binary()), one(_pack(lens.astype(np.uint16)), pa.binary()), one(there.astype(np.int32), pa.list_(pa.int32())), one(raw[there], longs),
+                    one(train, longs), one(_pack(flat.astype(np.uint16)), pa.binary()), one(_pack(lens.astype(np.uint32)), pa.binary()), one(there.astype(np.int32), pa.list_(pa.int32())), one(raw[there], longs),
                     one(int(train.sum()) + n_docs, pa.int64()), one(n_docs, pa.int64()), one(batch.column("id").to_pylist(), id_type),
                 ],
                 [*(x.split()[0] for x in BLOCK_SCHEMA.split(", ")), "ids"],
@@ -85,7 +85,7 @@ def blocks(rows: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: word numbers in a row, words of each text, raw subword ids in a row, raw ids of each text."""
     numbers, counts = _unpack(row["numbers"], "<i4"), np.array(row["counts"], np.int64)
-    flat, lens = _unpack(row["sub"], "<u2"), _unpack(row["sub_lens"], "<u2").astype(np.int64)
+    flat, lens = _unpack(row["sub"], "<u2"), _unpack(row["sub_lens"], "<u4").astype(np.int64)
     starts, own = np.cumsum(lens) - lens, lens[numbers]
     ends = np.cumsum(own)
     raw = flat[np.repeat(starts[numbers] - ends + own, own) + np.arange(int(own.sum()))].astype(np.int64)

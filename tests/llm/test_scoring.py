@@ -112,6 +112,19 @@ def test_scores_equal_brute_force(spark, monkeypatch, block):
     assert sum(r.score for r in kept_out) > sum(r.base_score for r in kept_out)
 
 
+def test_long_unspaced_word(spark):
+    long = "a1," * 70_000  # over 65,536 subword ids in one word
+    texts = ["some words first", f"before {long} after", "and some words last", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("held", F.lit(False)).coalesce(1)
+    row = scoring.blocks(df, RANKS, P.PATTERN).collect()
+    assert len(row) == 1
+    _, _, raw, lens = scoring._texts(row[0].asDict())
+    known = scoring._subwords(RANKS, P.PATTERN)
+    want = [np.concatenate([known.ids(known.numbers([w]))[0] for w in words_of(t)] or [[]]) for t in (texts[i] for i in row[0].ids)]
+    assert lens.tolist() == [len(w) for w in want] and max(lens) > 1 << 16
+    assert raw.tolist() == np.concatenate(want).astype(int).tolist()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(2, "a b")], "doc_id long, text string")
     assert scoring.score(df.limit(0), RANKS, P.PATTERN, held()).count() == 0
