@@ -155,6 +155,12 @@ def word_counts(table: DataFrame) -> DataFrame:
     return rows.select("block", "place", F.sum("n").over(every).alias("c"), (F.row_number().over(by) == 1).alias("first"))
 
 
+def mix(by_model: np.ndarray, by_counts: np.ndarray) -> np.ndarray:
+    """log P of words from their log P by the model and their P by counts, which is 0 for unknown ones."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(1 - BY_COUNTS) + by_model, np.log(BY_COUNTS) + np.log(by_counts))
+
+
 def score(df: DataFrame, rank_file: str, pattern: str, held: Column, id: str = "doc_id", text: str = "text", fit_windows: int = FIT_WINDOWS) -> DataFrame:
     """One row per row of df: id, held_out boolean, n_tokens, n_known, train_tokens (long), base_score, score (double, log10).
 
@@ -187,10 +193,10 @@ def score(df: DataFrame, rank_file: str, pattern: str, held: Column, id: str = "
         least = np.log10(total + distinct + 1)
         base = np.bincount(who, (np.log10(c + 1.0) - least)[numbers], len(words)) + np.log10(n_docs + 1.0) - least
         known = np.bincount(who, (c > 0)[numbers], len(words)).astype(np.int64) + (n_docs > 0)
-        by_model = np.exp(np.maximum(shared.value.score_words(raw, lens), -600))
+        by_model = shared.value.score_words(raw, lens)
         ends = np.cumsum(words)  # each text's end follows its words
         by_counts = np.insert(np.where(c > 0, (c + 1.0) / (total + distinct + 1), 0)[numbers], ends, (n_docs + 1.0) / (total + distinct + 1))
-        mixed = np.log10(BY_COUNTS * by_counts + (1 - BY_COUNTS) * by_model)
+        mixed = mix(by_model, by_counts) / np.log(10)
         model = np.bincount(np.insert(who, ends, np.arange(len(words))), mixed, len(words))
         n = len(words)
         return pa.Table.from_arrays([pa.array(row["ids"], id_type), pa.array(row["held"], pa.bool_()), pa.array(words + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(model)], names)

@@ -125,6 +125,18 @@ def test_long_unspaced_word(spark):
     assert raw.tolist() == np.concatenate(want).astype(int).tolist()
 
 
+def test_unlikely_words_keep_their_scores(spark):
+    by_model = np.array([-5.0, -700.0, -9000.0, -9000.0])
+    by_counts = np.array([0.01, 0.0, 0.0, 1e-6])
+    want = [np.log(0.8 * np.exp(-5.0) + 0.2 * 0.01), np.log(0.8) - 700, np.log(0.8) - 9000, np.log(0.2e-6)]
+    assert np.allclose(scoring.mix(by_model, by_counts), want)
+    train = [(i, "the of and some words", False) for i in range(40)]
+    junk = [(100 + k, "q7x," * 150 * k, True) for k in (1, 2, 4)]
+    df = spark.createDataFrame(train + junk, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in scoring.score(df, RANKS, P.PATTERN, F.col("held"), fit_windows=50).collect()}
+    assert 1.8 < got[102] / got[101] < 2.2 and 1.8 < got[104] / got[102] < 2.2
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(2, "a b")], "doc_id long, text string")
     assert scoring.score(df.limit(0), RANKS, P.PATTERN, held()).count() == 0
