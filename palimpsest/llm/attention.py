@@ -42,6 +42,7 @@ class Model:
     prior: np.ndarray  # [id before, class] log P by counts
     member: np.ndarray  # [id before, id] log P(id | its class, id before) by counts
     weights: dict[str, np.ndarray]
+    fitted: int = 0  # windows of training texts that the weights were fitted on
 
     def __post_init__(self):
         w = self.weights
@@ -131,45 +132,65 @@ def counted(pairs: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return classes, np.log(prior / prior.sum(1, keepdims=True)), np.log(member)
 
 
-def fit(samples: np.ndarray, classes: np.ndarray, prior: np.ndarray, passes: int = 5, batch: int = 128, rate: float = 6e-3) -> dict[str, np.ndarray]:
-    """Weights of the attention part, by Adam on windows of LENGTH + 1 ids. Without windows: weights that leave the counts as they are."""
-    draw = np.random.default_rng(11)
+def fit(
+    samples: np.ndarray, classes: np.ndarray, prior: np.ndarray, passes: int = 5, batch: int = 128, rate: float = 6e-3, start: dict[str, np.ndarray] | None = None, seed: int = 11
+) -> dict[str, np.ndarray]:
+    """Weights of the attention part, by Adam on windows of LENGTH + 1 ids, from `start` on if given. Without windows: `start`, or weights that
+    leave the counts as they are."""
+    draw = np.random.default_rng(seed)
     small = lambda *shape: (draw.standard_normal(shape) * 0.3).astype(np.float32)
-    w = {"ids": small(DENSE, WIDTH), "places": small(LENGTH, WIDTH), "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH), "v": small(WIDTH, WIDTH)}
-    w |= {"out": np.zeros((WIDTH, CLASSES), np.float32), "bias": np.zeros(CLASSES, np.float32)}
+    if start:
+        w = {k: v.copy() for k, v in start.items()}
+    else:
+        w = {"ids": small(DENSE, WIDTH), "places": small(LENGTH, WIDTH), "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH), "v": small(WIDTH, WIDTH)}
+        w |= {"out": np.zeros((WIDTH, CLASSES), np.float32), "bias": np.zeros(CLASSES, np.float32)}
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     prior, mask, turns = prior.astype(np.float32), np.where(np.tri(LENGTH, dtype=bool), 0, -np.inf).astype(np.float32), 0
     total = passes * -(-len(samples) // batch)
+    scale = np.float32(1 / math.sqrt(WIDTH))
     for _ in range(passes):
         order = draw.permutation(len(samples))
         for k in range(0, len(order), batch):
             now = samples[order[k : k + batch]].astype(np.int64)
-            ids, goal = now[:, :-1], classes[now[:, 1:]]
-            x = w["ids"][ids] + w["places"]
-            q, key, v = x @ w["q"], x @ w["k"], x @ w["v"]
-            seen = q @ key.transpose(0, 2, 1) / math.sqrt(WIDTH) + mask
-            seen = np.exp(seen - seen.max(2, keepdims=True))
+            ids, goal = now[:, :-1], classes[now[:, 1:]].reshape(-1)
+            x = w["ids"][ids]
+            x += w["places"]
+            flat = x.reshape(-1, WIDTH)
+            q, key, v = ((flat @ w[name]).reshape(x.shape) for name in "qkv")
+            q *= scale
+            seen = q @ key.transpose(0, 2, 1)
+            seen += mask
+            seen -= seen.max(2, keepdims=True)
+            np.exp(seen, out=seen)
             seen /= seen.sum(2, keepdims=True)
-            held = seen @ v
-            logits = held @ w["out"] + w["bias"] + prior[ids]
-            p = np.exp(logits - logits.max(2, keepdims=True))
-            p /= p.sum(2, keepdims=True)
-            d = p
-            np.put_along_axis(d, goal[..., None], np.take_along_axis(d, goal[..., None], 2) - 1, 2)
-            d /= goal.size
-            grad = {"bias": d.sum((0, 1)), "out": np.einsum("btw,btc->wc", held, d, optimize=True)}
-            d_held = d @ w["out"].T
-            grad_v = seen.transpose(0, 2, 1) @ d_held
+            held = (seen @ v).reshape(-1, WIDTH)
+            d = held @ w["out"]
+            d += (prior + w["bias"])[ids.reshape(-1)]
+            d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            d /= d.sum(1, keepdims=True)
+            d[np.arange(len(d)), goal] -= 1
+            d /= len(d)
+            grad = {"bias": d.sum(0), "out": held.T @ d}
+            d_held = (d @ w["out"].T).reshape(x.shape)
+            d_v = seen.transpose(0, 2, 1) @ d_held
             d_seen = d_held @ v.transpose(0, 2, 1)
-            d_seen = seen * (d_seen - (d_seen * seen).sum(2, keepdims=True)) / math.sqrt(WIDTH)
-            grad_q, grad_k = d_seen @ key, d_seen.transpose(0, 2, 1) @ q
-            flat = x.reshape(-1, WIDTH).T
-            for name, g in (("q", grad_q), ("k", grad_k), ("v", grad_v)):
-                grad[name] = flat @ g.reshape(-1, WIDTH)
-            d_x = grad_q @ w["q"].T + grad_k @ w["k"].T + grad_v @ w["v"].T
-            grad["places"] = d_x.sum(0)
+            d_seen -= (d_held * held.reshape(x.shape)).sum(2, keepdims=True)
+            d_seen *= seen
+            d_key = d_seen.transpose(0, 2, 1) @ q
+            d_q = d_seen @ key
+            d_q *= scale
+            d_x = np.zeros_like(flat)
+            for name, g in (("q", d_q), ("k", d_key), ("v", d_v)):
+                g = g.reshape(-1, WIDTH)
+                grad[name] = flat.T @ g
+                d_x += g @ w[name].T
+            grad["places"] = d_x.reshape(x.shape).sum(0)
+            line = ids.reshape(-1)
+            by = np.argsort(line, kind="stable")
+            first = np.flatnonzero(np.diff(line[by], prepend=-1))
             grad["ids"] = np.zeros_like(w["ids"])
-            np.add.at(grad["ids"], ids.reshape(-1), d_x.reshape(-1, WIDTH))
+            grad["ids"][line[by[first]]] = np.add.reduceat(d_x[by], first)
             turns += 1
             step = rate * min(1.0, turns / 50) * (1 - 0.9 * turns / total)
             for name, g in grad.items():
@@ -177,3 +198,11 @@ def fit(samples: np.ndarray, classes: np.ndarray, prior: np.ndarray, passes: int
                 square[name] += 0.01 * (g * g - square[name])
                 w[name] -= step * mean[name] / (1 - 0.9**turns) / (np.sqrt(square[name] / (1 - 0.99**turns)) + 1e-8)
     return w
+
+
+def training_windows(line: np.ndarray) -> np.ndarray:
+    """Windows of LENGTH + 1 ids of a row of ids: each id but the first is once one that's predicted, some of the last window's twice.
+    A shorter row is one window, with ends before it."""
+    line = np.concatenate([np.full(max(0, LENGTH + 1 - len(line)), END), line])
+    start = np.append(np.arange(0, len(line) - LENGTH - 1, LENGTH), len(line) - LENGTH - 1)
+    return line[start[:, None] + np.arange(LENGTH + 1)]

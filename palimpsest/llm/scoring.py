@@ -18,8 +18,11 @@ from .attention import BY_COUNTS, DENSE, END, LENGTH, RARE, RARE_FIRST, STRIDE
 from .common import materialize, text_slices
 from .words import WordIds, distinct_words
 
-#: Bytes of text in a block; windows that the attention weights are fitted on, drawn by hash from all training windows.
-BLOCK_BYTES, FIT_WINDOWS = 8 << 20, 48_000
+#: Bytes of text in a block; windows, drawn by hash, that the attention weights are begun on in the driver; all training windows follow in the
+#: executors, at this rate.
+BLOCK_BYTES, FIT_WINDOWS, REFINE_RATE = 8 << 20, 48_000, 2e-3
+#: Parts of one in sums of weights: whole numbers add up to the same in any order.
+PARTS = 1 << 24
 RAW_IDS = 1 << 16
 
 
@@ -107,9 +110,44 @@ def dense_ids(often: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return dense, rare, begins
 
 
+def _training_line(row: dict, dense: np.ndarray) -> np.ndarray:
+    """Ids of the model of a block's training texts, in a row, with an end before and after each."""
+    _, _, ids, lens = _texts(row)
+    train = ~np.array(row["held"], bool)
+    return np.concatenate([[END], np.insert(dense[ids[np.repeat(train, lens)]], np.cumsum(lens[train]), END)])
+
+
+def refine(table: DataFrame, dense: np.ndarray, classes: np.ndarray, prior: np.ndarray, weights: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], int]:
+    """The weights after a pass over all training texts, and how many windows they are: each block goes on from the same weights with all of its windows, and what the blocks
+    come to is averaged by their windows. One number a weight reaches the driver."""
+    given = table.sparkSession.sparkContext.broadcast((dense, classes, prior, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense, classes, prior, start = given.value
+        total = np.zeros(1 + sum(x.size for x in start.values()), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                line = _training_line(row, dense)
+                if len(line) < 2:
+                    continue
+                found = attention.training_windows(line.astype(np.uint16))
+                new = attention.fit(found, classes, prior, passes=1, rate=REFINE_RATE, start=start, seed=row["block"])
+                moved = np.concatenate([(new[k].astype(np.float64) - start[k]).reshape(-1) for k in start])
+                total[0] += len(found)
+                total[1:] += np.rint(moved * PARTS).astype(np.int64) * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "n"])
+
+    cells = table.select("block", "held", "counts", "numbers", "sub", "sub_lens").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
+    sums = cells["n"].to_numpy(np.float64)
+    if not len(sums) or not sums[0]:
+        return weights, 0
+    moved = np.split(sums[1:] / sums[0] / PARTS, np.cumsum([x.size for x in weights.values()])[:-1])
+    return {k: (x + m.reshape(x.shape)).astype(np.float32) for (k, x), m in zip(weights.items(), moved, strict=True)}, int(sums[0])
+
+
 def learn(table: DataFrame, rank_file: str, fit_windows: int = FIT_WINDOWS) -> attention.Model:
     """The model of a table of blocks: counts of ids and of pairs of frequent ids over all training texts (at most DENSE squared reach
-    the driver), attention weights from about `fit_windows` windows, drawn by hash."""
+    the driver), attention weights begun on about `fit_windows` windows, drawn by hash, and then fitted on all training texts."""
     spark = table.sparkSession
     raw = table.select(F.explode(F.arrays_zip("raw_ids", "raw_n")).alias("x")).groupBy("x.raw_ids").agg(F.sum("x.raw_n").alias("n")).toPandas()
     often = np.zeros(RAW_IDS, np.int64)
@@ -124,10 +162,7 @@ def learn(table: DataFrame, rank_file: str, fit_windows: int = FIT_WINDOWS) -> a
         total = np.zeros(DENSE * DENSE, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, ids, lens = _texts(row)
-                train = ~np.array(row["held"], bool)
-                ids = given.value[ids[np.repeat(train, lens)]]
-                line = np.concatenate([[END], np.insert(ids, np.cumsum(lens[train]), END)])
+                line = _training_line(row, given.value)
                 total += np.bincount(line[:-1] * DENSE + line[1:], minlength=len(total))
                 start = np.arange(0, max(0, len(line) - LENGTH), STRIDE)
                 start = start[np.random.default_rng(row["block"]).random(len(start)) < share]
@@ -143,8 +178,8 @@ def learn(table: DataFrame, rank_file: str, fit_windows: int = FIT_WINDOWS) -> a
     samples = [bytes(r.sample) for r in found.where("sample is not null").select("sample").collect()]
     samples = np.array([np.frombuffer(x, "<u2") for x in sorted(samples)], np.int64).reshape(-1, LENGTH + 1)
     classes, prior, member = attention.counted(pairs, begins)
-    weights = attention.fit(samples, classes, prior)
-    return attention.Model(dense, rare, begins, classes, prior.astype(np.float32), member.astype(np.float32), weights)
+    weights, number = refine(table, dense, classes, prior, attention.fit(samples, classes, prior))
+    return attention.Model(dense, rare, begins, classes, prior.astype(np.float32), member.astype(np.float32), weights, number)
 
 
 def word_counts(table: DataFrame) -> DataFrame:

@@ -112,6 +112,25 @@ def test_scores_equal_brute_force(spark, monkeypatch, block):
     assert sum(r.score for r in kept_out) > sum(r.base_score for r in kept_out)
 
 
+@pytest.mark.parametrize("n", [2, 20, 32, 33, 34, 64, 65, 66, 1000])
+def test_every_training_id_is_predicted(n):
+    line = np.arange(n)
+    found = attention.training_windows(line)
+    assert found.shape[1] == LENGTH + 1 and set(line[1:]) <= set(found[:, 1:].reshape(-1)) and len(found) == max(1, -(-(n - 1) // LENGTH))
+
+
+def test_all_training_texts_reach_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 2000)
+    draw = np.random.default_rng(4)
+    texts = [" ".join(draw.choice(["the", "of", "and", "some", "words"], 60)) for _ in range(80)]
+    df = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "id long, text string, held boolean").repartition(3, "id")
+    table = scoring.blocks(df, RANKS, P.PATTERN)
+    lines = [scoring._training_line(r.asDict(), np.zeros(scoring.RAW_IDS, int)) for r in table.collect()]
+    model = scoring.learn(table, RANKS, fit_windows=1)
+    assert len(lines) > 3 and model.fitted == sum(-(-(len(x) - 1) // LENGTH) for x in lines if len(x) > 1) > 100
+    assert all(np.isfinite(x).all() for x in model.weights.values())
+
+
 def test_long_unspaced_word(spark):
     long = "a1," * 70_000  # over 65,536 subword ids in one word
     texts = ["some words first", f"before {long} after", "and some words last", None]
