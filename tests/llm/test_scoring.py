@@ -112,6 +112,11 @@ def test_scores_equal_brute_force(spark, monkeypatch, block):
     assert sum(r.score for r in kept_out) > sum(r.base_score for r in kept_out)
 
 
+def test_windows_overlap_by_eight():
+    _, _, context = attention.windows(np.array([200]))
+    assert context[0] == 0 and set(context[1:]) == {8}
+
+
 @pytest.mark.parametrize("n", [2, 20, 32, 33, 34, 64, 65, 66, 1000])
 def test_every_training_id_is_predicted(n):
     line = np.arange(n)
