@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import join_small, materialize, text_slices, texts_of
 
 #: Buckets of byte trigrams, and rows of each declared language (about, by hash) that the text model is fitted on.
-BUCKETS, FIT_ROWS, MOST_LANGUAGES = 1 << 15, 2000, 64
+BUCKETS, FIT_ROWS = 1 << 15, 2000
 #: A text counts as this many independent trigrams at most; neighbours overlap, so a long text isn't endlessly sure.
 INDEPENDENT, PER_TRIGRAM = 60.0, 0.25
 #: Rows that the level above weighs in a host's and a suffix's prior, and rows that are added to each declared language.
@@ -41,25 +41,23 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit_text(df: DataFrame, text: str, declared: str, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and the log-likelihood of each trigram bucket in each, from about `rows` rows a declared language.
 
-    Rows are drawn by a hash of the text, so the draw is the same in every run. Languages: the MOST_LANGUAGES most frequent
-    declared ones. What reaches the driver is one count for each language and bucket.
+    Rows are drawn by a hash of the text, so the draw is the same in every run. Languages: all declared ones. What
+    reaches the driver is one count for each language and bucket that occur together.
     """
-    there = df.where(F.col(declared).isNotNull()).groupBy(declared).count().orderBy(F.desc("count"), declared).limit(MOST_LANGUAGES).collect()
+    there = df.where(F.col(declared).isNotNull()).groupBy(declared).count().collect()
     languages = sorted(r[0] for r in there)
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32)
     share = F.create_map(*(F.lit(x) for r in there for x in (r[0], min(1.0, rows / r[1]))))
-    drawn = df.where(F.col(declared).isin(languages)).select(F.col(declared).alias("l"), F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) <= share[F.col("l")] * (1 << 20))
+    drawn = df.where(F.col(declared).isNotNull()).select(F.col(declared).alias("l"), F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) <= share[F.col("l")] * (1 << 20))
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * BUCKETS, np.int64)
         for batch in text_slices(batches, "t"):
             ids, sizes = trigrams(texts_of(batch, "t"))
             own = np.array([place[x] for x in batch.column("l").to_pylist()], np.int64)
-            total += np.bincount(np.repeat(own, sizes) * BUCKETS + ids, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+            at, n = np.unique(np.repeat(own, sizes) * BUCKETS + ids, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["cell", "n"])
 
     cells = drawn.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(languages), BUCKETS), 0.5)

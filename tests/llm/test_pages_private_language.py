@@ -126,6 +126,18 @@ def test_language(spark, monkeypatch, broadcast):
     assert all(r.language == r.truth for r in got if r.doc_id >= 5000)
 
 
+def test_no_language_is_left_out(spark):
+    draw = random.Random(5)
+    names = [f"l{k:02d}" for k in range(70)]
+    rows = []
+    for k, x in enumerate(names):
+        parts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(8)]
+        rows += [(x, " ".join("".join(draw.choices(parts, k=2)) for _ in range(40)), x, None) for _ in range(6 if k < 64 else 5)]
+    df = spark.createDataFrame(rows, "truth string, text string, lang string, source string").repartition(4)
+    got = language.identify(df).collect()
+    assert len(got) == len(rows) and all(r.language == r.truth for r in got)
+
+
 def test_language_without_evidence(spark):
     df = spark.createDataFrame([(1, "text", None, None)], "doc_id long, text string, lang string, source string")
     assert [(r.language, r.kept) for r in language.identify(df).collect()] == [("und", False)]
