@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,18 +139,33 @@ def _ip(f: Feistel, text: str, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+@lru_cache(maxsize=1)
+def _late_days() -> list[int]:
+    """The days after the twelfth of their month."""
+    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
+
+
 def _date(f: Feistel, text: str, back: bool) -> str | None:
-    """Year first, or day.month.year, or month/day/year; four-digit years."""
+    """Year first, or day.month.year, or month/day/year, or day-month-year; four-digit years. Where the last two are no dates, the other way
+    round: then the day is above 12, in the pseudonym too, so that it's read the same way."""
     sep = next(c for c in text if not c.isdigit())
     parts = text.split(sep)
-    order = (0, 1, 2) if len(parts[0]) == 4 else (2, 0, 1) if sep == "/" else (2, 1, 0)
-    try:
-        day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
-    except ValueError:
+    orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0)] if sep == "." else [(2, 0, 1), (2, 1, 0)] if sep == "/" else [(2, 1, 0), (2, 0, 1)]
+    for order in orders:
+        try:
+            day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
+            break
+        except ValueError:
+            continue
+    else:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + f.swap("date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY, back))
+    if order == orders[0]:
+        new = datetime.date.fromordinal(FIRST_DAY + f.swap("date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY, back))
+    else:
+        late = _late_days()
+        new = datetime.date.fromordinal(late[f.swap("late date", len(late), bisect.bisect_left(late, day), back)])
     padded = all(len(p) > 1 for p in parts)
     shown = [""] * 3
     for i, v in zip(order, (new.year, new.month, new.day), strict=True):
@@ -186,11 +203,28 @@ DETECTORS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("card", re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"), _card),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"), _ip),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _ssn),
-    ("date", re.compile(r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)"), _date),
-    ("phone", re.compile(r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{2,4}[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4})?(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"), _phone),
+    ("date", re.compile(r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-]|\.\d)"), _date),
+    ("phone", re.compile(r"\+\d{1,3}(?:[ .\-]\(?\d{1,4}\)?){3,6}(?!\d)|\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{2,4}[ .\-]?\d{2,4}(?:[ .\-]?\d{2,4})?(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"), _phone),
 )
 
 
+#: Characters of the IBANs of countries.
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21,
+    "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26, "UA": 29,
+}
+
+
+def _ends(kind: str, m: re.Match) -> list[int]:
+    """Where a match may end: as found, or for IBANs and phones, which may have taken in what follows them, before any of its later groups;
+    first where the country's IBANs end."""
+    if kind not in ("iban", "phone"):
+        return [m.end()]
+    ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] in " .-")]
+    size = IBAN_SIZES.get(m[0][:2]) if kind == "iban" else None
+    return sorted(ends, key=lambda e: len(m[0][: e - m.start()].replace(" ", "")) != size) if size else ends
+
+
 def find(text: str, feistel: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
     """Spans (start, end, kind, pseudonym) in order, without overlap; at an overlap the kind that is listed first counts."""
     found: list[tuple[int, int, str, str]] = []
@@ -209,8 +243,15 @@ def find(text: str, feistel: Feistel, back: bool = False) -> list[tuple[int, int
         at = text.find("@", at + 1)
     if HAS_DIGIT.search(text) or HAS_NAME.search(text):
         for kind, pattern, make in DETECTORS:
-            for m in pattern.finditer(text):
-                add(m.start(), m.end(), kind, make(feistel, m[0], back))
+            at = 0
+            while m := pattern.search(text, at):
+                at = m.start() + 1 if kind == "iban" else m.end()
+                for end in _ends(kind, m):
+                    new = make(feistel, text[m.start() : end], back)
+                    if new is not None:
+                        add(m.start(), end, kind, new)
+                        at = end
+                        break
     return sorted(found)
 
 

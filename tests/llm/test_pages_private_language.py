@@ -79,6 +79,22 @@ def test_pseudonyms(kind, value):
         assert shape(spans[0][3]) == shape(value)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("BE68 5390 0754 7034 EUR 50", ["BE68 5390 0754 7034"]), ("BE68539007547034 EUR", ["BE68539007547034"]), ("BE68539007547034 2024", ["BE68539007547034"]), ("AT61 1904 3002 3457 3201 2024", ["AT61 1904 3002 3457 3201"]),
+        ("BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00", ["BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]), ("on 25/12/2020, 2020/12/25", ["25/12/2020", "2020/12/25"]),
+        ("25-12-2020 or 12-25-2020", ["25-12-2020", "12-25-2020"]), ("+33 1 23 45 67 89", ["+33 1 23 45 67 89"]), ("+49 30 12 34 56 78, x", ["+49 30 12 34 56 78"]), ("31/31/2020 and 2020/13/01", []),
+    ],
+)
+def test_valid_values_with_neighbours(text, want):
+    f = private.Feistel(KEY)
+    spans = private.find(text, f)
+    assert [text[a:b] for a, b, _, _ in spans] == want
+    new = private.replace(text, spans)
+    assert all(w not in new for w in want) and private.replace(new, private.find(new, f, back=True)) == text
+
+
 @pytest.mark.parametrize("text", ["", "4111111111111112", "300.1.2.3", "2021-02-30", "000-12-3456", "DE89370400440532013001", "Version 2.0.", "1.2.3", "a@b", "@", "words, 12 and 1999", "x" * 100_000, "1" * 100_000, "a." * 50_000 + "@", "+" * 9999])
 def test_invalid_and_clean_text_stays(text):
     assert private.find(text, private.Feistel(KEY)) == []
