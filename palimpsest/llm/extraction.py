@@ -39,6 +39,12 @@ MARKS = re.compile(
     r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|masthead|(?:site|page|top|global)[- ]?header|pagination|pager|social|share|sharing|related|recommended|newsletter|subscribe|signup|popup|modal|widget|toolbar|complementary|contentinfo|search|alert|alertdialog)(?![a-z])"
 )
 COMMENTS = re.compile(r"(?<![a-z])(?:comment|comments|disqus|reply|replies)(?![a-z])")
+#: Ids that mark it inside main content, where an id may be the slug of a title.
+MARKED_IDS = re.compile(
+    r"(?:comments|comment-(?:section|list|form)|comments-(?:section|area|list)|disqus[_-]thread|sidebar|cookie-(?:notice|banner|consent)|navbar|breadcrumbs|pagination|toolbar|share-buttons|sharing-buttons|social-(?:links|buttons)|"
+    r"related-(?:posts|articles|links)|newsletter-(?:signup|form)|search-(?:form|box)|google[_-]ads.*|ad-(?:slot|container|banner|wrapper)(?:-\d+)?)"
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN_ROLES = {"main", "article"}
 
 
@@ -104,7 +110,9 @@ class Page:
         is_main = tag in ("article", "main") or names.get("role") in MAIN_ROLES or names.get("itemprop") == "articlebody"
         marks = COMMENTS if tag == "article" and not main else MARKS
         marked = tag not in ("html", "body", "main") and not (is_main and tag != "article")
-        marked = marked and any(marks.search(re.sub(r"[_\s]+", " ", names.get(k, ""))) for k in ("class", "id", "role"))
+        by_id = tag not in HEADINGS and not main
+        marked = marked and any(marks.search(re.sub(r"[_\s]+", " ", names.get(k, ""))) for k in (("class", "id", "role") if by_id else ("class", "role")))
+        marked |= main and tag not in HEADINGS and bool(MARKED_IDS.fullmatch(names.get("id", "")))
         gone = tag in DROPPED or tag == "header" and not main or marked or "hidden" in names or names.get("aria-hidden") == "true"
         main = not dropped and not gone and (main or is_main)
         self.has_main |= main
@@ -211,7 +219,8 @@ def extract(df: DataFrame, id: str = "page_id", url: str = "url", page: str = "h
     """One row per row of df: id, url, text string (empty if none), n_chars long (code points), host string, removed long.
 
     Main content is what article or main elements hold; on a page without one, all of its body. Menus, headers, footers, asides,
-    forms, scripts, hidden parts and elements whose class, id or role names them never belong to it. Of the rest, blocks inside
+    forms, scripts, hidden parts and elements whose class, id or role names them never belong to it; ids of headings don't count, and inside an article or main element
+    only ids that are such a name as a whole (MARKED_IDS). Of the rest, blocks inside
     a subtree of containers that recurs on the host go too (`removed` counts them). Paragraphs and headings of an article are no
     such subtrees: an article keeps passages that other pages share. White space inside a block becomes one blank; blocks are
     joined by an empty line. Null or empty html, or html without text: empty text. A null or odd url: host ''. Repeated rows

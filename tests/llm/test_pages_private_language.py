@@ -32,6 +32,19 @@ def test_main_text(html, want):
     assert text_of(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><section id="related-work"><h2 id="search">A</h2><p>b</p></section><p id="notice-3">c</p></article>', "A\n\nb\n\nc"),
+        ('<main><section id="social-impact"><p>d</p></section><div id="comments">no</div><div id="cookie-notice">no</div></main>', "d"),
+        ('<body><h2 id="search">e</h2><div id="main-menu">no</div><p>f</p>', "e\n\nf"),
+        ('<article><p>g</p><div class="sidebar" id="x">no</div></article>', "g"),
+    ],
+)
+def test_ids_of_titles_stay(html, want):
+    assert text_of(html) == want
+
+
 def test_deep_and_long_pages():
     assert text_of("<div>" * 30_000 + "x").endswith("x")
     assert len(text_of("<p>" + "word " * 200_000)) == 999_999
