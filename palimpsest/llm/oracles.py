@@ -38,22 +38,27 @@ def sharding(n: int) -> str:
 
 
 def quality() -> str:
-    metrics = [r.metric for r in rules.RULES]
-    part = lambda a, b: f"case when {b} > 0 then (1000 * {a}) // {b} else 0 end"
-    exprs = {"symbols_pm": part("n_symbols", "word_chars"), "dup_lines_pm": part("n_dup_lines", "n_lines"), "repeats_pm": part("n_repeat_words", "n_words"), "word_length_pm": part("word_chars", "n_words")}
-    sketch = " union all ".join(f"select lang, source, '{m}' metric, least({m} // {rules.STEP}, {50 * rules.MOST}) bucket from passed" for m in metrics)
+    sizes = {r.of: f"{r.of}::double" for r in rules.RULES} | {r.metric: f"{r.n} / {r.of}" for r in rules.RULES if not r.smooth}
+    values = {r.metric: f"({r.n} + {float(r.smooth)!r}::double) / ({r.of} + t_{r.of})" if r.smooth else f"({r.n} + t_{r.of} * t_{r.metric}) / ({r.of} + t_{r.of})" for r in rules.RULES}
+    bucket = lambda x: f"floor(ln({x}) / {rules.STEP}::double)::bigint"
+    buckets = lambda of, given: " union all ".join(f"select lang, source, '{m}' metric, {bucket(x)} bucket from {given}" for m, x in of.items())
+    percents = [50, *(q for q, _ in rules.QUANTILES), *(100 - q for q, _ in rules.QUANTILES)]
+
+    def spreads(name: str, of: str, by: str) -> str:
+        quantiles = ", ".join(f"min(bucket) filter (100 * upto >= {q} * total) q{q}" for q in percents)
+        up, down = (f"greatest({', '.join(f'({x}) / {z}::double' for x, z in parts)})" for parts in ([(f"q{q} - q50", z) for q, z in rules.QUANTILES], [(f"q50 - q{100 - q}", z) for q, z in rules.QUANTILES]))
+        return f"""{name} as (select {by}metric, max(total) total, max(q50) middle, max({up}) up, max({down}) down from (select {by}metric, max(total) total, {quantiles}
+            from (select {by}metric, bucket, sum(n) over (partition by {by}metric order by bucket) upto, sum(n) over (partition by {by}metric) total from (select {by}metric, bucket, count(*) n from {of} group by all)) group by {by}metric) group by {by}metric)"""
 
     def fences(name: str, of: str, by: str) -> str:
-        keys = f"{by}, " if by else ""
-        over = f"partition by {keys}metric"
-        beyond = {r.metric: f"greatest({r.spread} * (q3 - q1), {r.least})" for r in rules.RULES}
-        cols = ", ".join(f"max(q3 + {beyond[r.metric]}) filter (metric = '{r.metric}') high_{r.metric}, max({f'q1 - {beyond[r.metric]}' if r.low else '-1'}) filter (metric = '{r.metric}') low_{r.metric}" for r in rules.RULES)
-        return f"""{name}_up as (select {keys}metric, bucket, sum(n) over ({over} order by bucket) upto, sum(n) over ({over}) total from {of}),
-            {name}_q as (select {keys}metric, max(total) total, min(bucket * {rules.STEP}) filter (100 * upto >= 25 * total) q1, min(bucket * {rules.STEP}) filter (100 * upto >= 75 * total) q3 from {name}_up group by {keys}metric),
-            {name} as (select {keys}max(total) total, {cols} from {name}_q {f'group by {by}' if by else ''})"""
+        high, low = f"middle + {rules.SPREAD}::double * greatest(up, wide)", f"middle - {rules.SPREAD}::double * greatest(down, deep)"
+        columns = ", ".join(f"max({high}) filter (metric = '{r.metric}') high_{r.metric}, max({low}) filter (metric = '{r.metric}') low_{r.metric}" for r in rules.RULES)
+        return f"{name} as (select {by}max(total) total, {columns} from {of} join usual using (metric) {f'group by {by[:-2]}' if by else ''})"
 
     pick = lambda c: f"case when o.total >= {rules.GROUP_ROWS} then o.{c} when l.total >= {rules.GROUP_ROWS} then l.{c} else a.{c} end"
-    fits = " and ".join(f"coalesce({m} between {pick(f'low_{m}')} and {pick(f'high_{m}')}, true)" for m in metrics)
+    at = {m: bucket(x) for m, x in values.items()}
+    inside = lambda r: f"({r.n} = 0 or {at[r.metric]} <= {pick(f'high_{r.metric}')})" if r.smooth else f"{at[r.metric]} between {pick(f'low_{r.metric}')} and {pick(f'high_{r.metric}')}"
+    fits = " and ".join(f"coalesce({inside(r)}, true)" for r in rules.RULES)
     gap = r"[^\\x20\\x09-\\x0D]".replace("\\\\", "\\")
     return f"""with docs as (select doc_id, lang, source, coalesce(text, '') text, {WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{gap}')) lines, row_number() over () r from documents),
         grams as (select r, generate_subscripts(w, 1) i, w from docs where len(w) >= 5),
@@ -61,14 +66,18 @@ def quality() -> str:
         twice as (select r, i from (select r, i, count(*) over (partition by r, g) n from keyed) where n > 1),
         covered as (select r, sum(reach) n from (select r, least(5, coalesce(lead(i) over (partition by r order by i) - i, 5)) reach from twice) group by r),
         measured as (select doc_id, lang, source, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
-          (length(text) - length(regexp_replace(text, '{rules.SYMBOLS}', '', 'g')))::bigint n_symbols, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(n, 0)::bigint n_repeat_words, len(lines) n_lines
+          (length(text) - length(regexp_replace(text, '{rules.SYMBOLS}', '', 'g')))::bigint n_symbols, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(n, 0)::bigint n_repeat_words, len(lines) __n_lines
           from docs left join covered using (r)),
-        failed as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, {', '.join(f'{e} {m}' for m, e in exprs.items())} from measured),
-        passed as (select * from failed where not base_failed),
-        fine as (select lang, source, metric, bucket, count(*) n from ({sketch}) group by all), coarse as (select lang, metric, bucket, sum(n) n from fine group by all), top as (select metric, bucket, sum(n) n from fine group by all),
-        {fences("own", "fine", "lang, source")}, {fences("per", "coarse", "lang")}, {fences("every", "top", "")}
+        failed as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from measured),
+        passed as (select distinct lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, __n_lines from failed where not base_failed),
+        sizes as ({buckets(sizes, "passed")}), {spreads("sizes_s", "sizes", "")},
+        typical as (select {', '.join(f"exp((max(middle) filter (metric = '{m}') + 0.5::double) * {rules.STEP}::double) t_{m}" for m in sizes)} from sizes_s),
+        points as ({buckets(values, "passed, typical")}),
+        {spreads("own_s", "points", "lang, source, ")}, {spreads("per_s", "points", "lang, ")}, {spreads("every_s", "points", "")},
+        usual as (select metric, coalesce(median(up) filter (total >= {rules.GROUP_ROWS}), 0) / 2 wide, coalesce(median(down) filter (total >= {rules.GROUP_ROWS}), 0) / 2 deep from own_s group by metric),
+        {fences("own", "own_s", "lang, source, ")}, {fences("per", "per_s", "lang, ")}, every as (select max(total) total, {', '.join(f"max(middle + {rules.SPREAD}::double * up) filter (metric = '{r.metric}') high_{r.metric}, max(middle - {rules.SPREAD}::double * down) filter (metric = '{r.metric}') low_{r.metric}" for r in rules.RULES)} from every_s)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {fits} kept
-        from failed f left join own o on f.lang is not distinct from o.lang and f.source is not distinct from o.source left join per l on f.lang is not distinct from l.lang left join every a on true"""
+        from failed f left join typical on true left join own o on f.lang is not distinct from o.lang and f.source is not distinct from o.source left join per l on f.lang is not distinct from l.lang left join every a on true"""
 
 
 def caps(cosine: float = 0.93) -> str:

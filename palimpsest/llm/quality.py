@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, join_small, materialize
@@ -17,19 +18,23 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """Keep while low fence <= metric <= high fence; fences lie `spread` interquartile ranges, `least` at least, beyond the quartiles."""
+    """A share, (n + smooth) / (of + smooth * typical): `smooth` counts are added, with as much text as a typical document has for that many.
+    Or, without `smooth`, the mean n / of, with a typical document of typical mean added. Kept while it lies within the group's fence: above
+    it for means and shares, which rows without any n can't be, below it for means alone."""
 
     metric: str
-    spread: int
-    least: int
-    low: bool = False
-
-
-#: Metrics are whole numbers, in thousandths.
-RULES = (Rule("symbols_pm", 6, 30), Rule("dup_lines_pm", 6, 400), Rule("repeats_pm", 6, 200), Rule("word_length_pm", 8, 4000, low=True))
-#: Buckets of a sketch for each metric: thousandths in steps of 5 up to this many.
-STEP, MOST = 5, 4000
-#: Rows of the base checks that a (language, source) needs for its own fences; else its language's, else all rows' fences hold.
+    n: str
+    of: str
+    smooth: int = 0
+
+
+#: No rule has a cutoff: what is typical, the middle and the spread all come from the rows.
+RULES = (Rule("symbols", "n_symbols", "word_chars", 1), Rule("dup_lines", "n_dup_lines", "__n_lines", 1), Rule("repeats", "n_repeat_words", "n_words", WINDOW), Rule("word_length", "word_chars", "n_words"))
+#: Width of a sketch's buckets on the scale of logarithms: quantiles are exact to 0.2 %.
+STEP = 0.004
+#: Standard deviations that a fence lies beyond the median; quantiles, in percent, that they're estimated from, and where these lie in a normal distribution.
+SPREAD, QUANTILES = 5.0, ((75, 0.6745), (90, 1.2816))
+#: Different rows past the base checks that a (language, source) needs for its own fences; else its language's, else all rows' fences hold.
 GROUP_ROWS = 200
 
 
@@ -61,61 +66,115 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("__n_lines", F.size("__l")).drop("__w", "__l", "__g", "__p", "__t")
 
 
-def _metrics() -> dict[str, Column]:
-    part = lambda a, b: F.when(F.col(b) > 0, F.floor(1000 * F.col(a) / F.col(b))).otherwise(0).cast("long")
-    return {"symbols_pm": part("n_symbols", "word_chars"), "dup_lines_pm": part("n_dup_lines", "__n_lines"), "repeats_pm": part("n_repeat_words", "n_words"), "word_length_pm": part("word_chars", "n_words")}
+def bucket(x: Column) -> Column:
+    """Where a positive number lies in a sketch."""
+    return F.floor(F.ln(x) / STEP).cast("long")
+
+
+def _quantile(ranked: Column, rows: Column, percent: int) -> Column:
+    """Of a sketch, an array of (bucket, n) in order, the first bucket up to which so many percent of the rows lie."""
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("found"))
 
+    def step(a: Column, x: Column) -> Column:
+        upto = a["upto"] + x["n"]
+        return F.struct(upto.alias("upto"), F.when(a["found"].isNull() & (100 * upto >= percent * rows), x["bucket"]).otherwise(a["found"]).alias("found"))
 
-def sketch(df: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:
-    """Mergeable quantile sketches: for each group and metric the rows in each bucket. Sketches of parts add up exactly, in any order."""
-    pairs = F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*(F.least(F.floor(F.col(m) / STEP), F.lit(50 * MOST)) for m in metrics))))
+    return F.aggregate(ranked, start, step)["found"]
+
+
+def sketch(df: DataFrame, values: dict[str, Column], by: list[str]) -> DataFrame:
+    """Mergeable quantile sketches, (group, metric, bucket, n): how many rows of a group have a value in each bucket, and buckets are as wide
+    in proportion everywhere. Sketches of parts add up exactly, in any order, so quantiles are the same in every run."""
+    pairs = F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*map(bucket, values.values()))))
     return df.select(*by, pairs.alias("metric", "bucket")).groupBy(*by, "metric", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketches: DataFrame, by: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """For each group: its rows, and a low and high fence for each rule, from the sketch's quartiles (bucket starts)."""
-    up = Window.partitionBy(*by, "metric").orderBy("bucket")
-    whole = Window.partitionBy(*by, "metric")
-    ranked = sketches.withColumn("upto", F.sum("n").over(up)).withColumn("rows", F.sum("n").over(whole))
-    at = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("rows"), F.col("bucket") * STEP))
-    found = ranked.groupBy(*by, "metric").agg(F.max("rows").alias("rows"), at(25).alias("q1"), at(75).alias("q3"))
-    spread = F.col("q3") - F.col("q1")
-    out = [F.max("rows").alias("rows")]
+def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of larger groups from those of smaller ones."""
+    return sketches.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
+
+
+def spreads(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(group, metric, rows, middle, up, down): the median, and the standard deviation above and below it as the quantiles have it, in buckets.
+    A sketch has as many rows as buckets that occur, some thousands at most, whatever the number of rows."""
+    percents = [50, *(q for q, _ in QUANTILES), *(100 - q for q, _ in QUANTILES)]
+    gathered = sketches.groupBy(*by, "metric").agg(F.sum("n").alias("rows"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("all"))
+    found = gathered.select(*by, "metric", "rows", *(_quantile(F.col("all"), F.col("rows"), p).alias(f"q{p}") for p in percents))
+    up = F.greatest(*((F.col(f"q{q}") - F.col("q50")) / z for q, z in QUANTILES))
+    down = F.greatest(*((F.col("q50") - F.col(f"q{100 - q}")) / z for q, z in QUANTILES))
+    return found.select(*by, "metric", "rows", F.col("q50").alias("middle"), up.alias("up"), down.alias("down"))
+
+
+def _values(rules: tuple[Rule, ...], typical: dict[str, float]) -> dict[str, Column]:
+    out = {}
     for r in rules:
-        beyond = F.greatest(spread * r.spread, F.lit(r.least))
-        mine = F.col("metric") == r.metric
-        out.append(F.max(F.when(mine, F.col("q3") + beyond)).alias(f"high_{r.metric}"))
-        out.append(F.max(F.when(mine, F.col("q1") - beyond if r.low else F.lit(-1))).alias(f"low_{r.metric}"))
-    return found.groupBy(*by).agg(*out)
+        if r.smooth:
+            out[r.metric] = (F.col(r.n) + F.lit(float(r.smooth))) / (F.col(r.of) + F.lit(typical[r.of]))
+        else:
+            out[r.metric] = (F.col(r.n) + F.lit(typical[r.of] * typical[r.metric])) / (F.col(r.of) + F.lit(typical[r.of]))
+    return out
+
+
+@dataclass(frozen=True)
+class Fences:
+    """typical: median sizes of documents, and median means; groups: (__gl, __gs) and for each rule its low and high fence."""
+
+    typical: dict[str, float]
+    groups: DataFrame
 
 
-def fit(measured: DataFrame, lang: str = "lang", source: str = "source", rules: tuple[Rule, ...] = RULES, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """For each (language, source) of measured rows the fences that hold for it: a few numbers a group.
+def fit(measured: DataFrame, lang: str = "lang", source: str = "source", rules: tuple[Rule, ...] = RULES, group_rows: int = GROUP_ROWS) -> Fences | None:
+    """The fences of each (language, source) of measured rows: a few numbers a group. None if no row passed the base checks.
 
-    Fences come from the rows that passed the base checks. A group with fewer than `group_rows` of them takes its
-    language's fences, a language with fewer those of all rows. Sketches are merged up, rows are read once.
+    They come from the rows that passed the base checks; rows that agree in all measures count once, so that copies don't set
+    them. A group with fewer than `group_rows` takes its language's fences, a language with fewer those of all rows. Its standard
+    deviation counts as half of the groups' median one at least: a group of near copies has next to none. Sketches are merged up,
+    rows are read twice.
     """
-    metrics = [r.metric for r in rules]
-    passed = measured.where(~F.col("base_failed")).select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), *(_metrics()[m].alias(m) for m in metrics))
-    fine = materialize(sketch(passed, metrics, ["__lang", "__source"]), "sketch")
-    coarse = fine.groupBy("__lang", "metric", "bucket").agg(F.sum("n").alias("n"))
-    top = coarse.groupBy("metric", "bucket").agg(F.sum("n").alias("n")).withColumn("__all", F.lit(1))
-    names = [f"{side}_{m}" for m in metrics for side in ("low", "high")]
-    own = fences(fine, ["__lang", "__source"], rules)
-    per = fences(coarse, ["__lang"], rules).select(F.col("__lang").alias("__l2"), F.col("rows").alias("__r2"), *(F.col(c).alias(f"l_{c}") for c in names))
-    every = fences(top, ["__all"], rules).select(F.col("__all"), *(F.col(c).alias(f"a_{c}") for c in names))
-    chosen = own.join(per, F.col("__lang").eqNullSafe(F.col("__l2")), "left").withColumn("__all", F.lit(1)).join(every, "__all", "left")
-    pick = lambda c: F.when(F.col("rows") >= group_rows, F.col(c)).when(F.col("__r2") >= group_rows, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    return materialize(chosen.select(F.col("__lang").alias("__gl"), F.col("__source").alias("__gs"), *(pick(c).alias(f"__{c}") for c in names)), "fences")
-
-
-def apply(measured: DataFrame, chosen: DataFrame, lang: str = "lang", source: str = "source", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    used = list(dict.fromkeys(c for r in rules for c in (r.n, r.of)))
+    passed = measured.where(~F.col("base_failed")).select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), *used)
+    passed = materialize(passed.distinct(), "passed")
+    sizes = {c: F.col(c).cast("double") for c in dict.fromkeys(r.of for r in rules)} | {r.metric: F.col(r.n) / F.col(r.of) for r in rules if not r.smooth}
+    middles = {r["metric"]: r["middle"] for r in spreads(sketch(passed, sizes, []), []).collect()}
+    if not middles:
+        return None
+    typical = {k: math.exp((b + 0.5) * STEP) for k, b in middles.items()}
+    fine = materialize(sketch(passed, _values(rules, typical), ["__lang", "__source"]), "sketch")
+    coarse = merged(fine, ["__lang"])
+    by_own, by_lang = (materialize(spreads(x, by), "spreads") for x, by in ((fine, ["__lang", "__source"]), (coarse, ["__lang"])))
+    usual = by_own.groupBy("metric").agg(F.coalesce(F.median(F.when(F.col("rows") >= group_rows, F.col("up"))), F.lit(0.0)).alias("up"), F.coalesce(F.median(F.when(F.col("rows") >= group_rows, F.col("down"))), F.lit(0.0)).alias("down"))
+    usual = {r["metric"]: r for r in usual.collect()}
+    overall = {r["metric"]: r for r in spreads(merged(coarse, []), []).collect()}
+
+    def wide(found: DataFrame, by: list[str], mark: str) -> DataFrame:
+        out = [F.max("rows").alias(f"{mark}rows")]
+        for r in rules:
+            mine, least = F.col("metric") == r.metric, usual[r.metric]
+            high = F.col("middle") + SPREAD * F.greatest(F.col("up"), F.lit(least["up"] / 2))
+            low = F.col("middle") - SPREAD * F.greatest(F.col("down"), F.lit(least["down"] / 2))
+            out += [F.max(F.when(mine, high)).alias(f"{mark}high_{r.metric}"), F.max(F.when(mine, low)).alias(f"{mark}low_{r.metric}")]
+        return found.groupBy(*by).agg(*out)
+
+    own, per = wide(by_own, ["__lang", "__source"], "o_"), wide(by_lang, ["__lang"], "l_")
+    met = own.join(per.withColumnRenamed("__lang", "__l2"), F.col("__lang").eqNullSafe(F.col("__l2")), "left")
+    every = {f"high_{m}": x["middle"] + SPREAD * x["up"] for m, x in overall.items()} | {f"low_{m}": x["middle"] - SPREAD * x["down"] for m, x in overall.items()}
+    pick = lambda c: F.when(F.col("o_rows") >= group_rows, F.col(f"o_{c}")).when(F.col("l_rows") >= group_rows, F.col(f"l_{c}")).otherwise(F.lit(every[c]))
+    names = [f"{side}_{r.metric}" for r in rules for side in ("low", "high")]
+    return Fences(typical, materialize(met.select(F.col("__lang").alias("__gl"), F.col("__source").alias("__gs"), *(pick(c).alias(f"__{c}") for c in names)), "fences"))
+
+
+def apply(measured: DataFrame, fences: Fences | None, lang: str = "lang", source: str = "source", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """measured with kept boolean. The fences are few numbers a group; see join_small()."""
-    chosen = chosen.withColumnsRenamed({"__gl": lang, "__gs": source})
+    if fences is None:
+        return measured.withColumn("kept", ~F.col("base_failed")).drop("__n_lines")
+    chosen = fences.groups.withColumnsRenamed({"__gl": lang, "__gs": source})
     joined = join_small(measured, chosen, [lang, source], ["word_chars", "n_words", "n_symbols", "n_repeat_words"])
-    fits = ~F.col("base_failed")
+    fits, values = ~F.col("base_failed"), _values(rules, fences.typical)
     for r in rules:
-        fits &= F.coalesce(_metrics()[r.metric].between(F.col(f"__low_{r.metric}"), F.col(f"__high_{r.metric}")), F.lit(True))
+        at = bucket(values[r.metric])
+        inside = at <= F.col(f"__high_{r.metric}")
+        inside = inside | (F.col(r.n) == 0) if r.smooth else inside & (at >= F.col(f"__low_{r.metric}"))
+        fits &= F.coalesce(inside, F.lit(True))
     return joined.withColumn("kept", fits).drop(*(c for c in chosen.columns if c[:2] == "__"), "__n_lines")
 
 

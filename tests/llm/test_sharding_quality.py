@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter
@@ -60,9 +61,9 @@ def test_measures_equal_brute_force(spark):
 
 
 def documents(spark):
-    clean = [(i, f"w{i} " + " ".join(f"word{(i * 7 + j * j) % 97}x{j}" for j in range(60)), "en", f"s{i % 3}") for i in range(600)]
-    noisy = [(1000 + i, " ".join(f"word{(i + j * j) % 97}x{j}###" for j in range(60)), "en", "s0") for i in range(30)]
-    odd = [(2000, None, None, None), (2001, "", "en", None), (2002, " ".join(f"plain{i}x" for i in range(50)), None, "s0")]
+    clean = [(i, f"w{i} " + " ".join(f"word{(i * 7 + j * j) % 97}x{j}" for j in range(30 + i % 60)), "en", f"s{i % 3}") for i in range(900)]
+    noisy = [(1000 + i, " ".join(f"word{(i + j * j) % 97}x{j}###" for j in range(60)), "en", "s0") for i in range(15)]
+    odd = [(2000, None, None, None), (2001, "", "en", None), (2002, " ".join(f"word{(j * j) % 91}x{j}" for j in range(50)), None, "s0")]
     return spark.createDataFrame(clean + noisy + odd, "doc_id long, text string, lang string, source string")
 
 
@@ -70,17 +71,49 @@ def documents(spark):
 def test_adaptive_fences(spark, monkeypatch, broadcast):
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     got = {r.doc_id: r.kept for r in quality.judge(documents(spark)).collect()}
-    assert len(got) == 633
-    assert all(got[i] for i in range(600)) and not any(got[1000 + i] for i in range(30))
+    assert len(got) == 918
+    assert all(got[i] for i in range(900)) and not any(got[1000 + i] for i in range(15))
     assert not got[2000] and not got[2001] and got[2002]
 
 
+def code(i):
+    return f"w{i} " + " ".join(f"name{(i * 7 + j * j) % 97}{'x' * (i * j % 5)}" + ("$" if j * (i % 9 + 1) % 4 == 0 else "") for j in range(30 + i % 60))
+
+
+def prose(i):
+    return f"w{i} " + " ".join(f"name{(i * 7 + j * j) % 97}{'x' * (i * j % 5)}" for j in range(30 + i % 60))
+
+
+def test_the_same_text_fares_unlike_in_unlike_sources(spark):
+    rows = [(i, code(i), "en", "code") for i in range(400)] + [(1000 + i, prose(i), "en", "prose") for i in range(400)]
+    rows += [(5000 + i, code(i), "en", "prose") for i in range(10)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(400)) and all(got[1000 + i] for i in range(400))
+    assert not any(got[5000 + i] for i in range(10))
+
+
+def test_copies_do_not_set_the_fences(spark):
+    rows = [(i, prose(i), "en", "a") for i in range(400)] + [(1000 + i, prose(3), "en", "a") for i in range(1200)]
+    near = [(5000 + i, f"other{i:04d} " + prose(500), "en", "b") for i in range(900)] + [(9000 + i, prose(i), "en", "b") for i in range(100)]
+    got = quality.judge(spark.createDataFrame(rows + near, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept for r in got)
+
+
+def test_quantiles_are_those_of_the_rows(spark):
+    values = [1.0 + 3 * k / 1000 for k in range(1000)]
+    df = spark.createDataFrame([(v, k % 2) for k, v in enumerate(values)], "v double, g int").repartition(7)
+    found = quality.spreads(quality.merged(quality.sketch(df, {"m": F.col("v")}, ["g"]), []), []).first()
+    log = lambda q: math.log(sorted(values)[math.ceil(q * len(values)) - 1]) / quality.STEP
+    want = max((log(q / 100) - log(0.5)) / z for q, z in quality.QUANTILES), max((log(0.5) - log(1 - q / 100)) / z for q, z in quality.QUANTILES)
+    assert found["rows"] == 1000 and abs(found.middle - log(0.5)) <= 1 and abs(found.up - want[0]) < 2 and abs(found.down - want[1]) < 2
+
+
 def test_sketches_merge(spark):
-    df = quality.measure(documents(spark)).withColumns(quality._metrics())
-    whole = quality.sketch(df, ["word_length_pm"], ["lang"])
-    parts = quality.sketch(df.where("doc_id % 2 = 0"), ["word_length_pm"], ["lang"]).union(quality.sketch(df.where("doc_id % 2 = 1"), ["word_length_pm"], ["lang"]))
-    merged = parts.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
-    assert sorted(map(str, whole.collect())) == sorted(map(str, merged.select(whole.columns).collect()))
+    df = quality.measure(documents(spark))
+    values = {"w": F.col("n_words") + 1.0}
+    whole = quality.sketch(df, values, ["lang"])
+    parts = quality.sketch(df.where("doc_id % 2 = 0"), values, ["lang"]).union(quality.sketch(df.where("doc_id % 2 = 1"), values, ["lang"]))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, quality.merged(parts, ["lang"]).select(whole.columns).collect()))
 
 
 def test_empty(spark):
