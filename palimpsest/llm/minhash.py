@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ from .words import distinct_words
 SHINGLE, BANDS, ROWS = 5, 28, 5
 #: Darts have ranks; the first stretch of ranks, and as long as some coordinate is empty another as long as all before.
 FIRST_STRETCH = 0.125
-#: Rounds in which each bucket is compared with one of its members, before all that is left is.
-HUB_ROUNDS = 2
-#: Members and elements that are compared together; rows of a few numbers that may be broadcast.
+#: Rounds in which each bucket is compared with one of its members, before what is left is dealt anew; members that meet one copy of such a member.
+HUB_ROUNDS, HUB_MEMBERS = 2, 256
+#: Members and elements that are compared together; rows of a few numbers, 32 bytes at most, that may be broadcast.
 CHUNK, CHUNK_ELEMENTS, BROADCAST_IDS = 512, 1_000_000, 500_000
 
 
@@ -119,13 +120,16 @@ def occurrences(rows: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> t
     return rows[at], mix(shingles[at] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _weights(counts: np.ndarray, weigh: str) -> np.ndarray:
-    return counts if weigh == "count" else np.ones(len(counts), np.int64)
+def weights_of(counts: np.ndarray, weigh: str) -> np.ndarray:
+    """Whole weights of shingles from how often their text has them: 'log', the bits of that number, so each doubling adds 1; 'count', the number
+    itself; 'set', 1."""
+    if weigh not in ("log", "count", "set"):
+        raise ValueError(f"no such weights: {weigh}")
+    return counts if weigh == "count" else np.frexp(counts.astype(np.float64))[1].astype(np.int64) if weigh == "log" else np.ones(len(counts), np.int64)
 
 
-def sketch(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weigh: str = "set") -> DataFrame:
-    """Per row: id long, point binary (128-bit hash of the whole weighted set; null without words), bands array<long>.
-    weigh: 'set', each shingle weighs 1; 'count', as much as it's frequent in its text."""
+def sketch(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weigh: str = "log") -> DataFrame:
+    """Per row: id long, point binary (128-bit hash of the whole weighted set; null without words), bands array<long>. weigh: see weights_of()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, salts = Shingles(shingle), np.array([_salt(b, "band") for b in range(bands)])
@@ -133,7 +137,7 @@ def sketch(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int =
         for batch in text_slices(batches, "text"):
             n = batch.num_rows
             at, elements, counts = maker.sets(batch.column("text"))
-            weights = _weights(counts, weigh)
+            weights = weights_of(counts, weigh)
             signs = dart_signatures(at, elements, weights.astype(np.float64), n, bands * rows)
             keys = mix((signs.reshape(n, bands, rows) * odd).sum(2, dtype=np.uint64) + salts).astype(np.int64)
             ends = np.searchsorted(at, np.arange(n + 1))
@@ -146,30 +150,32 @@ def sketch(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int =
 
 
 def elements(df: DataFrame, shingle: int, weigh: str) -> DataFrame:
-    """Of rows (id, text) the elements array<long> that verification compares."""
+    """Of rows (id, text) the elements array<long> that verification compares, and their number n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Shingles(shingle)
         for batch in text_slices(batches, "text"):
             at, shingles, counts = maker.sets(batch.column("text"))
-            at, every = occurrences(at, shingles, _weights(counts, weigh))
+            at, every = occurrences(at, shingles, weights_of(counts, weigh))
             ends = np.searchsorted(at, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(ends), pa.int32()), lists], ["id", "n", "elements"])
 
-    return df.select("id", "text").mapInArrow(run, "id long, elements array<bigint>")
+    return df.select("id", "text").mapInArrow(run, "id long, n int, elements array<bigint>")
 
 
-def near_duplicates(df: DataFrame, similarity: float = 0.8, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weigh: str = "set") -> DataFrame:
+def near_duplicates(df: DataFrame, similarity: float = 0.8, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weigh: str = "log") -> DataFrame:
     """One row per row of df: id, class_id long (smallest id of its class), kept boolean (id = class_id).
 
-    Links: (weighted) Jaccard similarity of five-word shingles of `similarity` or more, computed exactly for pairs that share a
-    band. Classes: reachable by links. Equal sets are one point from the start. In a bucket of points that share a band all are
-    compared with one of them, then those of other classes than it with another; what is apart after that is compared in the
-    bucket's tasks, all with all other classes. So every pair of a bucket is compared or already of one class, and hot buckets cost
-    rows, not pairs. Documents without a word and null ids have a class of their own and stay; rows that repeat an id are one
-    document, all stay or go together. Whole texts count, of any length. Empty table: no rows. The result is a stored table; what
-    it was made from is deleted.
+    Links: weighted Jaccard similarity, sum of minima by sum of maxima, of five-word shingles of `similarity` or more, computed exactly
+    for pairs that share a band. A shingle weighs more the more often its text has it (weights_of()). Classes: reachable by links. Equal sets are one point from the
+    start. In a bucket of points that share a band all are compared with one of them, a hub, then those of other classes than it
+    with another; hubs are copied for every HUB_MEMBERS members. Buckets that are of several classes still are dealt anew by the rarest
+    elements of their members (see finer()), for two more rounds; what is apart then is compared in the buckets' tasks, all with all other
+    classes, in chunks. So every pair of a bucket is compared, or ruled out, or already of one class. Documents without a word and
+    null ids have a class of their own and stay; rows that repeat an id are one document, all stay or go together. Whole texts count, of
+    any length. Ties: the smallest id. Empty table: no rows. Columns besides id and text aren't read. The result is a stored table; what it was
+    made from is deleted.
     """
     with scratch_scope() as made:
         out = materialize(_near_duplicates(df, similarity, id, text, shingle, bands, rows, weigh), "classes")
@@ -188,30 +194,16 @@ def _near_duplicates(df: DataFrame, similarity: float, id: str, text: str, shing
     # few ids by count are broadcast, so that no text is shuffled
     texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(few(wanted, BROADCAST_IDS), "id", "left_semi")
     sets = materialize(elements(texts, shingle, weigh).dropDuplicates(["id"]), "elements")
-    seen = links = roots = None
-    for turn in range(HUB_ROUNDS + 1):
-        members = shared if roots is None else shared.join(few(roots, BROADCAST_IDS), "id", "left")
-        members = materialize(members.select("key", "id", F.coalesce("root", "id").alias("root") if roots else F.col("id").alias("root")), "members")
-        hub = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("hub")
-        split = members.groupBy("key").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        split = materialize(split.select("key", F.col("hub.id").alias("other"), F.col("hub.root").alias("hub_root")), "hubs")
-        if split.isEmpty():
-            break
-        apart = members.join(few(split, BROADCAST_IDS), "key")
-        if turn == HUB_ROUNDS:
-            found = _compare(apart.select("key", "id", "root"), sets, similarity)
-            roots = connect(found if links is None else links.unionByName(found), "classes")
-            break
-        more = apart.where("root != hub_root").select("id", "other")
-        more = more.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct()
-        more = materialize(more if seen is None else more.join(few(seen, BROADCAST_IDS), ["id", "other"], "left_anti"), "pairs")
-        drop_scratch(members)
-        if more.isEmpty():
-            continue
-        found = verify(more, sets, similarity)
-        links = found if links is None else links.unionByName(found)
-        seen = more if seen is None else seen.unionByName(more)
-        roots = connect(links, "classes")
+    state = Classes()
+    apart = compare_with_hubs(shared, sets, similarity, state, 0)
+    rest = None if apart is None else compare_with_hubs(finer(apart, sets, similarity), sets, similarity, state, HUB_ROUNDS)
+    if rest is not None:
+        ids = materialize(rest.select("id").distinct(), "ids")
+        apart = apart.select("key", "id").join(few(ids, BROADCAST_IDS), "id")
+        if state.roots is not None:
+            apart = apart.join(few(state.roots, BROADCAST_IDS), "id", "left")
+        state.add(_compare(apart.select("key", "id", F.coalesce("root", "id").alias("root") if state.roots else F.col("id").alias("root")), sets, similarity))
+    roots = state.roots
     if roots is None:
         classes = points.select("point", F.col("id").alias("class_id"))
     else:
@@ -222,6 +214,60 @@ def _near_duplicates(df: DataFrame, similarity: float, id: str, text: str, shing
     return met.withColumn("kept", F.coalesce(F.col(id) == F.col("class_id"), F.lit(True)))
 
 
+@dataclass
+class Classes:
+    """Links found so far, pairs that were compared, and the classes that the links make."""
+
+    links: DataFrame | None = None
+    seen: DataFrame | None = None
+    roots: DataFrame | None = None
+
+    def add(self, links: DataFrame, pairs: DataFrame | None = None) -> None:
+        self.links = links if self.links is None else self.links.unionByName(links)
+        if pairs is not None:
+            self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        self.roots = connect(self.links, "classes")
+
+
+def compare_with_hubs(buckets: DataFrame, sets: DataFrame, similarity: float, state: Classes, first: int) -> DataFrame | None:
+    """Compares the members of each bucket (key, id) with one of them, HUB_ROUNDS times, and adds what is found to `state`. Members (key, id, root) of
+    buckets that are of several classes still; None if there is none."""
+    for turn in range(first, first + HUB_ROUNDS + 1):
+        own = F.coalesce("root", "id").alias("root") if state.roots else F.col("id").alias("root")
+        members = materialize((buckets.join(few(state.roots, BROADCAST_IDS), "id", "left") if state.roots else buckets).select("key", "id", own), "members")
+        hub = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("hub")
+        split = members.groupBy("key").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        split = materialize(split.select("key", F.col("hub.id").alias("other"), F.col("hub.root").alias("hub_root")), "hubs")
+        if split.isEmpty():
+            return None
+        apart = members.join(few(split, BROADCAST_IDS), "key")
+        if turn == first + HUB_ROUNDS:
+            return materialize(apart.select("key", "id", "root"), "apart")
+        more = apart.where("root != hub_root").select("id", "other")
+        more = more.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct()
+        more = materialize(more if state.seen is None else more.join(few(state.seen, BROADCAST_IDS), ["id", "other"], "left_anti"), "pairs")
+        drop_scratch(members)
+        if not more.isEmpty():
+            state.add(verify(more, sets, similarity), more)
+
+
+def finer(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Smaller buckets (key, id) of the members of buckets: similar ones meet in one still.
+
+    Elements are put in an order, rarest among these members first. Of two sets of the given similarity the part of size - ceil(similarity *
+    size) + 1 that comes first has an element in common, so that element can be their bucket. Common elements, such as a pair of words
+    that thousands of documents repeat, come last and make no bucket unless a document has little else.
+    """
+    ids = materialize(apart.select("id").distinct(), "ids")
+    long = sets.join(few(ids, BROADCAST_IDS), "id").select("id", F.col("n").alias("size"), F.explode("elements").alias("element"))
+    long = materialize(long, "long")
+    often = long.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    shared = long.join(materialize(often, "often"), "element").groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "element"))).alias("common"))
+    reach = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("common"))
+    keys = shared.where(reach > 0).select("id", F.explode(F.slice("common", F.lit(1), reach.cast("int"))["element"]).alias("key"))
+    return materialize(keys.select("key", "id"), "buckets")
+
+
 def _compare(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members of a bucket that are of different classes; enough of them to tie together all that is linked.
 
@@ -229,12 +275,14 @@ def _compare(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     compared with all members of other classes at once; where it's linked the classes become one. Pairs never leave the task.
     """
     apart = materialize(apart, "apart")
-    sizes = apart.join(few(materialize(sets.select("id", F.size("elements").alias("size")), "sizes"), BROADCAST_IDS), "id")
-    sizes = sizes.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
+    split = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    apart = materialize(apart.join(few(materialize(split, "split"), BROADCAST_IDS), "key"), "apart")
+    sizes = sets.select("id", "n").join(few(apart, BROADCAST_IDS), "id")
+    sizes = sizes.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
     met = apart.join(few(materialize(sizes, "chunks"), BROADCAST_IDS), "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("id", "root", "part", F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with")).alias("bucket"), (F.col("part") == F.col("with")).alias("one"))
-    met = materialize(met.join(sets, "id"), "dealt")
+    met = materialize(met.join(sets.select("id", "elements"), "id"), "dealt")
     total = met.agg(F.sum(F.size("elements"))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +330,18 @@ def _tied(bucket: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b): the pairs whose sets' similarity is at least `similarity`."""
-    left = sets.select("id", F.col("elements").alias("x"))
-    right = sets.select(F.col("id").alias("other"), F.col("elements").alias("y"))
-    met = left.join(few(pairs, BROADCAST_IDS), "id").join(right, "other")
+    """Links (a, b): the pairs (id, other) whose sets' similarity is at least `similarity`. An `other` of many pairs is copied, once for each
+    HUB_MEMBERS of them, and the pairs are dealt to its copies by a hash, so no task gets all that is compared with it. Sets of too unlike sizes
+    are left out before any elements are moved."""
+    sized = materialize(sets.select("id", "n").join(few(pairs, BROADCAST_IDS), "id"), "sized")
+    sized = sets.select(F.col("id").alias("other"), F.col("n").alias("m")).join(few(sized, BROADCAST_IDS), "other")
+    pairs = materialize(sized.where(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9).select("id", "other"), "pairs")
+    hubs = materialize(pairs.groupBy("other").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("copies")), "hubs")
+    dealt = pairs.join(few(hubs, BROADCAST_IDS), "other").select("id", "other", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("copy"))
+    right = sets.select(F.col("id").alias("other"), F.col("elements").alias("y")).join(few(hubs, BROADCAST_IDS), "other")
+    right = right.select("other", "y", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    left = sets.select("id", F.col("elements").alias("x")).join(few(materialize(dealt, "dealt"), BROADCAST_IDS), "id")
+    met = left.join(right, ["other", "copy"])
     both = F.size(F.array_intersect("x", "y"))
     met = met.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both) - 1e-9)
     return materialize(met.select(F.col("id").alias("a"), F.col("other").alias("b")), "links")

@@ -12,10 +12,10 @@ REACHED = "reached(id, root) as (select id, id from ids union select l.b, r.root
 
 def minhash(similarity: float = 0.8) -> str:
     return f"""with recursive words as (select doc_id, {WORDS.replace("coalesce(text, '')", "lower(coalesce(text, ''))")} w from documents),
-        sets as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [list_aggregate(w, 'string_agg', ' ')]
-          else list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) end)) g from words),
-        sizes as (select doc_id, count(*) n from sets group by doc_id),
-        met as (select a.doc_id a, b.doc_id b, count(*) n from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        sets as (select doc_id, g, length(bin(count(*))) w from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [list_aggregate(w, 'string_agg', ' ')]
+          else list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) end) g from words) group by all),
+        sizes as (select doc_id, sum(w) n from sets group by doc_id),
+        met as (select a.doc_id a, b.doc_id b, sum(least(a.w, b.w)) n from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by all),
         pairs as (select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b where met.n >= {similarity} * (x.n + y.n - met.n) - 1e-9),
         links as (select a, b from pairs union select b, a from pairs), ids as (select doc_id id from documents), {REACHED}
         select id doc_id, root class_id, id = root kept from roots"""

@@ -75,8 +75,8 @@ def similarity_links(texts, weigh):
     for t in texts:
         w = (t or "").lower().split()
         sets.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else []))
-    if weigh == "set":
-        sets = [Counter(set(s)) for s in sets]
+    weight = {"set": lambda n: 1, "count": lambda n: n, "log": int.bit_length}[weigh]
+    sets = [Counter({g: weight(n) for g, n in s.items()}) for s in sets]
     where = defaultdict(set)
     for i, s in enumerate(sets):
         for g in s:
@@ -88,10 +88,11 @@ def similarity_links(texts, weigh):
             yield a, b
 
 
-@pytest.mark.parametrize("rounds, weigh, chunk, ids", [(0, "set", 3, 1), (4, "set", 1024, 10**6), (1, "count", 1024, 10**6)])
+@pytest.mark.parametrize("rounds, weigh, chunk, ids", [(0, "set", 3, 1), (4, "log", 1024, 10**6), (1, "count", 1024, 10**6), (0, "count", 3, 10**6), (1, "log", 512, 1)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, rounds, weigh, chunk, ids):
     monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
     monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "HUB_MEMBERS", chunk)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", ids)
     monkeypatch.setattr(common, "LOCAL_LINKS", ids)
     texts = make_texts()
@@ -102,6 +103,45 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, rounds, weigh, ch
     assert all(r.kept == (r.class_id == i) for i, r in got.items())
 
 
+def test_weights():
+    counts = np.array([1, 2, 3, 4, 7, 8, 298, 1 << 40])
+    assert minhash.weights_of(counts, "log").tolist() == [int(c).bit_length() for c in counts]
+    assert minhash.weights_of(counts, "count").tolist() == counts.tolist() and set(minhash.weights_of(counts, "set")) == {1}
+    with pytest.raises(ValueError):
+        minhash.weights_of(counts, "idf")
+
+
+def test_weights_decide(spark):
+    """Two texts with the same shingles, of which one repeats a line: alike as sets, not by weights."""
+    line = " ".join(f"a{i}" for i in range(9))
+    texts = [line, "\n".join([line] * 40), "\n".join([line] * 41)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {w: [r.class_id for r in minhash.near_duplicates(df, shingle=2, weigh=w).orderBy("doc_id").collect()] for w in ("log", "count", "set")}
+    assert found["log"] == [0, 1, 1] and found["count"] == [0, 1, 1]
+    plain = minhash.Shingles(5).sets(pa.array(texts))
+    assert len(set(minhash.weights_of(plain[2], "log"))) > 1
+
+
+def test_finer_buckets_keep_all_similar_pairs(spark):
+    draw = np.random.default_rng(3)
+    sets = {}
+    for i in range(0, 120, 3):
+        base = [int(x) for x in draw.integers(0, 1 << 40, draw.integers(1, 60))]
+        for j in range(3):
+            own = list(base)
+            for _ in range(draw.integers(0, 1 + len(own) // 9)):
+                own[draw.integers(len(own))] = int(draw.integers(0, 1 << 40))
+            sets[i + j] = sorted({*own, 1, 2, 3})
+    rows = spark.createDataFrame([(i, len(s), s) for i, s in sets.items()], "id long, n int, elements array<bigint>")
+    apart = spark.createDataFrame([(7, i, i) for i in sets], "key long, id long, root long")
+    where = defaultdict(set)
+    for r in minhash.finer(apart, rows, 0.8).collect():
+        where[r.key].add(r.id)
+    met = {(a, b) for x in where.values() for a in x for b in x if a < b}
+    alike = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert alike and alike <= met and len(met) < 1000
+
+
 def test_repeated_and_null_ids(spark):
     long = "a b c d e f g h i j"
     df = spark.createDataFrame([(1, long), (1, long), (2, long), (None, long), (None, None)], "doc_id long, text string")

@@ -47,7 +47,7 @@ def test_pipeline_equals_the_plain_way(spark, folder):
     rows = list(dict.fromkeys(r for r in documents() if not (r[0] or 0) // 2000 == 1))  # without the junk
     named = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
     texts = [r[1] for r in named]
-    root = classes(range(len(texts)), similarity_links(texts, "set"))
+    root = classes(range(len(texts)), similarity_links(texts, "log"))
     left = [r for i, r in enumerate(named) if root[i] == i] + [r for r in rows if r[0] is None]
     feistel, plain = private.Feistel(corpus_pipeline.PSEUDONYM_KEY), Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want = {r[0]: [*plain.encode(private.replace(r[1], private.find(r[1], feistel)), add_special_tokens=False).ids, 2] for r in left}
