@@ -11,8 +11,9 @@ from .log import OVERHEAD
 
 #: Bytes after which a buffer is flushed.
 THRESHOLD = 4 << 20
-#: Functions that one task puts together, and buffers' worth of bytes in a stretch.
-FAN_IN, STRETCH = 64, 64
+#: Functions that one task puts together; buffers' worth of bytes in a stretch, and its seq numbers at most; stretches whose runs' ends, about
+#: STRETCH numbers each, may be broadcast.
+FAN_IN, STRETCH, STRETCH_ROWS, BROADCAST_STRETCHES = 64, 64, 1 << 20, 10_000
 
 
 def entry_bytes(key: str = "key", value: str = "value") -> Column:
@@ -82,14 +83,13 @@ def _steps(sums: np.ndarray, before: int, threshold: int) -> tuple[np.ndarray, n
     return _simplify(sums[first] - threshold, sums[end[first]], number[first] + 1)
 
 
-def _numbers(sums: np.ndarray, start: int, run: int, threshold: int) -> np.ndarray:
-    """The run of each entry of a stretch that begins with this run open since `start`."""
-    ends = np.zeros(len(sums) + 1, np.int64)
-    i = int(np.searchsorted(sums, start + threshold, side="left"))
+def _ends(sums: np.ndarray, start: int, threshold: int) -> np.ndarray:
+    """Places of the entries of a stretch that end a run, if one is open since `start` where it begins."""
+    ends, i = [], int(np.searchsorted(sums, start + threshold, side="left"))
     while i < len(sums):
-        ends[i + 1] = 1
+        ends.append(i)
         i = int(np.searchsorted(sums, sums[i] + threshold, side="left"))
-    return run + np.cumsum(ends[:-1])
+    return np.array(ends, np.int64)
 
 
 _FUNCTION = "up array<bigint>, out array<bigint>, jumps array<bigint>"
@@ -114,51 +114,48 @@ def _handed_down(rows: pd.DataFrame, start: int, run: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["stretch", "start", "run"])
 
 
-def _starts(functions: DataFrame, start: int = 0, run: int = 1) -> DataFrame:
-    """(stretch, start, run) for each stretch; functions: (stretch, up, out, jumps), numbered from 0 without gaps."""
-    functions = functions.cache()
-    if functions.count() <= FAN_IN:
-        out = functions.sparkSession.createDataFrame(_handed_down(functions.toPandas(), start, run), "stretch long, start long, run long")
-        functions.unpersist()
-        return out
+def _starts(functions: DataFrame, number: int, start: int = 0, run: int = 1) -> DataFrame:
+    """(stretch, start, run) for each stretch; functions: (stretch, up, out, jumps), `number` of them from 0 without gaps."""
+    if number <= FAN_IN:
+        return functions.sparkSession.createDataFrame(_handed_down(functions.toPandas(), start, run), "stretch long, start long, run long")
     grouped = functions.withColumn("upper", F.floor(F.col("stretch") / FAN_IN))
 
     def rise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[key[0], *_lists(_composed(rows))]], columns=["stretch", "up", "out", "jumps"])
 
-    above = _starts(grouped.groupBy("upper").applyInPandas(rise, f"stretch long, {_FUNCTION}"), start, run)
+    above = _starts(grouped.groupBy("upper").applyInPandas(rise, f"stretch long, {_FUNCTION}"), -(-number // FAN_IN), start, run)
     met = grouped.join(above.select(F.col("stretch").alias("upper"), "start", "run"), "upper")
     return met.groupBy("upper").applyInPandas(lambda rows: _handed_down(rows, int(rows["start"].iloc[0]), int(rows["run"].iloc[0])), "stretch long, start long, run long")
 
 
 def cut(log: DataFrame, threshold: int = THRESHOLD, rows_each: int | None = None, seq: str = "seq", run: str = "run") -> DataFrame:
     """log with the number of its run, from 1: entries in the order of seq fill a buffer that is flushed after the entry that brings it to
-    `threshold` bytes. rows_each: seq numbers of a stretch, by default as many as hold about STRETCH buffers. seq: unique."""
+    `threshold` bytes. rows_each: seq numbers of a stretch, by default as many as hold about STRETCH buffers. seq: unique. Python sees seqs and sizes
+    alone, a stretch at a time, and gives back the seqs that end a run; rows get their run from these by native functions."""
     if rows_each is None:
         seen = buffer_size(log).first()
-        rows_each = max(1, STRETCH * threshold * max(seen["entries"], 1) // max(seen["bytes"], 1))
-    sized = log.withColumn("__stretch", F.floor(F.col(seq) / rows_each)).withColumn("__size", entry_bytes())
-    totals = sized.groupBy("__stretch").agg(F.sum("__size").alias("total"))
-    line = Window.orderBy("__stretch")
-    totals = totals.select("__stretch", (F.row_number().over(line) - 1).cast("long").alias("stretch"), (F.sum("total").over(line) - F.col("total")).alias("before"))
-    sized = sized.join(totals, "__stretch").drop("__stretch")
+        rows_each = min(STRETCH_ROWS, max(1, STRETCH * threshold * max(seen["entries"], 1) // max(seen["bytes"], 1)))
+    place = F.floor(F.col(seq) / rows_each)
+    slim = log.select(F.col(seq).alias("seq"), entry_bytes().alias("size"), place.alias("place"))
+    totals = slim.groupBy("place").agg(F.sum("size").alias("total"))
+    line = Window.orderBy("place")
+    totals = totals.select("place", (F.row_number().over(line) - 1).cast("long").alias("stretch"), (F.sum("total").over(line) - F.col("total")).alias("before"))
+    slim, number = slim.join(totals, "place"), totals.count()
 
     def steps(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows, before = rows.sort_values("seq"), int(rows["before"].iloc[0])
         found = _steps(before + rows["size"].to_numpy(np.int64).cumsum(), before, threshold)
         return pd.DataFrame([[key[0], *_lists(found)]], columns=["stretch", "up", "out", "jumps"])
 
-    slim = sized.select("stretch", "before", F.col(seq).alias("seq"), F.col("__size").alias("size"))
-    starts = _starts(slim.groupBy("stretch").applyInPandas(steps, f"stretch long, {_FUNCTION}"))
-
-    columns = [*log.columns, run]
-
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq)
-        sums = int(rows["before"].iloc[0]) + rows["__size"].to_numpy(np.int64).cumsum()
-        rows[run] = _numbers(sums, int(rows["__start"].iloc[0]), int(rows["__run"].iloc[0]), threshold)
-        return rows[columns]
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema)
-    met = sized.join(starts.select("stretch", F.col("start").alias("__start"), F.col("run").alias("__run")), "stretch")
-    return met.groupBy("stretch").applyInPandas(number, f"{kinds}, `{run}` long")
+    def ended(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        sums = int(rows["before"].iloc[0]) + rows["size"].to_numpy(np.int64).cumsum()
+        ends = rows["seq"].to_numpy(np.int64)[_ends(sums, int(rows["start"].iloc[0]), threshold)]
+        return pd.DataFrame([[int(rows["place"].iloc[0]), int(rows["run"].iloc[0]), ends.tolist()]], columns=["place", "first", "ends"])
+
+    starts = _starts(slim.groupBy("stretch").applyInPandas(steps, f"stretch long, {_FUNCTION}"), number)
+    ends = slim.join(starts, "stretch").groupBy("stretch").applyInPandas(ended, "place long, first long, ends array<bigint>")
+    ends = ends.select(F.col("place").alias("__place"), F.col("first").alias("__first"), F.col("ends").alias("__ends"))
+    met = log.withColumn("__place", place).join(F.broadcast(ends) if number <= BROADCAST_STRETCHES else ends, "__place")
+    before = F.size(F.filter("__ends", lambda e: e < F.col(seq)))
+    return met.withColumn(run, (F.col("__first") + before).cast("long")).select(*(c for c in log.columns if c != run), run)

@@ -6,6 +6,7 @@ values are shown as text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from ..functions import codec
 from ..operators import log as reads
 from ..operators import runs as cuts
 from ..sources import bytelog
+from ..sources.buffer import Buffer
+from ..sources.scratch import scratch_dir
+from ..sources.store import Store
 
 #: Bytes of a run in the queries that cut the log, so that small tables give many runs.
 RUN_BYTES = 4096
@@ -219,6 +223,121 @@ def tuple_field(spark, sf_dir):
     return codec.read_field(coded, TYPED, "maybe").select("p_partkey", "maybe")
 
 
+# The life of a store
+
+
+def _store(spark: SparkSession, **options) -> Store:
+    """A new store in the scratch folder."""
+    return Store.open(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}", **{"threshold": 1 << 40} | options)
+
+
+def _batches(spark: SparkSession, sf_dir: str, parts: int) -> list[DataFrame]:
+    """The canonical log's rows without their seqs, in so many batches."""
+    log = events_log(spark, sf_dir)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    cuts_at = [last * i // parts for i in range(parts + 1)]
+    return [log.where((F.col("seq") > a) & (F.col("seq") <= b)) for a, b in zip(cuts_at[:-1], cuts_at[1:], strict=True)]
+
+
+def _filled(spark: SparkSession, sf_dir: str, parts: int, flush: bool) -> Store:
+    store = _store(spark)
+    for batch in _batches(spark, sf_dir, parts):
+        store.write_batch(batch, order=["seq"])
+        if flush:
+            store.flush()
+    return store
+
+
+def store_flush_reopen(spark, sf_dir):
+    """Puts and deletes in batches, each flushed to a run, read by a store that is opened anew."""
+    return shown(Store.open(spark, _filled(spark, sf_dir, 2, True).config.path).scan())
+
+
+def store_recover(spark, sf_dir):
+    """Unflushed batches after a crash: a run was written, the manifest that names it wasn't."""
+    store = _filled(spark, sf_dir, 2, False)
+    store._write_run(store.buffer(), 1, 1 << 20)
+    again = Store.open(spark, store.config.path)
+    again.collect_garbage()
+    return shown(again.buffer())
+
+
+def store_threshold(spark, sf_dir):
+    """Batches fill the buffer up to the threshold, which one flushes."""
+    first, *_ = batches = _batches(spark, sf_dir, 4)
+    store = _store(spark, threshold=cuts.buffer_size(first.union(batches[1])).first()["bytes"])
+    for batch in batches[:3]:
+        store.write_batch(batch, order=["seq"])
+    stats = Store.open(spark, store.config.path).stats()
+    return spark.createDataFrame([(stats["runs"], stats["total_entries"], stats["memtable_entries"], stats["next_seq"])], "runs long, total_entries long, memtable_entries long, next_seq long")
+
+
+def store_delete(spark, sf_dir):
+    """All customers are put, some deleted, some of these put again, with flushes between."""
+    store, customers = _store(spark), table(spark, sf_dir, "customer")
+    store.put_batch(customers.withColumn("k", F.col("c_custkey").cast("string")), key="k", value="c_name", order=["c_custkey"])
+    store.flush()
+    store.delete_batch(customers.where("c_nationkey < 10").withColumn("k", F.col("c_custkey").cast("string")), key="k", order=["c_custkey"])
+    store.flush()
+    store.put_batch(customers.where("c_nationkey < 3").selectExpr("c_custkey", "cast(c_custkey as string) k", "'again' v"), key="k", value="v", order=["c_custkey"])
+    return shown(store.scan_live())
+
+
+def store_compact(spark, sf_dir):
+    """All runs put together as one: the newest versions, no tombstones."""
+    store = _filled(spark, sf_dir, 4, True)
+    run = store.compact()
+    return shown(store.run(run.id))
+
+
+def store_snapshot(spark, sf_dir):
+    """A frame from before a flush and a compaction, read after them."""
+    store = _filled(spark, sf_dir, 1, False)
+    before = store.scan()
+    store.flush()
+    store.compact()
+    return shown(before)
+
+
+def store_runs(spark, sf_dir):
+    """What is known of the runs of a store that is opened anew, newest first."""
+    return shown(Store.open(spark, _filled(spark, sf_dir, 3, True).config.path).runs())
+
+
+def run_get(spark, sf_dir):
+    """Every version of a key in one run."""
+    return shown(_filled(spark, sf_dir, 2, True).reader(1).get_all(b"13"))
+
+
+def store_lookup(spark, sf_dir):
+    """Many keys at once, from runs and unflushed batches."""
+    store = _filled(spark, sf_dir, 2, True)
+    store.delete("13")
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").cast("binary").alias("key"))
+    return shown(store.multi_get(keys))
+
+
+def buffer_rows(spark, sf_dir):
+    """A buffer's rows after puts, overwrites and deletes of the nations."""
+    nations, buffer = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect(), Buffer()
+    for r in nations:
+        buffer.put(r.n_name, str(r.n_nationkey))
+    for r in nations:
+        if r.n_regionkey == 1:
+            buffer.delete(r.n_name)
+    for r in nations:
+        if r.n_nationkey % 7 == 0:
+            buffer.put_with_seq(r.n_name, "late", 100 + r.n_nationkey)
+    return shown(buffer.log(spark))
+
+
+def typed_files(spark, sf_dir):
+    """Typed rows written to files and read back."""
+    path = f"{scratch_dir(spark)}/typed-{uuid.uuid4().hex}"
+    bytelog.write_rows(_typed(spark, sf_dir), path)
+    return bytelog.read_rows(spark, path, TYPED)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: live rows."""
     return scan_live(spark, sf_dir)
@@ -227,7 +346,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     scan, scan_latest, scan_live, scan_live_orders, scan_live_documents, get, get_all, get_deleted, range_live, multi_get, as_of, versions, merge_runs, merge_duplicates, latest_of_merged_runs, compact_part, compact_whole,
     memtable_size, flush_runs, run_meta, stats, zone_map_prune, run_order, tombstones, key_order, varint, varint_roundtrip, serialized_size, entry_encode, entry_encode_documents, entry_decode, wal_encode, wal_replay,
-    tuple_roundtrip, tuple_encode, tuple_field,
+    tuple_roundtrip, tuple_encode, tuple_field, store_flush_reopen, store_recover, store_threshold, store_delete, store_compact, store_snapshot, store_runs, run_get, store_lookup, buffer_rows, typed_files,
 )
 
 
@@ -281,6 +400,11 @@ RECORD = f"upper(concat(case when v is null then '02' else '01' end, {_hex_littl
 TYPED_SQL = "select p_partkey, p_name, p_size, p_retailprice, p_retailprice < 1000 cheap, case when p_size % 3 <> 0 then p_size end maybe from part"
 
 
+#: The part of the log that each of n batches takes.
+def _batched(n: int) -> str:
+    return f"{LOG}, top as (select max(seq) m from log), batched as (select *, (select count(*) from range(1, {n}) r(i) where seq > m * i // {n}) + 1 run from log, top)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "scan": f"with {LOG} select * from log",
@@ -319,5 +443,20 @@ def oracle_sql() -> dict[str, str]:
         "wal_replay": f"with {LOG} select * from log",
         "tuple_roundtrip": TYPED_SQL,
         "tuple_encode": f"""select c_custkey a, upper(concat(case when c_nationkey % 2 = 0 then '00' else '02' end, {_hex_little('c_custkey', 8)}, case when c_nationkey % 2 = 0 then {_hex_little('c_nationkey', 4)} else '' end, {_hex_little('c_nationkey', 4)})) hex from customer""",
+        "store_flush_reopen": f"with {LOG} select * from log",
+        "store_recover": f"with {LOG} select * from log",
+        "store_threshold": f"with {_batched(4)} select 1 runs, count(*) filter (run <= 3) total_entries, count(*) filter (run = 3) memtable_entries, max(seq) filter (run <= 3) + 1 next_seq from batched",
+        "store_delete": """with rows as (select c_custkey, cast(c_custkey as varchar) k, c_name, c_nationkey from customer), put as (select k, row_number() over (order by c_custkey) seq, c_name v from rows),
+            gone as (select k, (select count(*) from rows) + row_number() over (order by c_custkey) seq, null v from rows where c_nationkey < 10),
+            again as (select k, (select count(*) from rows) + (select count(*) from gone) + row_number() over (order by c_custkey) seq, 'again' v from rows where c_nationkey < 3)
+            select k, seq, v from (select *, row_number() over (partition by k order by seq desc) n from (select * from put union all select * from gone union all select * from again)) where n = 1 and v is not null""",
+        "store_compact": f"with {LOG} {_newest('log', ' and v is not null')}",
+        "store_snapshot": f"with {LOG} select * from log",
+        "store_runs": f"with {_batched(3)} select run, count(*) entry_count, min(k) min_k, max(k) max_k, min(seq) min_seq, max(seq) max_seq, sum({SIZE}) bytes from batched group by run",
+        "run_get": f"with {_batched(2)} select k, seq, v from batched where run = 1 and k = '13'",
+        "store_lookup": f"with {LOG}, more as (select * from log union all select '13', (select max(seq) + 1 from log), null) select cast(s_suppkey as varchar) k, seq, v, case when l.k is null then 'absent' when v is null then 'deleted' else 'value' end state from supplier left join ({_newest('more')}) l on cast(s_suppkey as varchar) = l.k",
+        "buffer_rows": """with rows as (select *, row_number() over (order by n_nationkey) i, count(*) over () n from nation) select n_name k, i seq, cast(n_nationkey as varchar) v from rows
+            union all select n_name, n + row_number() over (order by n_nationkey), null from rows where n_regionkey = 1 union all select n_name, 100 + n_nationkey, 'late' from rows where n_nationkey % 7 = 0""",
+        "typed_files": TYPED_SQL,
         "tuple_field": "select p_partkey, case when p_size % 3 <> 0 then p_size end maybe from part",
     }

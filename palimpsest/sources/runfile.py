@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import log as reads
@@ -40,22 +40,27 @@ def read_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LOG_SCHEMA)
 
 
-def write_run(rows: DataFrame, root: str, name: str, number: int, file_bytes: int = 256 << 20, compression: str = "snappy", bloom: bool = True) -> Run:
-    """Writes a log as run `number` to root/name, in any order given, and returns its metadata, counted on what was written."""
-    spark = rows.sparkSession
-    size = rows.agg(F.sum(cuts.entry_bytes())).first()[0] or 0
-    parts = max(1, -(-size // file_bytes))
+def watched(log: DataFrame) -> tuple[DataFrame, Observation]:
+    """A log that counts what it's written with: entries, smallest and largest key and seq, bytes; to be read from the observation after the write."""
+    seen = Observation()
+    found = (F.count(F.lit(1)).alias("n"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.sum(cuts.entry_bytes()).alias("bytes"))
+    return log.observe(seen, *found), seen
+
+
+def write_run(rows: DataFrame, root: str, name: str, number: int, size: int, file_bytes: int = 256 << 20, compression: str = "snappy", bloom: bool = True) -> Run:
+    """Writes a log of about `size` bytes as run `number` to root/name, in any order given, and returns its metadata, counted while it's written."""
     # By key and seq, so that a key with very many versions is spread over files too.
     order = (F.asc("key"), F.desc("seq"))
-    writer = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.option("compression", compression)
+    rows, seen = watched(rows.repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order))
+    writer = rows.write.option("compression", compression)
     if bloom:
         writer = writer.option("parquet.bloom.filter.enabled#key", "true")
     writer.parquet(f"{root}/{name}")
-    seen = cuts.run_meta(read_logs(spark, [f"{root}/{name}"]).withColumn("run", F.lit(number))).first()
-    if seen is None:
+    found = seen.get
+    if not found["n"]:
         return Run(number, name, 0, "", "", 0, 0, 0)
     text = lambda b: base64.b64encode(bytes(b)).decode()
-    return Run(number, name, seen.entry_count, text(seen.min_key), text(seen.max_key), seen.min_seq, seen.max_seq, seen.bytes)
+    return Run(number, name, found["n"], text(found["min_key"]), text(found["max_key"]), found["min_seq"], found["max_seq"], found["bytes"])
 
 
 class RunReader:

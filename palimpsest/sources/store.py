@@ -20,7 +20,7 @@ from ..operators import log as reads
 from ..operators import runs as cuts
 from ..operators.log import LOG_SCHEMA
 from .files import Files
-from .runfile import Run, RunReader, read_logs, write_run
+from .runfile import Run, RunReader, read_logs, watched, write_run
 
 
 class Conflict(RuntimeError):
@@ -29,13 +29,19 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Config:
-    path: str = "./data"
+    path: str
     #: Bytes of unflushed versions at which a batch is flushed after it was written.
     threshold: int = cuts.THRESHOLD
     #: Bytes of a file of a run, about; Parquet codec; whether runs carry Bloom filters of their keys.
     file_bytes: int = 256 << 20
     compression: str = "snappy"
     bloom: bool = True
+    #: Manifests, the current one included, whose files collect_garbage() leaves for frames that read them.
+    keep: int = 10
+
+
+#: Keys that are looked up by name; more are joined.
+FEW_KEYS = 1000
 
 
 @dataclass(frozen=True)
@@ -44,6 +50,8 @@ class Segment:
     entries: int
     bytes: int
     max_seq: int
+    #: Rows came with seqs of their own, so versions may be there twice.
+    replayed: bool = False
 
 
 @dataclass(frozen=True)
@@ -65,7 +73,8 @@ class Manifest:
 
 
 class Store:
-    """Reads are lazy DataFrames over the manifest that was current when they were made. Writes are batches; put() and delete() are batches of one."""
+    """Reads are lazy DataFrames over the manifest that was current when they were made: no write changes or deletes what they read, only
+    collect_garbage() does, `keep` manifests later. Writes are batches; put() and delete() are batches of one."""
 
     def __init__(self, spark: SparkSession, config: Config):
         self.spark, self.config, self.files = spark, config, Files(spark, config.path)
@@ -76,7 +85,7 @@ class Store:
         self.metrics: Counter[str] = Counter()
 
     @staticmethod
-    def open(spark: SparkSession, path: str = "./data", **options) -> Store:
+    def open(spark: SparkSession, path: str, **options) -> Store:
         """The store at `path`, made if it isn't there. Unflushed versions are those of the segments that the newest manifest names."""
         return Store(spark, Config(path, **options))
 
@@ -117,7 +126,7 @@ class Store:
     def append_log(self, df: DataFrame, mark: tuple[str, int] | None = None) -> tuple[int, int]:
         """Appends rows (key, seq, value or null) with seqs of their own, as a replay does. The store's next seq is above them all."""
         kept = df.select(*(F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA))
-        return self._write(kept, mark)
+        return self._write(kept, mark, replayed=True)
 
     def put(self, key, value) -> int:
         return self.put_batch(self._one(key, value))[0]
@@ -150,24 +159,25 @@ class Store:
         finally:
             self.files.delete(staged)
 
-    def _write(self, rows: DataFrame, mark: tuple[str, int] | None) -> tuple[int, int]:
+    def _write(self, rows: DataFrame, mark: tuple[str, int] | None, replayed: bool = False) -> tuple[int, int]:
         old = self.manifest
         if mark and old.marks.get(mark[0], -1) >= mark[1]:
             return old.next_seq, old.next_seq - 1
         path = f"wal/{old.version + 1:012d}-{uuid.uuid4().hex}"
+        rows, counted = watched(rows)
         rows.write.option("compression", self.config.compression).parquet(f"{self.config.path}/{path}")
-        seen = self._read([path]).agg(F.count("*").alias("n"), F.coalesce(F.sum(cuts.entry_bytes()), F.lit(0)).alias("bytes"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+        seen = counted.get
         marks = old.marks | ({mark[0]: mark[1]} if mark else {})
-        if not seen.n:
+        if not seen["n"]:
             self.files.delete(path)
             if mark:
                 self._commit(replace(old, marks=marks))
             return old.next_seq, old.next_seq - 1
-        segment = Segment(path, seen.n, seen.bytes, seen.high)
-        self.metrics.update(batches=1, entries_in_log=seen.n)
-        self._commit(replace(old, next_seq=max(old.next_seq, seen.high + 1), segments=(*old.segments, segment), marks=marks))
+        segment = Segment(path, seen["n"], seen["bytes"], seen["max_seq"], replayed)
+        self.metrics.update(batches=1, entries_in_log=seen["n"])
+        self._commit(replace(old, next_seq=max(old.next_seq, seen["max_seq"] + 1), segments=(*old.segments, segment), marks=marks))
         self.maybe_flush()
-        return seen.low, seen.high
+        return seen["min_seq"], seen["max_seq"]
 
     # Flush and upkeep
 
@@ -176,19 +186,21 @@ class Store:
         return sum(s.bytes for s in self.manifest.segments) >= self.config.threshold and self.flush()
 
     def flush(self) -> bool:
-        """Writes the unflushed versions as a sorted run; without any, nothing is done. The segments go once the manifest names the run."""
+        """Writes the unflushed versions as a sorted run; without any, nothing is done. One shuffle; versions are looked through for repeated ones only
+        if some came with seqs of their own."""
         old = self.manifest
         if not old.segments:
             return False
-        new = self._write_run(self._read([s.path for s in old.segments]).dropDuplicates(["key", "seq"]), old.next_run)
+        rows = self._read([s.path for s in old.segments])
+        if any(s.replayed for s in old.segments):
+            rows = rows.dropDuplicates(["key", "seq"])
+        new = self._write_run(rows, old.next_run, sum(s.bytes for s in old.segments))
         self._commit(replace(old, runs=(new, *old.runs), segments=(), next_run=old.next_run + 1))
         self.metrics["flushes"] += 1
-        for s in old.segments:
-            self.files.delete(s.path)
         return True
 
-    def _write_run(self, rows: DataFrame, number: int) -> Run:
-        run = write_run(rows, self.config.path, f"runs/{number:012d}-{uuid.uuid4().hex}", number, self.config.file_bytes, self.config.compression, self.config.bloom)
+    def _write_run(self, rows: DataFrame, number: int, size: int) -> Run:
+        run = write_run(rows, self.config.path, f"runs/{number:012d}-{uuid.uuid4().hex}", number, size, self.config.file_bytes, self.config.compression, self.config.bloom)
         self.metrics["entries_in_runs"] += run.entry_count
         return run
 
@@ -200,13 +212,12 @@ class Store:
         if not chosen:
             return None
         whole = len(chosen) == len(old.runs) and not old.segments
-        rows = reads.compact(self._read([r.path for r in chosen]), whole)
-        empty = rows.isEmpty()
-        new = None if empty else self._write_run(rows, old.next_run)
+        new = self._write_run(reads.compact(self._read([r.path for r in chosen]), whole), old.next_run, sum(r.bytes for r in chosen))
+        if not new.entry_count:
+            self.files.delete(new.path)
+            new = None
         self._commit(replace(old, runs=(*([new] if new else []), *(r for r in old.runs if r not in chosen)), next_run=old.next_run + 1))
         self.metrics["compactions"] += 1
-        for r in chosen:
-            self.files.delete(r.path)
         return new
 
     def compact_tiers(self, fan: int = 4) -> int:
@@ -223,11 +234,17 @@ class Store:
             self.compact(full)
             done += 1
 
-    def collect_garbage(self) -> list[str]:
-        """Deletes what the current manifest doesn't name: remains of writes that failed. Not while another writes."""
-        named = {p.path for p in (*self.manifest.runs, *self.manifest.segments)}
+    def _named(self) -> dict[str, Manifest]:
+        """The manifests by name, oldest first."""
+        return {n: Manifest.load(self.files.read(f"manifest/{n}")) for n in self.files.names("manifest") if n.endswith(".json")}
+
+    def collect_garbage(self, keep: int | None = None) -> list[str]:
+        """Deletes all manifests but the newest `keep` (by default the configuration's), and what none of them names: runs and segments that were
+        replaced, remains of writes that failed. Frames made from the kept ones still work. Not while another writes."""
+        kept = dict(list(self._named().items())[-max(1, self.config.keep if keep is None else keep) :])
+        named = {p.path for m in kept.values() for p in (*m.runs, *m.segments)}
         gone = [f"{d}/{n}" for d in ("runs", "wal") for n in self.files.names(d) if f"{d}/{n}" not in named]
-        gone += [f"manifest/{n}" for n in self.files.names("manifest") if n != f"{self.manifest.version:012d}.json"]
+        gone += [f"manifest/{n}" for n in self.files.names("manifest") if n not in kept]
         for name in gone:
             self.files.delete(name)
         return gone
@@ -272,7 +289,17 @@ class Store:
         return reads.get_all(self._with_key(key), bytearray(key))
 
     def multi_get(self, keys: DataFrame, key: str = "key") -> DataFrame:
-        return reads.multi_get(self.log(), keys, key)
+        """As the function of this name. Keys are counted first, with their range: a few are looked for by name in the runs whose range fits one of them,
+        many in the runs that overlap their range."""
+        own = keys.select(F.col(key).cast("binary").alias("key")).where("key is not null")
+        seen = own.agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).first()
+        if seen.n > FEW_KEYS:
+            low, high = bytes(seen.low), bytes(seen.high) + b"\0"
+            return reads.multi_get(reads.between(self.log(low, high), bytearray(low), bytearray(high)), keys, key)
+        wanted = sorted({bytes(r.key) for r in own.collect()})
+        runs = [r.path for r in self.manifest.runs if any(map(r.might_contain, wanted))]
+        log = self._read([*runs, *(s.path for s in self.manifest.segments)]) if wanted else self._read([])
+        return reads.multi_get(log.where(F.col("key").isin([bytearray(k) for k in wanted])) if wanted else log, keys, key)
 
     def scan(self) -> DataFrame:
         return reads.scan(self.log())

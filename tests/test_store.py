@@ -139,7 +139,65 @@ def test_compaction(spark, tmp_path):
     store.flush()
     store.compact()
     assert store.stats()["runs"] == 0 and live(store) == {} and store.put("a", "3") == 8
-    assert store.collect_garbage() and live(open_store(spark, tmp_path)) == {b"a": b"3"}
+    assert store.collect_garbage(keep=1) and live(open_store(spark, tmp_path)) == {b"a": b"3"}
+
+
+def test_frames_outlive_flush_and_compaction(spark, tmp_path):
+    store = open_store(spark, tmp_path, keep=3)
+    store.put_batch(batch(spark, [(b"a", b"1"), (b"b", b"1")]))
+    first, history = store.scan_live(), store.scan()
+    store.flush()
+    store.delete("a")
+    second = store.scan_live()
+    store.flush()
+    store.compact()
+    shown = lambda df: {bytes(r.key): bytes(r.value) for r in df.collect()}
+    assert shown(first) == {b"a": b"1", b"b": b"1"} and shown(second) == {b"b": b"1"} and history.count() == 2
+    gone = store.collect_garbage()
+    assert any(n.startswith("wal/") for n in gone) and shown(second) == {b"b": b"1"} == live(store)
+    assert len(store.files.names("manifest")) == 3
+    store.collect_garbage(keep=1)
+    assert len(store.files.names("manifest")) == len(store.files.names("runs")) == 1 and not store.files.names("wal")
+    assert live(store) == live(open_store(spark, tmp_path)) == {b"b": b"1"}
+
+
+def test_damaged_manifests(spark, tmp_path):
+    store = open_store(spark, tmp_path)
+    store.put("a", "1")
+    store.files.write_new("manifest/000000000009.json.part", "half a mani")  # a write that broke off: its name isn't a manifest's
+    assert live(open_store(spark, tmp_path)) == {b"a": b"1"}
+    store.files.write_new("manifest/000000000009.json", '{"version": 9, "runs": [')
+    with pytest.raises(ValueError):  # nothing is guessed about a cut-off one
+        open_store(spark, tmp_path)
+
+
+def test_lookups_open_few_runs(spark, tmp_path, monkeypatch):
+    store, opened = open_store(spark, tmp_path), []
+    for prefix in (b"a", b"k", b"z"):
+        store.put_batch(batch(spark, [(prefix + b"%02d" % i, b"v%d" % i) for i in range(30)]))
+        store.flush()
+    store.delete("a05")
+    real = store._read
+    monkeypatch.setattr(store, "_read", lambda paths: opened.append(len([p for p in paths if p.startswith("runs/")])) or real(paths))
+    keys = spark.createDataFrame([(b"a03",), (b"a05",), (b"a99",), (None,), (b"a03",)], "key binary")
+    want = [(None, "absent", None), (b"a03", "value", b"v3"), (b"a03", "value", b"v3"), (b"a05", "deleted", None), (b"a99", "absent", None)]
+    for most in (1000, 2):
+        monkeypatch.setattr("palimpsest.sources.store.FEW_KEYS", most)
+        got = store.multi_get(keys)
+        assert sorted(((r.key and bytes(r.key), r.state, r.value and bytes(r.value)) for r in got.collect()), key=lambda r: r[0] or b"") == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert opened.pop() == 1 and ("In(key" in plan or "GreaterThanOrEqual(key" in plan), plan
+    assert store.multi_get(keys.limit(0)).count() == 0 and store.multi_get(keys.where("key is null")).first().state == "absent"
+
+
+def test_flush_is_one_shuffle(spark, tmp_path):
+    store = open_store(spark, tmp_path)
+    store.put_batch(batch(spark, [(b"k", b"v")]))
+    assert not store.manifest.segments[0].replayed
+    store.append_log(store.log())
+    assert store.manifest.segments[1].replayed and store.log().count() == 2
+    store.flush()
+    assert store.stats()["total_entries"] == 1 and store.manifest.runs[0].entry_count == 1
 
 
 def test_tiers(spark, tmp_path):
@@ -159,7 +217,7 @@ def test_run_reader(spark, tmp_path):
     reader = store.reader(1)
     assert [bytes(r.value) for r in reader.get_all(b"key").collect()] == [b"v3", b"v2", b"v1"]
     assert reader.get_all(b"zzz").count() == 0 and reader.get_all(b"m").count() == 0 and reader.scan().count() == 4
-    empty = write_run(store.log().limit(0), store.config.path, "runs/empty", 9)
+    empty = write_run(store.log().limit(0), store.config.path, "runs/empty", 9, 0)
     assert (empty.entry_count, empty.min_key, empty.min_seq) == (0, "", 0) and not empty.might_contain(b"") and not empty.overlaps(None, None)
 
 
