@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -13,24 +12,6 @@ from palimpsest.llm import common, language, minhash, packing, private, quality
 from palimpsest.llm.catalog import PSEUDONYM_KEY
 
 
-#: Scratch folders of stages whose results are written by now.
-_used: list[str] = []
-
-
-def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage's result may read scratch tables until it's written; when the next stage starts, those that its documents don't read go."""
-
-    @wraps(work)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _used[:] = common.release(spark, _used, docs)
-        with common.scratch_scope() as made:
-            out = work(spark, docs, sf_dir)
-        _used.extend(made)
-        return out
-
-    return run_stage
-
-
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -42,37 +23,58 @@ def _keep_others(stage: Callable[[DataFrame], DataFrame], docs: DataFrame) -> Da
     return out.withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns) if away else out.select(*docs.columns)
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base checks and lie within the fences of their language and source."""
+    """Documents that pass the base checks and lie within the fences of their language and source.
+
+    Null and empty texts have no words and go. Null languages and sources are groups of their own. A document at a fence stays. Repeated rows
+    are judged alike. Empty table: no rows. Other columns stay, whatever their names.
+    """
     return _keep_others(lambda d: quality.judge(d).where("kept").select(*d.columns), docs)
 
 
-@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
-    return _keep_others(lambda d: language.identify(d, keep_text=True).where("kept").select(*d.columns), docs)
+    """Documents whose language can be told; the declared one stays in `lang` as it is.
+
+    Null texts and texts without a letter go. Null languages and sources are no evidence. At a tie the language that sorts first counts. Repeated
+    rows fare alike. Empty table, or no declared language anywhere: no rows. Other columns stay, whatever their names.
+    """
+    return _keep_others(lambda d: language.identify(d, suffix=language.suffix_of("source"), keep_text=True).where("kept").select(*d.columns), docs)
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest doc_id; rows that are equal in all columns stay once.
-    Documents without a doc_id have no class and stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.xxhash64(*docs.columns))
-    return chosen.dropDuplicates(["doc_id", "__row"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each class of near copies, the one with the smallest doc_id.
+
+    Rows that repeat a doc_id are one document; of those with the same text one stays. Documents without a doc_id, with null texts or without a word
+    are in no class and stay. Empty table: no rows. Other columns stay, whatever their names and types. Ids are broadcast if they
+    were counted to be few, else joined by a shuffle.
+    """
+    classes = minhash.near_duplicates(docs)
+    gone = common.materialize(classes.where("not kept").select("doc_id").distinct(), "gone")
+    again = common.materialize(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    stay = docs.join(common.few(gone, minhash.BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return stay
+    again = common.few(again, minhash.BROADCAST_IDS)
+    once = stay.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return stay.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
-@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms in the place of personal data."""
+    """Documents with pseudonyms in the place of personal data; n_chars is that of the new text.
+
+    Null texts stay null, with n_chars null; empty ones stay. Equal values get equal pseudonyms in all rows, repeated ones too. Empty table: no
+    rows. Other columns stay, whatever their names.
+    """
     count = F.length("text").cast("long").alias("n_chars")
     return _keep_others(lambda d: private.pseudonymize(d, PSEUDONYM_KEY, spans=None).withColumn("n_chars", count), docs)
 
 
-@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens, with their ids."""
+    """Pieces of documents in sequences of 4096 tokens, with their ids.
+
+    Null and empty texts are the end id alone. Documents with the same place on the curve are ordered by doc_id; rows that repeat one, or have none, are placed
+    one by one. Empty table: no rows. Other columns aren't read.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -83,11 +85,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; each result is written and read again, and goes once the next one is written."""
+    """The stages one after the other; each result is written and read again, and goes, with what it was made from, once the next one is written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
         with common.scratch_scope() as made:
-            docs = common.materialize(out, f"stage-{name}")
+            docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
         before = common.release(spark, [*before, *made], docs)
     return STAGES[-1][1](spark, docs, sf_dir)
