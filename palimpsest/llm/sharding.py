@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import few, materialize, scratched
+
 #: Rows of a shard that are numbered together.
 BUCKET_ROWS = 50_000
 
@@ -25,13 +27,15 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*scores) if len(scores) > 1 else scores[0])["n"]
 
 
+@scratched
 def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None, size: Column | None = None, tie: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """df with shard int, slot long (gapless from 0 in its shard) and, if `grown` weights are given, grown_shard int.
 
     The shard depends on the key's string form alone, so it is stable across runs; a null key counts as the key
     '\\\\N'. Slots number the rows of a shard by a hash bucket of key and ties, then key, then the `tie` columns; rows equal in all
-    of them may swap slots. Shards are numbered bucket by bucket and the buckets' counts summed up, so a shard of any
-    size is never sorted in one task. Empty table: no rows. Columns named shard, slot or grown_shard are replaced.
+    of them may swap slots. Buckets' counts are summed up, so a shard of any size is never sorted in one task; within a bucket equal rows are
+    counted where they lie and numbered there, so neither is a key that a third of all rows repeat. Empty table: no rows. Columns named
+    shard, slot or grown_shard are replaced.
     """
     shown = F.coalesce(F.col(key).cast("string"), F.lit("\\N"))
     df = df.drop("shard", "slot", "grown_shard")
@@ -39,11 +43,18 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[fl
     if grown is not None:
         out = out.withColumn("grown_shard", shard_of(shown, grown))
     n_buckets = max(64, df.count() // (bucket_rows * len(weights)))
-    spread = F.concat_ws(":", shown, *(F.col(c).cast("string") for c in tie))
+    spread = F.concat_ws(":", shown, *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in tie))
     out = out.withColumn("__bucket", F.conv(F.substring(F.md5(spread), 1, 8), 16, 10).cast("long") % n_buckets)
-    counts = out.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
+    # Places are fixed by writing them down: what is counted and what is numbered must agree, also after a task was run again.
+    out = materialize(out.withColumn("__same", F.xxhash64(spread)).withColumn("__at", F.monotonically_increasing_id()), "placed")
+    out = out.withColumn("__part", F.shiftright("__at", 33))
+    alike = ["shard", "__bucket", "__same", "__part"]
+    counts = out.groupBy(*alike).agg(F.count("*").alias("__n"), *(F.first(c).alias(c) for c in (key, *tie)))
+    before = Window.partitionBy("shard", "__bucket").orderBy(key, *tie, "__same", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*alike, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    sizes = out.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    within = Window.partitionBy("shard", "__bucket").orderBy(key, *tie)
-    out = out.withColumn("__row", F.row_number().over(within)).join(counts, ["shard", "__bucket"])
-    return out.withColumn("slot", (F.col("__from") + F.col("__row") - 1).cast("long")).drop("__bucket", "__row", "__from")
+    sizes = materialize(sizes.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from")), "buckets")
+    out = out.withColumn("__row", F.row_number().over(Window.partitionBy(*alike).orderBy("__at"))).join(starts, alike).join(few(sizes), ["shard", "__bucket"])
+    slot = (F.col("__from") + F.col("__start") + F.col("__row") - 1).cast("long")
+    return out.select(*df.columns, "shard", *(["grown_shard"] if grown is not None else []), slot.alias("slot"))

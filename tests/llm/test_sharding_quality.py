@@ -33,6 +33,19 @@ def test_edge_rows(spark):
     assert sharding.assign(rows.limit(0), "k", [1.0]).count() == 0
 
 
+def test_a_hot_key_is_numbered_where_it_lies(spark):
+    rows = spark.range(9000, numPartitions=6).selectExpr("case when id % 3 = 0 then 7 else id end k", "case when id % 2 = 0 then 'x' end t")
+    got = sharding.assign(rows, "k", [1.0] * 4, tie=["t"], bucket_rows=100)
+    order = {}
+    for r in got.collect():
+        order.setdefault(r.shard, []).append((r.slot, r.k, r.t))
+    assert got.columns == ["k", "t", "shard", "slot"]
+    for s in order.values():
+        assert sorted(x[0] for x in s) == list(range(len(s)))
+        runs = [k for (_, k, t), (_, k2, t2) in zip(sorted(s, key=lambda x: x[0]), sorted(s, key=lambda x: x[0])[1:]) if (k, t) != (k2, t2)]
+        assert len(runs) == len({(k, t) for _, k, t in s}) - 1  # equal rows are together
+
+
 def brute(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
