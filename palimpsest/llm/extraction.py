@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import join_small, materialize, text_slices, texts_of
+from .common import join_small, materialize, scratched, text_slices, texts_of
 
 #: A subtree goes if this many different pages of the host have it, and one in ONE_IN of them. Copies of a page count once.
 LEAST_PAGES, ONE_IN = 5, 10
@@ -21,10 +22,10 @@ TOKEN = re.compile(r"<!--|<!\[CDATA\[|<(/?)([A-Za-z][A-Za-z0-9:-]*)|<[!?]")
 #: An attribute list up to its end: quoted values may hold '>'.
 ATTRIBUTES = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
 NAMES = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Elements that never hold main text.
-DROPPED = {"nav", "footer", "aside", "form", "noscript", "template", "svg", "math", "canvas", "object", "audio", "video", "menu", "dialog", "button", "select", "datalist", "head", "map", *RAW}
+#: Elements that never hold main text: menus, footers, sidebars, forms and their controls, and what isn't shown.
+DROPPED = {"nav", "footer", "aside", "form", "noscript", "template", "menu", "dialog", "button", "select", "datalist", "head", *RAW}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -33,17 +34,37 @@ BLOCKS = {
 CONTAINERS = {"div", "section", "aside", "nav", "header", "footer", "ul", "ol", "dl", "table", "form", "figure", "menu", "details"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "td", "th", "blockquote", "aside", "nav", "header", "footer", "form", "figure", "details"}
-#: Words in a class, id or role that mark what is not main text.
-MARKS = re.compile(
-    r"(?<![a-z])(?:ad|ads|adv|advert|adverts|advertisement|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|sidebar|side-bar|comment|comments|disqus|reply|replies|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|masthead|(?:site|page|top|global)[- ]?header|pagination|pager|social|share|sharing|related|recommended|newsletter|subscribe|signup|popup|modal|widget|toolbar|complementary|contentinfo|search|alert|alertdialog)(?![a-z])"
-)
-COMMENTS = re.compile(r"(?<![a-z])(?:comment|comments|disqus|reply|replies)(?![a-z])")
-#: Ids that mark it inside main content, where an id may be the slug of a title.
-MARKED_IDS = re.compile(
-    r"(?:comments|comment-(?:section|list|form)|comments-(?:section|area|list)|disqus[_-]thread|sidebar|cookie-(?:notice|banner|consent)|navbar|breadcrumbs|pagination|toolbar|share-buttons|sharing-buttons|social-(?:links|buttons)|"
-    r"related-(?:posts|articles|links)|newsletter-(?:signup|form)|search-(?:form|box)|google[_-]ads.*|ad-(?:slot|container|banner|wrapper)(?:-\d+)?)"
-)
+#: What an element is, by the last word of a class or id, as in cookie-notice or site_footer ...
+HEADS = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertisements", "adsense", "sponsor", "sponsored", "sponsors", "promo", "promotion", "promotions", "banner", "banners", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
+    "sidebar", "sidebars", "comment", "comments", "disqus", "reply", "replies", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "footer", "masthead", "pagination", "pager", "popup", "popups", "modal", "toolbar",
+    "newsletter", "subscribe", "signup",
+}
+#: ... but for these words, which say no more than that it holds something, as in comment-list or ad-slot-2.
+HOLDERS = {"area", "bar", "block", "bottom", "box", "container", "form", "icons", "inner", "item", "items", "left", "link", "links", "list", "outer", "panel", "right", "section", "slot", "thread", "top", "unit", "wrap", "wrapper"}
+#: Names that mark an element only as a whole.
+NAMES_AS_A_WHOLE = {
+    "site-header", "page-header", "top-header", "global-header", "main-header", "share-buttons", "sharing-buttons", "social-buttons", "share-links", "social-links", "related-posts", "related-articles", "related-links", "search-form", "search-box", "side-bar",
+}
+ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "menu", "menubar", "toolbar", "dialog", "alert", "alertdialog"}
+WHOLE_IDS = NAMES_AS_A_WHOLE | {"comments", "comment-list", "comment-section", "comment-form", "comments-area", "comments-list", "comments-section", "disqus-thread", "disqus_thread", "sidebar", "cookie-notice", "cookie-banner", "cookie-consent", "navbar", "breadcrumbs", "pagination", "toolbar", "ad-slot", "ad-container", "ad-banner", "newsletter-signup"}
+COMMENTS = {"comment", "comments", "disqus", "reply", "replies"}
+WORD_EDGE = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def what(name: str) -> str:
+    """What a class or id says that its element is: its name as a whole, its last word that says something, or nothing."""
+    words = [w for w in WORD_EDGE.split(name) if w]
+    whole = "-".join(words).lower()
+    if whole in NAMES_AS_A_WHOLE:
+        return whole
+    words = [w for w in (w.rstrip("0123456789") for w in whole.split("-")) if w]
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    return words[-1] if words and words[-1] in HEADS else ""
+
+
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN_ROLES = {"main", "article"}
 
@@ -57,18 +78,20 @@ class Page:
         self.spans: list[tuple[int, int, int]] = []  # first and last block of a hashed subtree, its key
         self.subtrees: set[int] = set()
         self.stack: list[list] = []  # tag, dropped, main, first block, what it holds (text and digests of elements)
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag
         self.words: list[str] = []
         self.has_main = False
         self._read()
 
     def _flush(self) -> None:
         if self.words:
-            text = " ".join(html.unescape("".join(self.words)).split())
+            text = " ".join("".join(self.words).split())
             self.words = []
             if text:
                 self.blocks.append((text, bool(self.stack and self.stack[-1][2])))
 
     def _add(self, text: str) -> None:
+        text = html.unescape(text)  # a reference ends where a tag or comment begins
         if not (self.stack and self.stack[-1][1]):
             self.words.append(text)
         if self.stack and not text.isspace():
@@ -80,6 +103,7 @@ class Page:
         if tag in BLOCKS:
             self._flush()
         self.stack.pop()
+        self.places[tag].pop()
         digest = xxhash.xxh3_64_intdigest("\0".join(held))
         if self.stack:
             self.stack[-1][4].append(f"{digest:x}")
@@ -89,15 +113,16 @@ class Page:
             self.subtrees.add(key)
             self.spans.append((first, len(self.blocks), key))
 
+    def _innermost(self, tags: set[str]) -> int:
+        """Place of the innermost open element among `tags`; -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def _close(self, tags: set[str], until: set[str]) -> None:
         """Closes up to the innermost element among `tags`, if there is one above any of `until`."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if self.stack[i][0] in until:
-                return
+        at = self._innermost(tags)
+        if at >= 0 and at >= self._innermost(until):
+            while len(self.stack) > at:
+                self._pop()
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -106,16 +131,19 @@ class Page:
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES - {"td", "th"} if tag == "tr" else SCOPES)
         dropped, main = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, False)
-        names = {k.lower(): v.strip("\"'").lower() for k, v in NAMES.findall(attributes)}
-        is_main = tag in ("article", "main") or names.get("role") in MAIN_ROLES or names.get("itemprop") == "articlebody"
-        marks = COMMENTS if tag == "article" and not main else MARKS
+        names = {k.lower(): v.strip("\"'") for k, v in NAMES.findall(attributes)}
+        role, ids = names.get("role", "").lower(), names.get("id", "").split()
+        is_main = tag in ("article", "main") or role in MAIN_ROLES or names.get("itemprop", "").lower() == "articlebody"
+        said = {what(n) for n in names.get("class", "").split()} - {""}
+        if tag not in HEADINGS:  # an id of a heading is the slug of its title, and so may one inside main content be: there it counts as a whole only
+            said |= {n.lower() for n in ids if n.lower() in WHOLE_IDS} if main else {what(n) for n in ids} - {""}
         marked = tag not in ("html", "body", "main") and not (is_main and tag != "article")
-        by_id = tag not in HEADINGS and not main
-        marked = marked and any(marks.search(re.sub(r"[_\s]+", " ", names.get(k, ""))) for k in (("class", "id", "role") if by_id else ("class", "role")))
-        marked |= main and tag not in HEADINGS and bool(MARKED_IDS.fullmatch(names.get("id", "")))
-        gone = tag in DROPPED or tag == "header" and not main or marked or "hidden" in names or names.get("aria-hidden") == "true"
+        marked = marked and bool(said & COMMENTS if tag == "article" and not main else said or role in ROLES)
+        unseen = not main and ("hidden" in names or names.get("aria-hidden", "").lower() == "true")
+        gone = tag in DROPPED or tag == "header" and not main or marked or unseen
         main = not dropped and not gone and (main or is_main)
         self.has_main |= main
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append([tag, dropped or gone, main, len(self.blocks), [f"{tag} {' '.join(attributes.split())}"]])
 
     def _read(self) -> None:
@@ -142,7 +170,7 @@ class Page:
                 if m[1]:
                     if tag == "br":
                         self.words.append(" ")
-                    elif tag == "p" and not any(e[0] == "p" for e in self.stack):
+                    elif tag == "p" and not self.places.get("p"):
                         self._flush()
                     else:
                         self._close({tag}, {"td", "th"} - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else set())
@@ -215,12 +243,14 @@ def templates(parts: DataFrame, least: int = LEAST_PAGES, one_in: int = ONE_IN)
     return met.where(F.col("n") * one_in >= F.col("pages")).select("host", "key")
 
 
+@scratched
 def extract(df: DataFrame, id: str = "page_id", url: str = "url", page: str = "html", least: int = LEAST_PAGES, one_in: int = ONE_IN) -> DataFrame:
     """One row per row of df: id, url, text string (empty if none), n_chars long (code points), host string, removed long.
 
-    Main content is what article or main elements hold; on a page without one, all of its body. Menus, headers, footers, asides,
-    forms, scripts, hidden parts and elements whose class, id or role names them never belong to it; ids of headings don't count, and inside an article or main element
-    only ids that are such a name as a whole (MARKED_IDS). Of the rest, blocks inside
+    Main content is what article or main elements hold; on a page without one, all of its body. Menus, headers, footers, sidebars, notices, adverts,
+    forms, scripts, styles and comments never belong to it, by their tag, role, or what their class or id says (what()): `cookie-notice` is a notice,
+    `search-results` and `related-work` are nothing of the kind. Ids of headings don't count, and inside an article or main element
+    only ids that are such a name as a whole. Character references are decoded where they stand, none reaches across a tag. Of the rest, blocks inside
     a subtree of containers that recurs on the host go too (`removed` counts them). Paragraphs and headings of an article are no
     such subtrees: an article keeps passages that other pages share. White space inside a block becomes one blank; blocks are
     joined by an empty line. Null or empty html, or html without text: empty text. A null or odd url: host ''. Repeated rows
