@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, texts_of
+from .common import scratched, text_slices, texts_of
 
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 ROUNDS = 8
@@ -228,11 +228,13 @@ def _ends(kind: str, m: re.Match) -> list[int]:
 def find(text: str, feistel: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
     """Spans (start, end, kind, pseudonym) in order, without overlap; at an overlap the kind that is listed first counts."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    starts, ends = [], []  # of the spans taken, in order; they don't overlap
 
     def add(start: int, end: int, kind: str, new: str | None) -> None:
-        if new is not None and all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
+        at = bisect.bisect_left(starts, end)
+        if new is not None and (not at or ends[at - 1] <= start):
+            starts.insert(at, start)
+            ends.insert(at, end)
             found.append((start, end, kind, new))
 
     at = text.find("@")
@@ -266,6 +268,7 @@ def replace(text: str, spans: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[end:]])
 
 
+@scratched
 def pseudonymize(df: DataFrame, key: bytes, text: str = "text", spans: str | None = "pii") -> DataFrame:
     """df with its text pseudonymized and a column `spans`: array of (start, end, kind, pseudonym), offsets in code points of the old text.
 
