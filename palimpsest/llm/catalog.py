@@ -51,7 +51,7 @@ def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return language.identify(docs).select("doc_id", "lang", "source", "language", "confidence", "text_language", "kept")
+    return language.identify(docs, suffix=language.suffix_of("source")).select("doc_id", "lang", "source", "language", "confidence", "text_language", "kept")
 
 
 def op7_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +76,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 6 over the main text of pages, with their markup's language, host and address suffix."""
-    pages = _table(spark, sf_dir, "pages")
-    texts = extraction.extract(pages).select(F.col("page_id").alias("id"), "text", "host")
+    """Operator 6 over the main text of pages, with their markup's language, host and address suffix: a row for each page.
+
+    Null or empty html has no text and is `und`. A markup without a language, a url without a host or suffix are no evidence. Null and repeated page_ids
+    stay as they are. Ties: the language that sorts first. Empty table: no rows.
+    """
+    return pages_language(_table(spark, sf_dir, "pages"))
+
+
+def pages_language(pages: DataFrame) -> DataFrame:
     markup = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
-    declared = pages.select("page_id", F.when(markup != "", markup).alias("markup")).dropDuplicates(["page_id"])
-    rows = texts.join(declared, F.col("id") == F.col("page_id")).drop("id")
-    out = language.identify(rows, declared="markup", host="host", suffix=F.regexp_extract("host", r"\.([^.]+)$", 1))
+    rows = pages.select(F.struct("page_id", F.when(markup != "", markup).alias("markup")).alias("page"), "url", "html")  # what goes along with a page's text
+    texts = extraction.extract(rows, id="page").select("page.page_id", "page.markup", "text", F.when(F.col("host") != "", F.col("host")).alias("host"))
+    out = language.identify(texts, declared="markup", host="host", suffix=language.suffix_of("host"))
     return out.select("page_id", "host", "markup", "language", "confidence", "text_language", "kept")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, text_slices, texts_of
+from .common import join_small, materialize, scratched, text_slices, texts_of
 
 #: Buckets of byte trigrams, and rows of each declared language (about, by hash) that the text model is fitted on.
 BUCKETS, FIT_ROWS = 1 << 15, 2000
@@ -97,6 +97,13 @@ def _smoothed(rows: DataFrame, by: list[str], above: DataFrame, up: list[str], n
     return met.select(*by, shares.alias("share"))
 
 
+def suffix_of(host: str | Column) -> Column:
+    """What follows the last dot of a host's name; null if it has none."""
+    found = F.lower(F.regexp_extract(F.col(host) if isinstance(host, str) else host, r"\.([A-Za-z]{2,63})\.?$", 1))
+    return F.when(found != "", found)
+
+
+@scratched
 def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: str | Column = "source", suffix: str | Column | None = None, keep_text: bool = False) -> DataFrame:
     """df, without its text unless keep_text, with language string, confidence double, text_language string, kept boolean.
 

@@ -1,8 +1,13 @@
+import datetime
+import math
 import random
+import time
+from collections import Counter
+from html import unescape
 
 import pytest
 
-from palimpsest.llm import common, extraction, language, private
+from palimpsest.llm import catalog, common, extraction, language, private
 
 
 def text_of(html):
@@ -17,13 +22,18 @@ def text_of(html):
         ("<html><body><nav>m</nav><article><h1>T</h1><p><b>one.<br><p>two &eacute;</p><!-- <p>no</p> --></article><footer>f</footer>", "T\n\none.\n\ntwo é"),
         ("<article><p>a<script>var x='</p><p>no';</script>b</p><style>p{}</style><div class='ad'>ad</div><section id=comments><p>c</p></section></article>", "ab"),
         ("<body><div id=\"cookie-notice\">c</div><main><ul><li>x<li>y</ul></main><aside>s</aside></body>", "x\n\ny"),
-        ("<article><p title=\"a>b\">q</p><form><p>f</p></form><p hidden>h</p></article>", "q"),
+        ("<article><p title=\"a>b\">q</p><form><p>f</p></form><p hidden>h</p></article>", "q\n\nh"),
+        ("<body><p hidden>h</p><p>i</p>", "i"),
+        ("<article><p>x <math><mi>E</mi></math> y <object>o</object></p></article>", "x E y o"),
+        ("<article><div class='related-work'>r</div><div class='search-results'>s</div><div class='social-science long-form'>t</div><p class='notice-board alert widget'>u</p></article>", "r\n\ns\n\nt\n\nu"),
+        ("<article><div class='cookie-notice'>no</div><div class='comment-list'>no</div><div class='adSlot2 x'>no</div><div class='site_footer'>no</div><div class='ad-slot-2'>no</div><div class='share-buttons'>no</div><p role=navigation>no</p>v</article>", "v"),
+        ("<article>a &<b>copy</b> b &am<!-- -->p; &lt;p&gt;</article>", "a &copy b &amp; <p>"),
         ("<div><p>a</p>b<div>c</div></div><header>h</header>", "a\n\nb\n\nc"),
         ("<article>x <em>y</em>z<table><tr><td>1<td>2<tr><td>3</table></article><article class=comment>no</article>", "x yz\n\n1\n\n2\n\n3"),
         ("<p>unclosed <b>bold", "unclosed bold"),
         ("a < b <3 <!-- open", "a < b <3"),
         ("<article><p>road map</p><p class=\"lead addition\">shadow</p></article>", "road map\n\nshadow"),
-        ("<article><p>a <button>Share</button><span class='ad'>buy</span> b<svg><text>s</text></svg></p><p class=notice>n</p><select><option>o</select>c</article>", "a b\n\nc"),
+        ("<article><p>a <button>Share</button><span class='ad'>buy</span> b<svg><title>s</title></svg></p><p class=notice>n</p><select><option>o</select>c</article>", "a b\n\nc"),
         ("<div class=site-header>h</div><div class='article-header'>t</div><p>x <b>y</b> <i>z</p>w", "t\n\nx y z\n\nw"),
         ("<article><header><h1>T</h1></header><p>x</p></article>", "T\n\nx"),
     ],
@@ -51,6 +61,99 @@ def test_deep_and_long_pages():
     assert text_of("<a title='" + "x" * 100_000) == ""
 
 
+@pytest.mark.parametrize("make", [lambda n: "<span>" * n + "</p>" * n, lambda n: "<b><table><tr><td>" + "<i>" * n + "</b>" * n, lambda n: "<ul><li>" + "<span><li>" * n, lambda n: "<p>" + "<span>" * n + "<div>" * n])
+def test_odd_tags_cost_their_length(make):
+    def cost(n):
+        calls = 0
+        page = extraction.Page("")
+        real = page._innermost
+
+        def counted(tags):
+            nonlocal calls
+            calls += len(tags)
+            return real(tags)
+
+        page._innermost, page.source = counted, make(n)
+        page._read()
+        return calls
+
+    began = time.perf_counter()
+    assert cost(20_000) <= 11 * cost(2_000) and time.perf_counter() - began < 20
+
+
+def tree(draw, depth=0):
+    """A random element: (tag, class, children), children being elements or texts."""
+    tag = draw.choice(["div", "p", "section", "ul", "span", "b", "nav", "aside", "footer", "form", "h2", "blockquote", "script"] if depth < 4 else ["p", "span", "b"])
+    kind = draw.choice([None] * 8 + ["ad", "cookie-notice", "comment-list", "related-work", "note"])
+    if tag in ("p", "h2", "span", "b", "script"):
+        inner = [draw.choice(["w%d " % draw.randint(0, 99), "x &amp; y ", "&lt;i&gt; ", "\u00a0z\n", ("b", None, ["bold "])]) for _ in range(draw.randint(0, 3))]
+        inner = [c for c in inner if isinstance(c, str)] if tag == "script" else inner
+    else:
+        inner = [tree(draw, depth + 1) if draw.random() < 0.8 else "t%d" % draw.randint(0, 99) for _ in range(draw.randint(0, 4))]
+        inner = [("li", None, [c]) for c in inner] if tag == "ul" else inner
+    return tag, kind, inner
+
+
+def written(node):
+    if isinstance(node, str):
+        return node
+    tag, kind, inner = node
+    return f"<{tag}{f' class={kind!r}' if kind else ''}>{''.join(map(written, inner))}</{tag}>"
+
+
+def plain_blocks(node, out, open_text):
+    """The plain way: walks the tree, ends a block at each block element's edges."""
+    def flush():
+        text = " ".join(unescape("".join(open_text)).split())
+        open_text.clear()
+        if text:
+            out.append(text)
+
+    if isinstance(node, str):
+        open_text.append(node)
+        return
+    tag, kind, inner = node
+    block = tag not in ("span", "b", "script")
+    if block:
+        flush()
+    if tag not in ("nav", "aside", "footer", "form", "script") and kind not in ("ad", "cookie-notice", "comment-list"):
+        for child in inner:
+            plain_blocks(child, out, open_text)
+    if block:
+        flush()
+
+
+def test_blocks_equal_a_walk_of_the_tree():
+    draw = random.Random(11)
+    for _ in range(400):
+        body = ("article", None, [tree(draw) for _ in range(draw.randint(0, 6))])
+        want: list[str] = []
+        plain_blocks(body, want, [])
+        page = "<html><head><title>t</title></head><body><nav><p>menu</p></nav><div class=ad>buy</div>" + written(body) + "<footer>f</footer></body></html>"
+        assert extraction.Page(page).main()[0] == want, page
+
+
+def test_templates_equal_brute_force(spark):
+    """Which subtrees recur on a host, counted from the trees themselves, and what is left of each page."""
+    draw = random.Random(12)
+    widgets = [("div", None, [("p", None, [f"widget {k}"])]) for k in range(4)]
+    rows, pages = [], []
+    for i in range(90):
+        host = draw.choice(["a.example", "b.example", "c.example"])
+        body = [("p", None, [f"story {i} of {draw.randint(0, 9)}"])] + [w for k, w in enumerate(widgets) if draw.random() < (0.05, 0.12, 0.5, 0.9)[k]]
+        draw.shuffle(body)
+        pages.append((host, body))
+        rows.append((i, f"http://{host}/{i}", "<body><article>" + "".join(map(written, body)) + "</article></body>"))
+    number = Counter(h for h, _ in pages)
+    seen = Counter((h, written(n)) for h, body in pages for n in body if n[0] == "div")
+    gone = {k for k, n in seen.items() if n >= extraction.LEAST_PAGES and n * extraction.ONE_IN >= number[k[0]]}
+    assert gone and len(gone) < len(seen)
+    got = {r.page_id: r for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i, (h, body) in enumerate(pages):
+        left = [n for n in body if (h, written(n)) not in gone]
+        assert got[i].text == "\n\n".join(n[2][0] if n[0] == "p" else n[2][0][2][0] for n in left) and got[i].removed == len(body) - len(left)
+
+
 @pytest.mark.parametrize("broadcast", [50_000, 0])
 def test_templates_go_and_articles_stay(spark, monkeypatch, broadcast):
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
@@ -131,6 +234,59 @@ def test_pseudonymize_rows(spark):
     assert private.pseudonymize(df, KEY, spans=None).columns == ["doc_id", "pii", "text"]
 
 
+def planted(draw):
+    """A valid value by rules of its own, and its kind; or one that is no such value, and None."""
+    digits = lambda n: "".join(draw.choices("0123456789", k=n))
+    kind = draw.choice(["card", "iban", "ssn", "ip", "date", "email", None, None])
+    if kind == "card" or kind is None and draw.random() < 0.3:
+        body = draw.choice("45") + digits(14)
+        total = 0
+        for i, c in enumerate(body):  # every second digit from the left of 15 is doubled
+            x = int(c) * (2 if i % 2 == 0 else 1)
+            total += x - 9 if x > 9 else x
+        check = (10 - total % 10) % 10
+        return (body + str(check), "card") if kind else (body + str((check + 1 + draw.randrange(8)) % 10), None)
+    if kind == "iban":
+        body = digits(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}", "iban"
+    if kind == "ssn":
+        return f"{draw.choice([1, 123, 665, 667, 899]):03d}-{draw.randint(1, 99):02d}-{draw.randint(1, 9999):04d}", "ssn"
+    if kind == "ip":
+        return ".".join(str(draw.randint(0, 255)) for _ in range(4)), "ip"
+    if kind == "date":
+        return (datetime.date(1900, 1, 1) + datetime.timedelta(draw.randrange(73_000))).isoformat(), "date"
+    if kind == "email":
+        return f"{draw.choice('abc')}{draw.randint(0, 99)}@mail.example.com", "email"
+    return draw.choice(["2021-02-29", "2020-13-01", "256.1.1.1", "000-12-3456", "666-12-3456", "900-12-3456", "DE00" + "1" * 18, "12.5", "a@b", "7,500"]), None
+
+
+def test_found_are_the_planted():
+    """Detection against values that were made by other rules; and pseudonyms keep values apart and linked."""
+    draw, f, pairs = random.Random(8), private.Feistel(KEY), {}
+    for _ in range(300):
+        parts, want, at = [], [], 0
+        for _ in range(draw.randint(0, 12)):
+            value, kind = planted(draw)
+            gap = " ".join(draw.choices(["und", "été", "word,", "of"], k=draw.randint(1, 4))) + " "
+            parts += gap, value, draw.choice([" ", ", ", ".\n", "; "])
+            if kind:
+                want.append((at + len(gap), at + len(gap) + len(value), kind))
+            at += len(gap) + len(value) + len(parts[-1])
+        text = "".join(parts)
+        spans = private.find(text, f)
+        assert [s[:3] for s in spans] == want, text
+        for a, b, kind, new in spans:
+            assert pairs.setdefault((kind, text[a:b]), new) == new != text[a:b] and len(new) == b - a or kind in ("ip", "email")
+    assert len(set(pairs.values())) == len(pairs)
+
+
+def test_many_hits_cost_their_number():
+    f = private.Feistel(KEY)
+    text = "".join(f"a{i}@mail.example.com " for i in range(20_000))
+    began = time.perf_counter()
+    assert len(private.find(text, f)) == 20_000 and time.perf_counter() - began < 30
+
+
 def corpus():
     draw = random.Random(0)
     parts = {"en": "the th ing and tion er he of to in that", "fr": "le ou eau é è des que ment une aux la", "de": "der sch ung ein ich die zu ü ä das und"}
@@ -155,6 +311,79 @@ def test_language(spark, monkeypatch, broadcast):
     assert all(r.language == r.truth for r in got if r.doc_id >= 5000)
 
 
+def plain_bayes(rows, texts, declared, hosts, suffixes):
+    """The posterior by dictionaries and loops, over all rows as the sample."""
+    def grams(t):
+        b = f" {(t or '').lower()} ".encode()
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % (1 << 32)) >> 17 for i in range(len(b) - 2)]
+
+    names = sorted({d for d in declared if d is not None})
+    seen = {x: Counter() for x in names}
+    for t, d in zip(texts, declared, strict=True):
+        if d is not None:
+            seen[d].update(grams(t))
+    total = {x: sum(c.values()) + 0.5 * language.BUCKETS for x, c in seen.items()}
+    by_text, letters = [], []
+    for t in texts:
+        g = grams(t)
+        weight = min(language.PER_TRIGRAM * max(len(g), 1), language.INDEPENDENT) / max(len(g), 1)
+        by_text.append([weight * sum(math.log((seen[x][k] + 0.5) / total[x]) for k in g) for x in names])
+        letters.append(any(map(str.isalpha, t or "")))
+    guess = [max(range(len(names)), key=lambda k: (s[k], -k)) if ok else None for s, ok in zip(by_text, letters, strict=True)]
+    every = Counter(g for g in guess if g is not None)
+    flat = [(every[k] + 1) / (sum(every.values()) + len(names)) for k in range(len(names))]
+
+    def smoothed(groups, above):
+        out = {}
+        for key in {k for k, g in zip(groups, guess, strict=True) if g is not None}:
+            own = Counter(g for k, g in zip(groups, guess, strict=True) if k == key and g is not None)
+            out[key] = [(own[k] + language.PRIOR_ROWS * above(key)[k]) / (sum(own.values()) + language.PRIOR_ROWS) for k in range(len(names))]
+        return out
+
+    by_suffix = smoothed(suffixes, lambda _: flat)
+    by_host = smoothed(list(zip(hosts, suffixes, strict=True)), lambda key: by_suffix[key[1]])
+    kinds = len({d for d, g in zip(declared, guess, strict=True) if g is not None})
+    said = Counter((d, g) for d, g in zip(declared, guess, strict=True))
+    for i in range(len(rows)):
+        if not letters[i]:
+            yield "und", 0.0
+            continue
+        prior = by_host.get((hosts[i], suffixes[i]), flat)
+        logs = [by_text[i][k] + math.log(prior[k]) + (0 if declared[i] is None else math.log((said[declared[i], k] + 1) / (every[k] + kinds))) for k in range(len(names))]
+        top = max(logs)
+        sure = 1 / sum(math.exp(x - top) for x in logs)
+        yield (names[logs.index(top)] if sure >= language.SURE else "und"), sure
+
+
+def test_posterior_equals_brute_force(spark):
+    draw = random.Random(3)
+    rows = [r for r in corpus()[:250]] + [(900, None, "en", "en0.example", ""), (901, "", None, None, ""), (902, "9 9", "fr", "x.example", ""), (903, "a", "zz", "de1.test", "")]
+    rows = [(i, " ".join((t or "").split()[: draw.randint(1, 4)]) if t and i % 3 == 0 else t, d, h and h.replace("example", draw.choice(["example", "test"])), x) for i, t, d, h, x in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, truth string").repartition(3)
+    suffixes = [h.rsplit(".", 1)[1] if h else None for _, _, _, h, _ in rows]
+    want = dict(zip((r[0] for r in rows), plain_bayes(rows, [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], suffixes), strict=True))
+    got = {r.doc_id: r for r in language.identify(df, suffix=language.suffix_of("source")).collect()}
+    assert len({x for x, _ in want.values()}) > 3
+    for i, (name, sure) in want.items():
+        assert abs(got[i].confidence - sure) < 1e-4 and (got[i].language == name or abs(sure - language.SURE) < 1e-4), i
+
+
+def test_suffixes(spark):
+    df = spark.createDataFrame([("a.b.DE",), ("src0",), ("x.org.",), ("1.2.3.4",), ("",), (None,)], "h string")
+    assert [r[0] for r in df.select(language.suffix_of("h")).collect()] == ["de", None, "org", None, None, None]
+
+
+def test_language_of_pages(spark):
+    rows = [(i, f"http://{lang}{i % 2}.example.{lang}/p", f"<html lang='{lang}'><body><article><p>{t}</p></article></body></html>") for i, t, _, _, lang in corpus()[:300]]
+    rows += [(None, "http://en0.example.en/q", "<p>the thing and the other</p>"), (1, None, None), (1, "odd", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = catalog.pages_language(pages).collect()
+    assert len(got) == len(rows) and [r.language for r in got if r.page_id is None] == ["en"]
+    assert sum(r.language == x[4] for r in got for x in corpus()[:300] if r.page_id == x[0] and r.markup) >= 297
+    assert sorted(r.host or "" for r in got if r.page_id == 1 and r.language == "und") == ["", ""]
+    assert catalog.pages_language(pages.limit(0)).count() == 0
+
+
 def test_no_language_is_left_out(spark):
     draw = random.Random(5)
     names = [f"l{k:02d}" for k in range(70)]
