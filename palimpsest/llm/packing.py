@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import give_back, materialize, tasks_for, text_slices
+from .common import give_back, materialize, scratched, tasks_for, text_slices
 from .words import WordIds
 
 #: Buckets of a hashed document vector, and dimensions and bits of each of its projection.
@@ -24,18 +26,37 @@ _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+#: What a tokenizer file must say for its texts to be taken word by word: characters are composed and lower-cased, white space parts words and is dropped,
+#: letters, digits and other signs are parted too, and bytes are merged up to a mark of a word's end.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
 class Encoder:
     """Ids of a word by a tokenizer file: pieces that are plain are handed to its model at once, others go its whole way."""
 
     def __init__(self, tokenizer_file: str):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # words come lower-cased: what looks like a special token wasn't one
         self.model, self.marks = self.tokenizer.model, {}
 
     def whole(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.lists(words)
+        return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def lists(self, words: list[str]) -> list[list[int]]:
         out, tokenize, marks = [], self.model.tokenize, self.marks
         for word in words:
             if not word:
@@ -61,13 +82,36 @@ class Encoder:
         return out
 
 
-def words_of(tokenizer_file: str) -> WordIds:
-    """Ids of texts as tokenizers gives them for the whole texts. For one task: it holds distinct words.
+class TextIds:
+    """Ids of texts as the library gives them for the whole texts without adding special tokens. For one task: it holds distinct words.
 
-    For tokenizer files that compose and lower-case characters, drop white space, split there and between letters, digits and
-    other signs, and have a byte-level model with word ends.
+    Word by word if the file is of the kind BY_WORDS and the text holds no special token; else the library gets the whole text. special: strings of special
+    tokens in a text become these tokens, as the library does unless told otherwise; else they are ordinary text.
     """
-    return WordIds(Encoder(tokenizer_file))
+
+    def __init__(self, tokenizer_file: str, special: bool = True):
+        with open(tokenizer_file, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+        own = {"normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"], "model": model}
+        self.by_words = own == BY_WORDS and not any(spec.get(k) for k in ("truncation", "padding"))
+        self.added = [t["content"] for t in spec["added_tokens"]] if special else [t["content"] for t in spec["added_tokens"] if not t["special"]]
+        self.words, self.library = WordIds(Encoder(tokenizer_file)), Tokenizer.from_file(tokenizer_file)
+        self.library.encode_special_tokens = not special
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, in a row, and each text's count of ids. Null texts have none."""
+        texts = pc.fill_null(texts, "")
+        odd = np.full(len(texts), not self.by_words)
+        for mark in self.added:
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.words.of_texts(texts, lower=True)
+        flat, lens = self.words.of_texts(pc.if_else(pa.array(odd), "", texts), lower=True)
+        parts = np.split(flat, np.cumsum(lens)[:-1])
+        for i in np.flatnonzero(odd):
+            parts[i] = np.array(self.library.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.int32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
 @functools.lru_cache(maxsize=1)
@@ -108,15 +152,15 @@ def curve_keys(flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return hilbert_key(placed.astype(np.int64))
 
 
-def tokenize(df: DataFrame, tokenizer_file: str, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize(df: DataFrame, tokenizer_file: str, end_id: int, id: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
     """One row per row of df: the id column, curve_key long, n_tokens long, ids binary (little-endian unsigned 16-bit), the
-    end id last. Null text: empty, the end id alone. Vocabularies of up to 65,536 ids."""
+    end id last; see TextIds. Null text: empty, the end id alone. Vocabularies of up to 65,536 ids."""
     kind = df.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(tokenizer_file)
+        words = TextIds(tokenizer_file, special)
         for batch in text_slices(batches, "text"):
-            flat, lens = words.of_texts(batch.column("text"), lower=True)
+            flat, lens = words.of_texts(batch.column("text"))
             keys, ends = curve_keys(flat, lens), np.cumsum(lens)
             out = np.insert(flat, ends, end_id).astype("<u2").tobytes()
             stops = 2 * (ends + np.arange(1, len(lens) + 1))
@@ -181,8 +225,9 @@ def pack(tokens: DataFrame, length: int = 4096, id: str = "doc_id", parts: int =
     return rows.mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary").withColumnRenamed("id", id)
 
 
-def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 4096, id: str = "doc_id", text: str = "text") -> DataFrame:
+@scratched
+def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, length: int = 4096, id: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
     """tokenize(), written to the scratch folder, then pack(); tasks by the measured number of tokens."""
-    tokens = materialize(tokenize(df, tokenizer_file, end_id, id, text), "tokens")
+    tokens = materialize(tokenize(df, tokenizer_file, end_id, id, text, special), "tokens")
     total = tokens.agg(F.sum("n_tokens")).first()[0]
     return pack(tokens, length, id, tasks_for(2 * int(total or 0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,11 @@ def distinct_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray,
 class WordIds(dict):
     """Word -> number; ids of word k are flat[starts[k] : starts[k] + lens[k]].
 
-    `encode` turns new words into lists of ids. It's right wherever a tokenizer treats the words of a text independently of
+    `encode` turns new words into their ids, in a row, and each word's count of ids. It's right wherever a tokenizer treats the words of a text independently of
     each other, and white space only parts them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         super().__init__()
         self.encode = encode
         self.reset()
@@ -43,30 +43,24 @@ class WordIds(dict):
         self.clear()
         self.flat, self.starts, self.lens, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        self.new.append(word)
-        return k
-
     def numbers(self, words: list[str]) -> np.ndarray:
-        """The words' numbers; new words are tokenized."""
+        """The numbers of words, each given once; new ones are tokenized."""
         if len(self) > MOST_WORDS:
             self.reset()
-        self.new: list[str] = []
-        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            got = self.encode(self.new)
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            first, total = len(self) - len(got), int(lens.sum())
+        new, first = [w for w in words if w not in self], len(self)
+        self.update(zip(new, range(first, first + len(new)), strict=True))
+        if new:
+            got, lens = self.encode(new)
+            total = len(got)
             if len(self) > len(self.starts):
                 self.starts, self.lens = (np.concatenate([x, np.zeros(2 * len(self) - len(x), np.int64)]) for x in (self.starts, self.lens))
             if self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(self.used + 2 * total, np.int32)])
-            self.flat[self.used : self.used + total] = [i for x in got for i in x]
+            self.flat[self.used : self.used + total] = got
             self.lens[first : len(self)] = lens
             self.starts[first : len(self)] = self.used + np.cumsum(lens) - lens
             self.used += total
-        return found
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words by number, in a row, and each word's count of ids."""

@@ -2,6 +2,7 @@ import base64
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
@@ -10,7 +11,7 @@ from palimpsest.llm import packing, tokens
 
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 TEXTS = [
-    None, "", " ", "a", "Hello  world\n\n it's 42 o'clock\t\r\n x", "<|endoftext|> <|startoftext|>", "Éa̋ ß 東京 x\x85y\xa0z\x1cq ΑΣ ΑΣΑ", "😀" * 50,
+    None, "", " ", "a", "Hello  world\n\n it's 42 o'clock\t\r\n x", "<|endoftext|> <|startoftext|>", "word <|endoftext|> x", "a<|startoftext|>b <|ENDOFTEXT|>", "é<|endoftext|>" * 3000, "Éa̋ ß 東京 x\x85y\xa0z\x1cq ΑΣ ΑΣΑ", "😀" * 50,
     "word, " * 40_000, "x" * 70_000, " \n" * 40_000 + "end", "it's they're 5's " * 9000, "a", "a",
 ]
 
@@ -47,7 +48,6 @@ def test_empty_tables(spark):
 
 def check_packing(pieces, texts, length):
     plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in pieces:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -71,6 +71,23 @@ def test_packing(spark):
         check_packing(packing.pack_documents(frame(spark), WORDS, length=length).collect(), TEXTS, length)
 
 
+def test_special_tokens_may_be_ordinary_text():
+    plain = Tokenizer.from_file(WORDS)
+    plain.encode_special_tokens = True
+    flat, lens = packing.TextIds(WORDS, special=False).of_texts(pa.array(TEXTS, pa.string()))
+    assert np.split(flat, np.cumsum(lens)[:-1]) and flat.tolist() == [i for t in TEXTS for i in plain.encode(t or "", add_special_tokens=False).ids]
+
+
+def test_other_tokenizer_files_get_whole_texts():
+    other = P.path("byte_bpe_50k.json")
+    ids, plain = packing.TextIds(other), Tokenizer.from_file(other)
+    texts = [t for t in TEXTS if not t or len(t) < 1000]
+    flat, lens = ids.of_texts(pa.array(texts, pa.string()))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not ids.by_words and packing.TextIds(WORDS).by_words
+    assert lens.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+
+
 def test_crc_of_pieces(spark):
     rows = packing.pack_documents(frame(spark, ["one two three"] * 3), WORDS).selectExpr("ids", "crc32(ids) c").collect()
     assert all(zlib.crc32(r.ids) == r.c for r in rows)
