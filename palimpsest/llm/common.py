@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,52 +16,60 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir
+
 #: The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker takes apart at a time; a longer text is one slice.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 2000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where none is set (tests), one that this library sets."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints/palimpsest"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 #: Bytes of an Arrow batch between Spark and a Python worker: both sides hold some, for each task.
 BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_BYTES if they may be larger."""
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own: results are made after their operator has returned, so the bound
+    stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
-    if now <= 0 or now > BATCH_BYTES:
+    if spark.conf.get(name, None) is None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
-_scopes: list[list[str]] = []
+#: Of this thread.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch_scope() -> Iterator[list[str]]:
     """Collects the folders that materialize() makes meanwhile."""
     made: list[str] = []
-    _scopes.append(made)
+    mark = _scopes.set((*_scopes.get(), made))
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.reset(mark)
+
+
+def scratched(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose scratch tables are deleted when it returns, but for those that its result reads; these go when the driver ends."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **named) -> DataFrame:
+        small_batches(df.sparkSession)
+        with scratch_scope() as made:
+            out = operator(df, *args, **named)
+        release(df.sparkSession, made, out)
+        return out
+
+    return run
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared scratch folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    for made in _scopes:
+    for made in _scopes.get():
         made.append(path)
     small_batches(spark)
     df.write.parquet(path)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connect, drop_scratch, few, materialize, release, scratch_scope, tasks_for, text_slices, whole_groups
+from .common import connect, drop_scratch, few, materialize, scratched, tasks_for, text_slices, whole_groups
 from .words import distinct_words
 
 #: Words of a shingle; bands and coordinates of each. A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^28, under 2 in 100,000.
@@ -164,6 +164,7 @@ def elements(df: DataFrame, shingle: int, weigh: str) -> DataFrame:
     return df.select("id", "text").mapInArrow(run, "id long, n int, elements array<bigint>")
 
 
+@scratched
 def near_duplicates(df: DataFrame, similarity: float = 0.8, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weigh: str = "log") -> DataFrame:
     """One row per row of df: id, class_id long (smallest id of its class), kept boolean (id = class_id).
 
@@ -177,10 +178,7 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, id: str = "doc_id",
     any length. Ties: the smallest id. Empty table: no rows. Columns besides id and text aren't read. The result is a stored table; what it was
     made from is deleted.
     """
-    with scratch_scope() as made:
-        out = materialize(_near_duplicates(df, similarity, id, text, shingle, bands, rows, weigh), "classes")
-    release(df.sparkSession, made, out)
-    return out
+    return materialize(_near_duplicates(df, similarity, id, text, shingle, bands, rows, weigh), "classes")
 
 
 def _near_duplicates(df: DataFrame, similarity: float, id: str, text: str, shingle: int, bands: int, rows: int, weigh: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, join_small, materialize
+from .common import WORD_GAP, join_small, materialize, scratched
 
 SYMBOLS = "[#*$%&|<>]"
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -178,6 +178,7 @@ def apply(measured: DataFrame, fences: Fences | None, lang: str = "lang", source
     return joined.withColumn("kept", fits).drop(*(c for c in chosen.columns if c[:2] == "__"), "__n_lines")
 
 
+@scratched
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry_text: bool = True, rules: tuple[Rule, ...] = RULES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """df with the columns of measure() and kept boolean: passed the base checks and lies within its group's fences.
 

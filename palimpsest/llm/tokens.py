@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, texts_of
+from .common import scratched, text_slices, texts_of
 
 #: Longer texts are split before they are encoded.
 PIECE_CHARS = 1 << 16
@@ -48,6 +48,7 @@ def encode_text(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
     return np.array(parts[0] if len(parts) == 1 else [i for p in parts for i in p], dtype="<u4")
 
 
+@scratched
 def encode(df: DataFrame, rank_file: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: the id column, n_tokens long, ids binary (little-endian unsigned 32-bit).
 
@@ -67,6 +68,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id: str = "doc_id", text
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id)
 
 
+@scratched
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """df with a binary column `to`: the bytes that the ids (binary as encode() returns) stand for.
 
