@@ -13,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connect, materialize, tasks_for, whole_groups
+from .common import connect, few, materialize, scratched, tasks_for, whole_groups
 
-#: Blocks of a product code; codes to aim at; filters that a pair at the threshold shares on average; members of a filter to aim at.
-BLOCKS, TURNS, SHARED, MEMBERS = 3, 48, 16.0, 10.0
+#: Blocks of a product code; filters of a code that a vector is in, about; share of the pairs at the threshold that may have no filter in common; members
+#: of a filter to aim at, and the largest part of all directions that a filter may cover.
+BLOCKS, EACH, MISSED, MEMBERS, WIDEST = 2, 0.1, 1e-3, 400.0, 0.1
+#: Random pairs that each of TRIALS codes is tried on, and how many of them must have met for the measured share to count.
+TRIALS, TRIED, LEAST_MET = 16, 400, 100
 #: A filter with more members is dealt into chunks of this size, and each pair of chunks is a piece of work of its own.
 CHUNK = 1024
 #: Rows and pairs that are looked at together.
@@ -64,31 +67,37 @@ class Code:
         return rows[order], keys[order]
 
 
-def shared_part(least: float, cosine: float) -> float:
-    """P(a vector is in a filter | its neighbour at this cosine is), for normally distributed inner products."""
-    normal, x = NormalDist(), np.linspace(least, least + 8, 2001)
-    weight = np.exp(-(x**2 - least**2) / 2)
-    reach = np.array([1 - normal.cdf((least - cosine * v) / math.sqrt(1 - cosine * cosine)) for v in x])
-    return float((weight * reach).sum() / weight.sum())
-
-
 def choose(dim: int, most: int, cosine: float) -> Code:
-    """The codes for groups of up to `most` vectors: filters get rarer as groups grow, so that a filter's members don't multiply.
+    """The codes for groups of up to `most` vectors: filters get narrower as groups grow, so that their members don't multiply.
 
-    As many codes as it takes for random pairs at the threshold to share SHARED filters on average, measured on such pairs.
+    Codes are turned at random, so all pairs at the threshold fare alike, and one code after another misses a pair independently. How many of such pairs a code
+    misses is measured, and as many codes are taken as leave MISSED of them. Where narrow filters hardly ever hold both (few dimensions), wider ones are taken.
     """
-    share = min(0.1, MEMBERS / max(most, 1))
-    least = NormalDist().inv_cdf(1 - share)
-    blocks = min(BLOCKS, dim)
-    words = max(2, round((SHARED / shared_part(least, cosine) / share / TURNS) ** (1 / blocks)))
-    draw, trial = np.random.default_rng(dim), Code(dim, words, 16, least)
-    x, y = draw.standard_normal((2, 400, dim))
+    draw = np.random.default_rng(dim)
+    x, y = draw.standard_normal((2, TRIED, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(1, keepdims=True) * x
     y = cosine * x + math.sqrt(1 - cosine * cosine) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-    met = [set(zip(*map(np.ndarray.tolist, trial.decode(z)), strict=True)) for z in (x, y)]
-    each = max(len(met[0] & met[1]) / len(x) / trial.turns, SHARED / 4096)
-    return Code(dim, words, max(8, math.ceil(SHARED / each)), least)
+    share = min(WIDEST, MEMBERS / max(most, 1))
+    while True:
+        least = NormalDist().inv_cdf(1 - share)
+        words = max(2, round((EACH / share) ** (1 / min(BLOCKS, dim))))
+        trial = Code(dim, words, TRIALS, least)
+        met = _met(trial, x, y)
+        if met >= LEAST_MET or share >= 0.5:
+            break
+        share = min(0.5, 2 * share)
+    if not met:  # one dimension: a filter is a side
+        return Code(dim, 2, 1, -math.inf)
+    missed = 1 - met / (TRIED * TRIALS)
+    return Code(dim, words, math.ceil(math.log(MISSED) / math.log(max(missed, 1e-9))), least)
+
+
+def _met(code: Code, x: np.ndarray, y: np.ndarray) -> int:
+    """In how many codes the pairs have a filter in common, added up."""
+    size = code.words ** min(BLOCKS, code.dim)
+    found = [set(zip(*map(np.ndarray.tolist, code.decode(z)), strict=True)) for z in (x, y)]
+    return len({(row, key // size) for row, key in found[0] & found[1]})
 
 
 def _pairs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +115,7 @@ def _links(block: dict[str, np.ndarray], units: np.ndarray, lists: np.ndarray, a
     a, b = a[fits], b[fits]
     near = _near(np.einsum("ij,ij->i", units[a], units[b]), block["vectors"], a, b, cosine)
     a, b = a[near], b[near]
-    low, high, fresh = lists[a], lists[b], np.ones(len(a), bool)
-    for k in range(low.shape[1]):
-        fresh &= ~((low[:, k : k + 1] == high) & (high >= 0)).any(1)
+    fresh = _fresh(lists, a, b)
     return a[fresh], b[fresh]
 
 
@@ -119,25 +126,34 @@ def _near(found: np.ndarray, vectors: np.ndarray, a: np.ndarray, b: np.ndarray,
     return near
 
 
+def _fresh(lists: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs have no lesser filter in common."""
+    low, high, fresh = lists[a], lists[b], np.ones(len(a), bool)
+    for k in range(low.shape[1]):
+        fresh &= ~((low[:, k : k + 1] == high) & (high >= 0)).any(1)
+    return fresh
+
+
 def _links_of(block: dict[str, np.ndarray], units: np.ndarray, lists: np.ndarray, first: int, n: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """The same for all pairs of a large bucket, by products of matrices: cosines, and counts of lesser filters in common."""
+    """The same for all pairs of a large bucket, cosines by products of matrices: a first pass in single precision, doubles for what it leaves."""
     own = slice(first, first + n)
-    filters, place = np.unique(lists[own], return_inverse=True)
-    holds = np.zeros((n, len(filters)), np.float32)
-    holds[np.arange(n)[:, None], place.reshape(n, -1)] = 1
-    holds = holds[:, filters >= 0]
     part, one = block["part"][own], block["i"][first] == block["j"][first]
-    found_a, found_b = [], []
-    for k in range(0, n, BLOCK_PAIRS // n + 1):
-        rows = slice(k, min(k + BLOCK_PAIRS // n + 1, n))
-        near = units[own][rows] @ units[own].T
-        fits = (near >= cosine - 1e-9) & (holds[rows] @ holds.T == 0) & (np.arange(n) > np.arange(n)[rows, None])
+    rough = units[own].astype(np.float32)
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = BLOCK_PAIRS // n + 1
+    for k in range(0, n, step):
+        rows = slice(k, min(k + step, n))
+        fits = rough[rows] @ rough.T >= cosine - 1e-4
+        fits &= np.arange(n) > np.arange(n)[rows, None]
         if not one:
             fits &= part != part[rows, None]
         a, b = np.nonzero(fits)
-        sure = _near(near[a, b], block["vectors"], first + k + a, first + b, cosine)
-        found_a.append(first + k + a[sure])
-        found_b.append(first + b[sure])
+        a, b = first + k + a, first + b
+        near = _near(np.einsum("ij,ij->i", units[a], units[b]), block["vectors"], a, b, cosine)
+        a, b = a[near], b[near]
+        fresh = _fresh(lists, a, b)
+        found_a.append(a[fresh])
+        found_b.append(b[fresh])
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
@@ -188,11 +204,12 @@ def _work(block: dict[str, np.ndarray], cosine: float) -> dict[int, list[int]]:
     return {int(i): [int(n), int(ids[k])] for i, n, k in zip(ids, linked, low, strict=True)}
 
 
+@scratched
 def near_duplicates(df: DataFrame, cosine: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per row of df: id, n_links long, component_id long, kept boolean.
 
     Compares vectors of equal, non-null label (and length) by cosine in double precision; what the filters bring together is
-    verified exactly, so no link lies below `cosine`. A link is missed only if two vectors share no filter: about e^-SHARED of
+    verified exactly, so no link lies below `cosine`. A link is missed only if two vectors share no filter: about MISSED of
     those at the threshold itself, fewer above. Equal vectors are one point with a count of copies; each copy counts as a link.
     Vectors that are null, empty, zero or hold null or non-finite components have no links and stay. A pair is found in each filter
     that it shares and counted in the least of them, where only its vectors' counts and smallest id leave the task: pairs are
@@ -230,15 +247,17 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id: str = "vec_id", vec
     coded = materialize(points.select("id", "copies", "label", "v").mapInArrow(decode, f"id long, copies long, label {label_kind}, v {kept_as}, filters array<{filter_kind}>"), "filters")
     dealt = coded.withColumn("dim", F.size("v")).select("id", "copies", "label", "v", "dim", F.posexplode("filters").alias("place", "filter"), "filters")
     dealt = dealt.withColumn("lesser", F.slice("filters", 1, F.col("place"))).drop("filters", "place")
-    full = materialize(dealt.select("label", "dim", "filter").groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "sizes")
-    if full.isEmpty():
+    many = dealt.select("label", "dim", "filter").groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    many = materialize(many.select("label", "dim", "filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), "n"), "many")
+    total = coded.agg(F.sum(F.size("filters"))).first()[0]
+    if not total:
         figures = points.select("point", F.col("copies").alias("n"), F.col("id").alias("root"))
     else:
-        met = dealt.join(full, ["label", "dim", "filter"])
+        met = dealt.join(few(many.drop("n")), ["label", "dim", "filter"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         met = met.withColumn("part", F.pmod(F.xxhash64("id", "filter"), F.col("chunks")).cast("int"))
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         met = met.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-        total = full.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0]
+        total += many.agg(F.coalesce(F.sum(F.col("n") * (F.col("chunks") - 1)), F.lit(0))).first()[0]
         width = 8 * (max(codes) + 20)
         keys = ["label", "dim", "filter", "i", "j"]
         met = met.repartition(tasks_for(total * width, 8 << 20), *keys).sortWithinPartitions(*keys).select(F.xxhash64(*keys).alias("bucket"), "part", "i", "j", "id", "copies", "v", "lesser")
