@@ -51,10 +51,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = minhash.near_duplicates(docs)
     gone = common.materialize(classes.where("not kept").select("doc_id").distinct(), "gone")
     again = common.materialize(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    stay = docs.join(common.few(gone, minhash.BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    stay = docs.join(common.few(gone), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return stay
-    again = common.few(again, minhash.BROADCAST_IDS)
+    again = common.few(again)
     once = stay.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return stay.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
