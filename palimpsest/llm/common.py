@@ -93,21 +93,40 @@ def drop_scratch(df: DataFrame) -> None:
     release(df.sparkSession, [f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]], df.sparkSession.range(0))
 
 
-#: Rows of a table that may be broadcast, and copies of it, one for each salt, if it has more.
-BROADCAST_ROWS, SALTS = 50_000, 64
+#: Bytes of a table that may be broadcast, and copies of it, one for each salt, if it has more.
+BROADCAST_BYTES, SALTS = 16 << 20, 64
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of the rows as Spark holds them, about: summed up over them, so df should be a stored table."""
+    width = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            width += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map"):
+            width += 8 * F.greatest(F.size(f.name), F.lit(0))
+        elif kind == "struct":
+            width += 8 * len(f.dataType)
+    return df.agg(F.sum(width)).first()[0] or 0
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has at most BROADCAST_BYTES."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
 
 
 def join_small(rows: DataFrame, table: DataFrame, keys: list[str], salt: list[str]) -> DataFrame:
     """rows left join table on equal keys (null equals null); table has one slim row for each key.
 
-    Counted: up to BROADCAST_ROWS rows it is broadcast. Beyond, each of its rows is copied to SALTS salts and `rows` dealt
+    Up to BROADCAST_BYTES it is broadcast. Beyond, each of its rows is copied to SALTS salts and `rows` dealt
     by a hash of the `salt` columns, so that a hot key is spread.
     """
     table = table.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(c for c in table.columns if c not in keys))
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    if table.count() <= BROADCAST_ROWS:
+    if bytes_of(table) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), same, "left").drop(*(f"__k_{k}" for k in keys))
     table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("__pick", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
@@ -171,11 +190,6 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 LOCAL_LINKS = 200_000
 
 
-def few(df: DataFrame, most: int | None = None) -> DataFrame:
-    """df, marked for broadcast if it has at most BROADCAST_ROWS rows (or `most`); they are counted, so df should be a stored table."""
-    return F.broadcast(df) if df.count() <= (most or BROADCAST_ROWS) else df
-
-
 def _local_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches]
     if not parts:
@@ -199,8 +213,8 @@ def _local_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connect(edges: DataFrame, label: str) -> DataFrame:
     """Connected classes of undirected links (a long, b long): rows (id, root), root the smallest id reachable.
 
-    Alternates large-star and small-star steps until nothing changes; each step is one shuffle and keeps at
-    most one link per row, so a class of any size stays spread. Every step is written to the scratch folder. Up to LOCAL_LINKS
+    Alternates large-star and small-star steps until nothing changes. A step aggregates by id before and after its shuffle and joins the smallest neighbour
+    back, a join that adaptive execution can split at a star's centre; it makes at most one link of each. Every step is written to the scratch folder. Up to LOCAL_LINKS
     links, counted, are put together by one task instead, with the same result. Empty input: no rows. Ids that occur in no link
     get no row.
     """

@@ -12,8 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-from .common import join_small, materialize, scratched, text_slices, texts_of
+from .common import few, join_small, materialize, scratched, text_slices, texts_of
 
 #: A subtree goes if this many different pages of the host have it, and one in ONE_IN of them. Copies of a page count once.
 LEAST_PAGES, ONE_IN = 5, 10
@@ -260,10 +259,11 @@ def extract(df: DataFrame, id: str = "page_id", url: str = "url", page: str = "h
     layout = take_apart(df, id, url, page, texts=False).select("page_key", "host", "main_hash", "spans", "subtrees")
     layout = materialize(layout, "layout")
     found = materialize(templates(layout, least, one_in), "templates")
-    inside = layout.select("page_key", "host", F.explode(F.array_distinct(F.transform("spans", lambda s: s["key"]))).alias("key"))
+    alike = layout.groupBy("page_key").agg(F.first("host").alias("host"), F.first("spans").alias("spans"))  # equal pages once
+    inside = alike.select("page_key", "host", F.explode(F.array_distinct(F.transform("spans", lambda s: s["key"]))).alias("key"))
     gone = join_small(inside, found.withColumn("hit", F.lit(1)), ["host", "key"], ["page_key"]).where("hit = 1")
     gone = materialize(gone.groupBy("page_key").agg(F.collect_set("key").alias("gone")), "gone")
-    met = take_apart(df, id, url, page).join(F.broadcast(gone) if gone.count() <= common.BROADCAST_ROWS else gone, "page_key", "left")
+    met = take_apart(df, id, url, page).join(few(gone), "page_key", "left")
     cut = F.filter("spans", lambda s: F.array_contains("gone", s["key"]))
     left = F.filter("blocks", lambda _, i: ~F.exists("cut", lambda s: (s["first"] <= i) & (i < s["stop"])))
     met = met.withColumn("cut", cut).withColumn("stay", F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(left)).withColumn("text", F.array_join("stay", "\n\n"))

@@ -88,11 +88,15 @@ def score_text(df: DataFrame, text: str, table: np.ndarray, to: str = "text_scor
     return df.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", `{to}` array<double>, has_letter boolean")
 
 
-def _smoothed(rows: DataFrame, by: list[str], above: DataFrame, up: list[str], n: int) -> DataFrame:
-    """For each key in `by` an array: the share of each language among its rows, PRIOR_ROWS rows of the level above added."""
+def _smoothed(rows: DataFrame, by: list[str], above: DataFrame | Column, up: list[str], n: int) -> DataFrame:
+    """For each key in `by` an array: the share of each language among its rows, PRIOR_ROWS rows of the level above added. above: shares for each key
+    in `up`, or for all."""
     own = rows.groupBy(*by).agg(F.sum("n").alias("__n"), *(F.sum(F.when(F.col("guess") == k, F.col("n")).otherwise(0)).alias(f"__{k}") for k in range(n)))
-    above = above.withColumnRenamed("share", "__up")
-    met = own.join(above, [F.col(c).eqNullSafe(above[f"up_{c}"]) for c in up] or F.lit(True), "left")
+    if isinstance(above, Column):
+        met = own.withColumn("__up", above)
+    else:
+        above = above.withColumnRenamed("share", "__up")
+        met = own.join(above, [F.col(c).eqNullSafe(above[f"up_{c}"]) for c in up], "left")
     shares = F.array(*((F.col(f"__{k}") + PRIOR_ROWS * F.get("__up", F.lit(k))) / (F.col("__n") + PRIOR_ROWS) for k in range(n)))
     return met.select(*by, shares.alias("share"))
 
@@ -130,8 +134,7 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
     total = {r.guess: r.n for r in counts.groupBy("guess").agg(F.sum("n").alias("n")).collect()}
     seen = sum(total.values())
     everywhere = [(total.get(k, 0) + 1.0) / (seen + n) for k in range(n)]
-    top = df.sparkSession.range(1).select(F.array(*map(F.lit, everywhere)).alias("share"))
-    by_suffix = _smoothed(counts, ["__suffix"], top, [], n)
+    by_suffix = _smoothed(counts, ["__suffix"], F.array(*map(F.lit, everywhere)), [], n)
     by_host = materialize(_smoothed(counts, ["__host", "__suffix"], by_suffix.withColumnRenamed("__suffix", "up___suffix"), ["__suffix"], n), "hosts")
     spread = counts.groupBy("__declared").agg(*(F.sum(F.when(F.col("guess") == k, F.col("n")).otherwise(0)).alias(f"__{k}") for k in range(n)))
     kinds = spread.count()

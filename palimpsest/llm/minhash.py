@@ -22,8 +22,8 @@ SHINGLE, BANDS, ROWS = 5, 28, 5
 FIRST_STRETCH = 0.125
 #: Rounds in which each bucket is compared with one of its members, before what is left is dealt anew; members that meet one copy of such a member.
 HUB_ROUNDS, HUB_MEMBERS = 2, 256
-#: Members and elements that are compared together; rows of a few numbers, 32 bytes at most, that may be broadcast.
-CHUNK, CHUNK_ELEMENTS, BROADCAST_IDS = 512, 1_000_000, 500_000
+#: Members and elements that are compared together.
+CHUNK, CHUNK_ELEMENTS = 512, 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -190,16 +190,16 @@ def _near_duplicates(df: DataFrame, similarity: float, id: str, text: str, shing
     shared = materialize(buckets.join(full, "key").select("key", "id"), "buckets")
     wanted = materialize(shared.select("id").distinct(), "wanted")
     # few ids by count are broadcast, so that no text is shuffled
-    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(few(wanted, BROADCAST_IDS), "id", "left_semi")
+    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(few(wanted), "id", "left_semi")
     sets = materialize(elements(texts, shingle, weigh).dropDuplicates(["id"]), "elements")
     state = Classes()
     apart = compare_with_hubs(shared, sets, similarity, state, 0)
     rest = None if apart is None else compare_with_hubs(finer(apart, sets, similarity), sets, similarity, state, HUB_ROUNDS)
     if rest is not None:
         ids = materialize(rest.select("id").distinct(), "ids")
-        apart = apart.select("key", "id").join(few(ids, BROADCAST_IDS), "id")
+        apart = apart.select("key", "id").join(few(ids), "id")
         if state.roots is not None:
-            apart = apart.join(few(state.roots, BROADCAST_IDS), "id", "left")
+            apart = apart.join(few(state.roots), "id", "left")
         state.add(_compare(apart.select("key", "id", F.coalesce("root", "id").alias("root") if state.roots else F.col("id").alias("root")), sets, similarity))
     roots = state.roots
     if roots is None:
@@ -232,18 +232,18 @@ def compare_with_hubs(buckets: DataFrame, sets: DataFrame, similarity: float, st
     buckets that are of several classes still; None if there is none."""
     for turn in range(first, first + HUB_ROUNDS + 1):
         own = F.coalesce("root", "id").alias("root") if state.roots else F.col("id").alias("root")
-        members = materialize((buckets.join(few(state.roots, BROADCAST_IDS), "id", "left") if state.roots else buckets).select("key", "id", own), "members")
+        members = materialize((buckets.join(few(state.roots), "id", "left") if state.roots else buckets).select("key", "id", own), "members")
         hub = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("hub")
         split = members.groupBy("key").agg(hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
         split = materialize(split.select("key", F.col("hub.id").alias("other"), F.col("hub.root").alias("hub_root")), "hubs")
         if split.isEmpty():
             return None
-        apart = members.join(few(split, BROADCAST_IDS), "key")
+        apart = members.join(few(split), "key")
         if turn == first + HUB_ROUNDS:
             return materialize(apart.select("key", "id", "root"), "apart")
         more = apart.where("root != hub_root").select("id", "other")
         more = more.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct()
-        more = materialize(more if state.seen is None else more.join(few(state.seen, BROADCAST_IDS), ["id", "other"], "left_anti"), "pairs")
+        more = materialize(more if state.seen is None else more.join(few(state.seen), ["id", "other"], "left_anti"), "pairs")
         drop_scratch(members)
         if not more.isEmpty():
             state.add(verify(more, sets, similarity), more)
@@ -257,7 +257,7 @@ def finer(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     that thousands of documents repeat, come last and make no bucket unless a document has little else.
     """
     ids = materialize(apart.select("id").distinct(), "ids")
-    long = sets.join(few(ids, BROADCAST_IDS), "id").select("id", F.col("n").alias("size"), F.explode("elements").alias("element"))
+    long = sets.join(few(ids), "id").select("id", F.col("n").alias("size"), F.explode("elements").alias("element"))
     long = materialize(long, "long")
     often = long.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
     shared = long.join(materialize(often, "often"), "element").groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "element"))).alias("common"))
@@ -274,10 +274,10 @@ def _compare(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """
     apart = materialize(apart, "apart")
     split = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    apart = materialize(apart.join(few(materialize(split, "split"), BROADCAST_IDS), "key"), "apart")
-    sizes = sets.select("id", "n").join(few(apart, BROADCAST_IDS), "id")
+    apart = materialize(apart.join(few(materialize(split, "split")), "key"), "apart")
+    sizes = sets.select("id", "n").join(few(apart), "id")
     sizes = sizes.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
-    met = apart.join(few(materialize(sizes, "chunks"), BROADCAST_IDS), "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int"))
+    met = apart.join(few(materialize(sizes, "chunks")), "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("id", "root", "part", F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with")).alias("bucket"), (F.col("part") == F.col("with")).alias("one"))
     met = materialize(met.join(sets.select("id", "elements"), "id"), "dealt")
@@ -331,14 +331,14 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b): the pairs (id, other) whose sets' similarity is at least `similarity`. An `other` of many pairs is copied, once for each
     HUB_MEMBERS of them, and the pairs are dealt to its copies by a hash, so no task gets all that is compared with it. Sets of too unlike sizes
     are left out before any elements are moved."""
-    sized = materialize(sets.select("id", "n").join(few(pairs, BROADCAST_IDS), "id"), "sized")
-    sized = sets.select(F.col("id").alias("other"), F.col("n").alias("m")).join(few(sized, BROADCAST_IDS), "other")
+    sized = materialize(sets.select("id", "n").join(few(pairs), "id"), "sized")
+    sized = sets.select(F.col("id").alias("other"), F.col("n").alias("m")).join(few(sized), "other")
     pairs = materialize(sized.where(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9).select("id", "other"), "pairs")
     hubs = materialize(pairs.groupBy("other").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("copies")), "hubs")
-    dealt = pairs.join(few(hubs, BROADCAST_IDS), "other").select("id", "other", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("copy"))
-    right = sets.select(F.col("id").alias("other"), F.col("elements").alias("y")).join(few(hubs, BROADCAST_IDS), "other")
+    dealt = pairs.join(few(hubs), "other").select("id", "other", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("copy"))
+    right = sets.select(F.col("id").alias("other"), F.col("elements").alias("y")).join(few(hubs), "other")
     right = right.select("other", "y", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    left = sets.select("id", F.col("elements").alias("x")).join(few(materialize(dealt, "dealt"), BROADCAST_IDS), "id")
+    left = sets.select("id", F.col("elements").alias("x")).join(few(materialize(dealt, "dealt")), "id")
     met = left.join(right, ["other", "copy"])
     both = F.size(F.array_intersect("x", "y"))
     met = met.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both) - 1e-9)

@@ -93,7 +93,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, rounds, weigh, ch
     monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
     monkeypatch.setattr(minhash, "CHUNK", chunk)
     monkeypatch.setattr(minhash, "HUB_MEMBERS", chunk)
-    monkeypatch.setattr(minhash, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", ids)
     monkeypatch.setattr(common, "LOCAL_LINKS", ids)
     texts = make_texts()
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], "doc_id long, text string, class_id string, id int").repartition(5)

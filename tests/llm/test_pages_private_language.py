@@ -154,9 +154,9 @@ def test_templates_equal_brute_force(spark):
         assert got[i].text == "\n\n".join(n[2][0] if n[0] == "p" else n[2][0][2][0] for n in left) and got[i].removed == len(body) - len(left)
 
 
-@pytest.mark.parametrize("broadcast", [50_000, 0])
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
 def test_templates_go_and_articles_stay(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     page = lambda i, host: (i, f"https://{host}/p{i}", f"<body><div><p>Welcome to {host}</p></div><div><p>story {i}</p></div><p>shared passage</p></body>", "t")
     rows = [page(i, "a.example") for i in range(12)] + [page(100 + i, "b.example") for i in range(2)]
     rows += [(200 + i, "https://c.example/x", "<article><div><p>copied article</p></div></article>", "t") for i in range(30)]
@@ -299,9 +299,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("broadcast", [50_000, 0])
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
 def test_language(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     rows = [*corpus(), (5000, None, "en", None, "und"), (5001, "", None, "en0.example", "und"), (5002, "12 34 !!", "fr", "fr0.example", "und"), (5003, "e", "de", "de0.example", "de"), (5003, "e", "de", "de0.example", "de"), (5004, "the thing " * 50_000, None, None, "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, truth string").repartition(4)
     got = language.identify(df).collect()

@@ -1,5 +1,6 @@
 """The pipeline against a plain one: brute-force checks, classes, pseudonyms and tokens of every document that should be left."""
 
+import os
 import random
 
 import numpy as np
@@ -87,3 +88,30 @@ def test_pseudonyms_leave_no_number(spark, folder):
     out = corpus_pipeline.personal_data(spark, docs, folder).collect()
     assert not any(x in (r.text or "") for r in out for x in ("555-7713", "97.51.17.173", "a.12@mail"))
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out)
+
+
+def test_operators_leave_only_what_their_result_reads(spark, folder):
+    from palimpsest.llm import extraction, minhash, quality, sharding
+    from palimpsest.sources.scratch import scratch_dir
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    pages = docs.selectExpr("doc_id page_id", "concat('http://', source, '/', doc_id) url", "concat('<p>', text) html")
+    listed = lambda: set(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    for work in (lambda: quality.judge(docs), lambda: minhash.near_duplicates(docs), lambda: extraction.extract(pages), lambda: sharding.assign(docs.select("doc_id"), "doc_id", [1.0] * 3)):
+        before = listed()
+        out = work()
+        read = {f.split("/")[-2] for f in out.inputFiles()}
+        assert listed() - before <= read
+        assert out.count() > 0
+
+
+def test_threads_keep_their_tables(spark, folder):
+    """Operators that run at the same time don't delete each other's scratch tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from palimpsest.llm import quality
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    with ThreadPoolExecutor(3) as pool:
+        counts = list(pool.map(lambda k: quality.judge(docs.where(f"coalesce(doc_id, 0) % 3 = {k}")).count(), range(3)))
+    assert sum(counts) == docs.count()

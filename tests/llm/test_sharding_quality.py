@@ -80,9 +80,9 @@ def documents(spark):
     return spark.createDataFrame(clean + noisy + odd, "doc_id long, text string, lang string, source string")
 
 
-@pytest.mark.parametrize("broadcast", [50_000, 0])
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
 def test_adaptive_fences(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     got = {r.doc_id: r.kept for r in quality.judge(documents(spark)).collect()}
     assert len(got) == 918
     assert all(got[i] for i in range(900)) and not any(got[1000 + i] for i in range(15))
