@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from .common import give_back, materialize, scratched, tasks_for, text_slices
 from .words import WordIds
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
 #: Buckets of a hashed document vector, and dimensions and bits of each of its projection.
 BUCKETS, DIMS, BITS = 1 << 10, 3, 16
 
@@ -42,44 +45,65 @@ BY_WORDS = {
 
 
 class Encoder:
-    """Ids of a word by a tokenizer file: pieces that are plain are handed to its model at once, others go its whole way."""
+    """Ids of words by a tokenizer file: what is plain is handed to its model in one go, pieces parted by blanks; the rest goes the file's whole way."""
 
-    def __init__(self, tokenizer_file: str):
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # words come lower-cased: what looks like a special token wasn't one
-        self.model, self.marks = self.tokenizer.model, {}
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.pieces = tokenizer, Tokenizer(tokenizer.model)
+        self.pieces.pre_tokenizer = WhitespaceSplit()
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # of the ids that end a piece
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def whole(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+    def whole(self, text: str, special: bool) -> list[int]:
+        self.tokenizer.encode_special_tokens = not special
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.lists(words)
-        return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
-
-    def lists(self, words: list[str]) -> list[list[int]]:
-        out, tokenize, marks = [], self.model.tokenize, self.marks
-        for word in words:
-            if not word:
-                out.append([])
-                continue
+        """The ids of the words, in a row, and each word's count of ids. Capitals A-Z must be gone."""
+        pieces, number, odd = [], np.ones(len(words), np.int64), []  # pieces of each word
+        for i, word in enumerate(words):
             plain = word.isascii()
-            if plain and word.isalpha() and word.islower():
-                out.append([t.id for t in tokenize(word)])
+            if plain and word.isalpha():
+                pieces.append(word)
                 continue
-            if plain or max(word) <= "\xff":
+            if word and (plain or max(word) <= "\xff"):
                 word = word.lower()
                 last = "" if word.isalpha() else word[-1]
                 head = word[:-1] if last else word
                 if not last or last in ".,;:!?|" and head.isalpha():
-                    ids = [t.id for t in tokenize(head if plain else head.encode().decode("latin-1").translate(_BYTES))]
+                    pieces.append(head if plain else head.encode().decode("latin-1").translate(_BYTES))
                     if last:
-                        if last not in marks:
-                            marks[last] = self.whole(last)
-                        ids += marks[last]
-                    out.append(ids)
+                        pieces.append(last)
+                        number[i] = 2
                     continue
-            out.append(self.whole(word))
-        return out
+            number[i] = 0
+            odd.append(i)
+        ids = np.array(self.pieces.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.int32)
+        each = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(each) != len(pieces):  # a byte that the file doesn't know
+            lists = [[t.id for t in self.pieces.model.tokenize(x)] for x in pieces]
+            ids, each = np.array([k for x in lists for k in x], np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+        lens = np.diff(np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(number)])])
+        if not odd:
+            return ids, lens
+        self.tokenizer.encode_special_tokens = True  # what looks like a special token wasn't one before its capitals went
+        others = [x.ids for x in self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)]
+        lens[odd] = list(map(len, others))
+        out, apart = np.empty(int(lens.sum()), np.int32), np.zeros(len(words), bool)
+        apart[odd] = True
+        apart = np.repeat(apart, lens)
+        out[~apart], out[apart] = ids, [k for x in others for k in x]
+        return out, lens
+
+
+@functools.lru_cache(maxsize=2)
+def _loaded(tokenizer_file: str) -> tuple[Encoder, bool, list[tuple[str, bool]]]:
+    """Of a tokenizer file, once in each worker: its encoder, whether it's of the kind BY_WORDS, and its added tokens, and which are special."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        spec = json.load(f)
+    own = {"normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"], "model": {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}}
+    by_words = own == BY_WORDS and not any(spec.get(k) for k in ("truncation", "padding"))
+    return Encoder(Tokenizer.from_file(tokenizer_file)), by_words, [(t["content"], t["special"]) for t in spec["added_tokens"]]
 
 
 class TextIds:
@@ -90,14 +114,9 @@ class TextIds:
     """
 
     def __init__(self, tokenizer_file: str, special: bool = True):
-        with open(tokenizer_file, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
-        own = {"normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"], "model": model}
-        self.by_words = own == BY_WORDS and not any(spec.get(k) for k in ("truncation", "padding"))
-        self.added = [t["content"] for t in spec["added_tokens"]] if special else [t["content"] for t in spec["added_tokens"] if not t["special"]]
-        self.words, self.library = WordIds(Encoder(tokenizer_file)), Tokenizer.from_file(tokenizer_file)
-        self.library.encode_special_tokens = not special
+        self.encoder, self.by_words, marks = _loaded(tokenizer_file)
+        self.added, self.special = [m for m, is_special in marks if special or not is_special], special
+        self.words = WordIds(self.encoder)
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, in a row, and each text's count of ids. Null texts have none."""
@@ -110,7 +129,7 @@ class TextIds:
         flat, lens = self.words.of_texts(pc.if_else(pa.array(odd), "", texts), lower=True)
         parts = np.split(flat, np.cumsum(lens)[:-1])
         for i in np.flatnonzero(odd):
-            parts[i] = np.array(self.library.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.int32)
+            parts[i] = np.array(self.encoder.whole(texts[int(i)].as_py(), self.special), np.int32)
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
@@ -145,11 +164,16 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def curve_keys(flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Each text's place on the curve: token counts hashed to BUCKETS, unit length, projected to DIMS, cut to a grid."""
-    rows = np.repeat(np.arange(len(lens)), lens)
-    counts = np.bincount(rows * BUCKETS + (flat.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(22)).astype(np.int64), minlength=len(lens) * BUCKETS).reshape(len(lens), BUCKETS).astype(np.float64)
-    counts /= np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1.0)
-    placed = np.clip((counts @ _projection()) / 8 + 0.5, 0, 1) * ((1 << BITS) - 1)
-    return hilbert_key(placed.astype(np.int64))
+    buckets = (flat.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(22)).astype(np.int64)
+    ends, out = np.concatenate([[0], np.cumsum(lens)]), []
+    for k in range(0, len(lens), 256):  # a few rows of BUCKETS counts at a time
+        own = lens[k : k + 256]
+        rows = np.repeat(np.arange(len(own)), own)
+        counts = np.bincount(rows * BUCKETS + buckets[ends[k] : ends[k] + len(rows)], minlength=len(own) * BUCKETS).reshape(len(own), BUCKETS).astype(np.float64)
+        counts /= np.maximum(np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None], 1.0)
+        placed = np.clip((counts @ _projection()) / 8 + 0.5, 0, 1) * ((1 << BITS) - 1)
+        out.append(placed.astype(np.int64))
+    return hilbert_key(np.concatenate(out) if out else np.zeros((0, DIMS), np.int64))
 
 
 def tokenize(df: DataFrame, tokenizer_file: str, end_id: int, id: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
@@ -230,4 +254,4 @@ def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, length:
     """tokenize(), written to the scratch folder, then pack(); tasks by the measured number of tokens."""
     tokens = materialize(tokenize(df, tokenizer_file, end_id, id, text, special), "tokens")
     total = tokens.agg(F.sum("n_tokens")).first()[0]
-    return pack(tokens, length, id, tasks_for(2 * int(total or 0)))
+    return pack(tokens, length, id, tasks_for(2 * int(total or 0), 8 << 20))
