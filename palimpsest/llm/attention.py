@@ -1,6 +1,7 @@
 """A causal self-attention model of subword ids in numpy: fitting, and batched scoring of overlapping windows.
 
-An id is predicted in two steps: its class by attention over the window before it, then the id within its class by counts
+One head: queries are projected, keys and values are the inputs themselves, since matrices of theirs would only multiply those of the queries and of the
+output. An id is predicted in two steps: its class by attention over the window before it, then the id within its class by counts
 of the id before. Counts come from the whole training corpus; attention corrects what they say about classes.
 """
 
@@ -20,6 +21,10 @@ LENGTH, STRIDE = 32, 24
 CLASSES, FIRST_CLASSES, WIDTH = 64, 26, 16
 #: The first classes are of ids that begin a word. Counts that the level above is worth. Share of the word counts in a word's probability.
 PRIOR, BY_COUNTS = 4.0, 0.2
+#: Scores of attention and of classes lie between this and its negative, so that their exponentials stay within single precision.
+MOST = 40.0
+#: Adam's rate.
+RATE = 2e-2
 
 
 def windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,6 +36,11 @@ def windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.cumsum(lens) - lens, number) + start, size, np.where(turn > 0, LENGTH - STRIDE, 0)
 
 
+def _largest(x: np.ndarray) -> float:
+    """The largest length of a vector."""
+    return math.sqrt(float(np.einsum("...i,...i->...", x, x).max()))
+
+
 @dataclass
 class Model:
     """All that scoring needs; arrays in single precision."""
@@ -46,40 +56,46 @@ class Model:
 
     def __post_init__(self):
         w = self.weights
-        qkv = np.concatenate([w["q"] / math.sqrt(WIDTH), w["k"], w["v"]], 1)
-        self.by_id, self.by_place = (w["ids"] @ qkv).astype(np.float32), (w["places"] @ qkv).astype(np.float32)
-        # no softmax needs its largest score taken off if none can be large
+        both = np.concatenate([w["q"] / math.sqrt(WIDTH), np.eye(WIDTH), np.zeros((WIDTH, 1))], 1)
+        self.by_id, self.by_place = (w["ids"] @ both).astype(np.float32), (w["places"] @ both).astype(np.float32)
+        self.by_id[:, -1] = 1  # so that products with the values give sums too
+        # no score needs a bound if none can be large
         reach = [np.linalg.norm(self.by_id[:, k : k + WIDTH], axis=1).max() + np.linalg.norm(self.by_place[:, k : k + WIDTH], axis=1).max() for k in (0, WIDTH)]
-        self.small = reach[0] * reach[1] < 60
+        self.small = reach[0] * reach[1] < MOST
+        values = math.sqrt(1 + reach[1] ** 2)
+        self.tame = values * _largest(np.concatenate([w["out"], w["bias"][None]]).T) < MOST
         self.sums = np.stack([np.ones(CLASSES), np.arange(CLASSES) < FIRST_CLASSES], 1).astype(np.float32)
         self.mask = np.where(np.tri(LENGTH, dtype=bool), 0, -np.inf).astype(np.float32)
-        self.start = (self.prior + w["bias"]).astype(np.float32)
-        self.out = w["out"].astype(np.float32)
-
-    def score(self, ids: np.ndarray, following: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """For each of `following` after the ids of its window up to there, both [windows, LENGTH]: log P, for ids that begin a word given
-        that one begins; and for those log P that one begins, else 0."""
-        found, edge = np.empty(ids.shape, np.float32), np.empty(ids.shape, np.float32)
+        self.start = self.prior.astype(np.float32)
+        self.out = np.concatenate([w["out"], w["bias"][None]]).astype(np.float32)
+
+    def score(self, ids: np.ndarray, following: np.ndarray, skip: int = 0, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """For each of `following` after the ids of its window up to there, both [windows, LENGTH], but the first `skip` of a window: log P, for ids that
+        begin a word given that one begins; and for those log P that one begins, else 0."""
+        following = following[:, skip:]
+        found, edge = np.empty(following.shape, np.float32), np.empty(following.shape, np.float32)
         for k in range(0, len(ids), at_once):
             here, then = ids[k : k + at_once], following[k : k + at_once]
             x = self.by_id[here]
             x += self.by_place
-            seen = x[..., :WIDTH] @ x[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
-            seen += self.mask
+            seen = x[:, skip:, :WIDTH] @ x[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
             if not self.small:
-                seen -= seen.max(2, keepdims=True)
+                np.clip(seen, -MOST, MOST, out=seen)
+            seen += self.mask[skip:]
             np.exp(seen, out=seen)
-            held = seen @ x[..., 2 * WIDTH :]
-            held /= seen.sum(2, keepdims=True)
-            logits = (held.reshape(-1, WIDTH) @ self.out).reshape(*here.shape, CLASSES)
+            held = seen @ x[..., WIDTH:]
+            held /= held[..., WIDTH:].copy()
+            logits = held.reshape(-1, WIDTH + 1) @ self.out
+            here, then = here[:, skip:].reshape(-1), then.reshape(-1)
             logits += self.start[here]
-            right = np.take_along_axis(logits, self.classes[then][..., None], 2)[..., 0]
+            if not self.tame:
+                np.clip(logits, -MOST, MOST, out=logits)
+            right = logits[np.arange(len(then)), self.classes[then]]
             np.exp(logits, out=logits)
-            both = np.log(logits.reshape(-1, CLASSES) @ self.sums).reshape(*here.shape, 2)
-            every, first = both[..., 0], both[..., 1]
+            every, first = np.log(logits @ self.sums).T
             begins = self.begins[then]
-            found[k : k + at_once] = right - np.where(begins, first, every) + self.member[here, then]
-            edge[k : k + at_once] = np.where(begins, first - every, 0)
+            found[k : k + at_once] = (right - np.where(begins, first, every) + self.member[here, then]).reshape(-1, LENGTH - skip)
+            edge[k : k + at_once] = np.where(begins, first - every, 0).reshape(-1, LENGTH - skip)
         return found, edge
 
     def score_words(self, raw: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -90,13 +106,15 @@ class Model:
         inputs, following = np.insert(ids, stops - lens, END), np.insert(ids, stops, END)
         own, edge = np.empty(len(inputs), np.float32), np.empty(len(inputs), np.float32)
         first, size, context = windows(lens + 1)
-        steps = np.arange(LENGTH)
-        for k in range(0, len(first), 4096):
-            place = first[k : k + 4096, None] + steps
-            inside = (steps >= context[k : k + 4096, None]) & (steps < size[k : k + 4096, None])
-            np.minimum(place, len(inputs) - 1, out=place)
-            a, b = self.score(inputs[place], following[place])
-            own[place[inside]], edge[place[inside]] = a[inside], b[inside]
+        for skip in (0, LENGTH - STRIDE):  # a text's first window, and the later ones
+            mine, steps = np.flatnonzero(context == skip), np.arange(skip, LENGTH)
+            for k in range(0, len(mine), 4096):
+                now = mine[k : k + 4096]
+                place = np.minimum(first[now, None] + np.arange(LENGTH), len(inputs) - 1)
+                a, b = self.score(inputs[place], following[place], skip)
+                inside = steps < size[now, None]
+                place = place[:, skip:][inside]
+                own[place], edge[place] = a[inside], b[inside]
         own += np.insert(self.rare[raw], stops, 0).astype(np.float32)
         ends = stops + np.arange(len(lens))  # places of the texts' ends among all
         starts = np.flatnonzero(self.begins[following])  # of words and ends, in a row
@@ -132,63 +150,67 @@ def counted(pairs: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return classes, np.log(prior / prior.sum(1, keepdims=True)), np.log(member)
 
 
-def fit(
-    samples: np.ndarray, classes: np.ndarray, prior: np.ndarray, passes: int = 5, batch: int = 128, rate: float = 6e-3, start: dict[str, np.ndarray] | None = None, seed: int = 11
-) -> dict[str, np.ndarray]:
-    """Weights of the attention part, by Adam on windows of LENGTH + 1 ids, from `start` on if given. Without windows: `start`, or weights that
-    leave the counts as they are."""
+def begun(seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights that leave the counts as they are, from which fitting starts."""
     draw = np.random.default_rng(seed)
     small = lambda *shape: (draw.standard_normal(shape) * 0.3).astype(np.float32)
-    if start:
-        w = {k: v.copy() for k, v in start.items()}
-    else:
-        w = {"ids": small(DENSE, WIDTH), "places": small(LENGTH, WIDTH), "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH), "v": small(WIDTH, WIDTH)}
-        w |= {"out": np.zeros((WIDTH, CLASSES), np.float32), "bias": np.zeros(CLASSES, np.float32)}
+    w = {"ids": small(DENSE, WIDTH), "places": small(LENGTH, WIDTH), "q": small(WIDTH, WIDTH)}
+    return w | {"out": np.zeros((WIDTH, CLASSES), np.float32), "bias": np.zeros(CLASSES, np.float32)}
+
+
+def fit(samples: np.ndarray, classes: np.ndarray, prior: np.ndarray, start: dict[str, np.ndarray], passes: int = 1, batch: int = 128, rate: float = RATE, seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights of the attention part, from `start` on, by Adam on windows of LENGTH + 1 ids. Without windows: `start`."""
+    draw = np.random.default_rng(seed)
+    w = {k: v.copy() for k, v in start.items()}
+    w["out"] = np.concatenate([w["out"], w.pop("bias")[None]])  # the bias weighs a column of ones
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    prior, mask, turns = prior.astype(np.float32), np.where(np.tri(LENGTH, dtype=bool), 0, -np.inf).astype(np.float32), 0
-    total = passes * -(-len(samples) // batch)
-    scale = np.float32(1 / math.sqrt(WIDTH))
+    prior, mask = prior.astype(np.float32), np.where(np.tri(LENGTH, dtype=bool), 0, -np.inf).astype(np.float32)
+    total, turns, scale, ones = passes * -(-len(samples) // batch), 0, np.float32(1 / math.sqrt(WIDTH)), np.ones(CLASSES, np.float32)
     for _ in range(passes):
         order = draw.permutation(len(samples))
         for k in range(0, len(order), batch):
-            now = samples[order[k : k + batch]].astype(np.int64)
-            ids, goal = now[:, :-1], classes[now[:, 1:]].reshape(-1)
-            x = w["ids"][ids]
+            now = samples[order[k : k + batch]]
+            ids, line = now[:, :-1], now[:, :-1].reshape(-1)
+            n, goal = len(line), classes[now[:, 1:].reshape(-1)]
+            x = np.take(w["ids"], ids, axis=0)
             x += w["places"]
-            flat = x.reshape(-1, WIDTH)
-            q, key, v = ((flat @ w[name]).reshape(x.shape) for name in "qkv")
-            q *= scale
-            seen = q @ key.transpose(0, 2, 1)
+            flat, query = x.reshape(-1, WIDTH), w["q"] * scale
+            q = (flat @ query).reshape(x.shape)
+            values = np.concatenate([x, np.ones((*x.shape[:2], 1), np.float32)], 2)  # so that products give the sums too
+            seen = q @ x.transpose(0, 2, 1)
+            if _largest(q) * _largest(x) > MOST:
+                np.clip(seen, -MOST, MOST, out=seen)
             seen += mask
-            seen -= seen.max(2, keepdims=True)
             np.exp(seen, out=seen)
-            seen /= seen.sum(2, keepdims=True)
-            held = (seen @ v).reshape(-1, WIDTH)
-            d = held @ w["out"]
-            d += (prior + w["bias"])[ids.reshape(-1)]
-            d -= d.max(1, keepdims=True)
+            held = seen @ values
+            over = 1 / held[..., WIDTH:]
+            held *= over  # the last column becomes ones
+            flat_held = held.reshape(-1, WIDTH + 1)
+            d = flat_held @ w["out"]
+            d += np.take(prior, line, axis=0)
+            if _largest(flat_held) * _largest(w["out"].T) > MOST:
+                np.clip(d, -MOST, MOST, out=d)
             np.exp(d, out=d)
-            d /= d.sum(1, keepdims=True)
-            d[np.arange(len(d)), goal] -= 1
-            d /= len(d)
-            grad = {"bias": d.sum(0), "out": held.T @ d}
-            d_held = (d @ w["out"].T).reshape(x.shape)
-            d_v = seen.transpose(0, 2, 1) @ d_held
-            d_seen = d_held @ v.transpose(0, 2, 1)
-            d_seen -= (d_held * held.reshape(x.shape)).sum(2, keepdims=True)
+            mass = d @ ones
+            d[np.arange(n), goal] -= mass
+            part = (1 / (mass * n))[:, None]
+            grad = {"out": (flat_held * part).T @ d}
+            d_held = d @ w["out"][:WIDTH].T
+            d_held *= part
+            d_held = d_held.reshape(x.shape)
+            d_held *= over
+            d_x = seen.transpose(0, 2, 1) @ d_held
+            less = -np.einsum("bli,bli->bl", d_held, held[..., :WIDTH])[..., None]
+            d_seen = np.concatenate([d_held, less], 2) @ values.transpose(0, 2, 1)
             d_seen *= seen
-            d_key = d_seen.transpose(0, 2, 1) @ q
-            d_q = d_seen @ key
-            d_q *= scale
-            d_x = np.zeros_like(flat)
-            for name, g in (("q", d_q), ("k", d_key), ("v", d_v)):
-                g = g.reshape(-1, WIDTH)
-                grad[name] = flat.T @ g
-                d_x += g @ w[name].T
+            d_q = (d_seen @ x).reshape(-1, WIDTH)
+            d_x += d_seen.transpose(0, 2, 1) @ q
+            d_x = d_x.reshape(-1, WIDTH)
+            d_x += d_q @ query.T
+            grad["q"] = (flat.T @ d_q) * scale
             grad["places"] = d_x.reshape(x.shape).sum(0)
-            line = ids.reshape(-1)
             by = np.argsort(line, kind="stable")
-            first = np.flatnonzero(np.diff(line[by], prepend=-1))
+            first = np.flatnonzero(np.diff(line[by].astype(np.int32), prepend=-1))
             grad["ids"] = np.zeros_like(w["ids"])
             grad["ids"][line[by[first]]] = np.add.reduceat(d_x[by], first)
             turns += 1
@@ -197,12 +219,13 @@ def fit(
                 mean[name] += 0.1 * (g - mean[name])
                 square[name] += 0.01 * (g * g - square[name])
                 w[name] -= step * mean[name] / (1 - 0.9**turns) / (np.sqrt(square[name] / (1 - 0.99**turns)) + 1e-8)
+    w["out"], w["bias"] = w["out"][:WIDTH].copy(), w["out"][WIDTH].copy()
     return w
 
 
 def training_windows(line: np.ndarray) -> np.ndarray:
     """Windows of LENGTH + 1 ids of a row of ids: each id but the first is once one that's predicted, some of the last window's twice.
     A shorter row is one window, with ends before it."""
-    line = np.concatenate([np.full(max(0, LENGTH + 1 - len(line)), END), line])
+    line = np.concatenate([np.full(max(0, LENGTH + 1 - len(line)), END, line.dtype), line])
     start = np.append(np.arange(0, len(line) - LENGTH - 1, LENGTH), len(line) - LENGTH - 1)
     return line[start[:, None] + np.arange(LENGTH + 1)]

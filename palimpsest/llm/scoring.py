@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .attention import BY_COUNTS, DENSE, END, LENGTH, RARE, RARE_FIRST, STRIDE
-from .common import materialize, text_slices
+from .attention import BY_COUNTS, DENSE, END, RARE, RARE_FIRST
+from .common import materialize, scratched, text_slices
 from .words import WordIds, distinct_words
 
-#: Bytes of text in a block; windows, drawn by hash, that the attention weights are begun on in the driver; all training windows follow in the
-#: executors, at this rate.
-BLOCK_BYTES, FIT_WINDOWS, REFINE_RATE = 8 << 20, 48_000, 2e-3
+#: Bytes of text in a block; one block in so many is fitted first, for the weights from which all blocks start; part of the rate then.
+BLOCK_BYTES, BEGIN_ONE_IN, THEN = 8 << 20, 256, 1 / 3
 #: Parts of one in sums of weights: whole numbers add up to the same in any order.
 PARTS = 1 << 24
 RAW_IDS = 1 << 16
@@ -39,17 +41,53 @@ def _ranks(rank_file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: White space but a blank: words may hold some, since they're parted by six ASCII characters alone.
+ODD_SPACE = re.compile(r"[^\S ]")
+
+
+class Subwords:
+    """Subword ids of words, each with a blank before it. Words without white space are encoded together: no match of a pattern of the GPT-2 kind reaches
+    across a blank between other characters, so the ids of each are those that it has alone."""
+
+    def __init__(self, rank_file: str, pattern: str):
+        ranks = _ranks(rank_file)
+        self.encode = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes[list(ranks.values())] = list(map(len, ranks))
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = " " + " ".join(words)
+        if not ODD_SPACE.search(text):
+            ids = np.array(self.encode(text), np.int32)
+            ends = np.cumsum(self.bytes[ids])
+            stops = np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            last = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
+            if (ends[last] == stops).all():
+                return ids, np.diff(last + 1, prepend=0)
+        elif len(words) > 1:
+            odd = [i for i, w in enumerate(words) if ODD_SPACE.search(w)]
+            lists: list = [None] * len(words)
+            plain = sorted({*range(len(words))} - {*odd})
+            if plain:
+                ids, lens = self([words[i] for i in plain])
+                for i, x in zip(plain, np.split(ids, np.cumsum(lens)[:-1]), strict=True):
+                    lists[i] = x
+            for i in odd:
+                lists[i] = self.encode(" " + words[i])
+            return np.concatenate(lists).astype(np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+        each = [self.encode(" " + w) for w in words]
+        return np.array([i for x in each for i in x], np.int32), np.fromiter(map(len, each), np.int64, len(each))
+
+
 def _subwords(rank_file: str, pattern: str) -> WordIds:
-    ranks = _ranks(rank_file)
-    encode = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return WordIds(lambda words: [encode(" " + w) for w in words])
+    return WordIds(Subwords(rank_file, pattern))
 
 
-BLOCK_SCHEMA = "block long, held array<boolean>, counts array<int>, numbers binary, words array<string>, n_train array<long>, sub binary, sub_lens binary, raw_ids array<int>, raw_n array<long>, train_tokens long, train_docs long"
+BLOCK_SCHEMA = "block long, held array<boolean>, counts array<int>, numbers binary, words binary, n_train binary, sub binary, sub_lens binary, raw_ids array<int>, raw_n array<long>, train_tokens long, train_docs long"
 
 
 def blocks(rows: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Texts by the block of about BLOCK_BYTES: a dictionary of the block's words with their subword ids and training counts, and each
+    """Texts by the block of about BLOCK_BYTES: a dictionary of the block's words (their 64-bit hashes) with their subword ids and training counts, and each
     text as numbers of words. Subwords of a text: those of each word with a blank before it."""
     kind = rows.schema["id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
@@ -67,6 +105,7 @@ def blocks(rows: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             words, numbers = [words[i] for i in order.tolist()], rank[numbers]
             held = batch.column("held").to_numpy(zero_copy_only=False)
             train = np.bincount(numbers[~np.repeat(held, counts)], minlength=len(words))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8", len(words))
             flat, lens = known.ids(known.numbers(words))
             raw = np.bincount(flat, np.repeat(train, lens), RAW_IDS).astype(np.int64)
             there = np.flatnonzero(raw)
@@ -74,8 +113,8 @@ def blocks(rows: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             longs, n_docs = pa.list_(pa.int64()), int((~held).sum())
             yield pa.RecordBatch.from_arrays(
                 [
-                    one(serial, pa.int64()), one(held, pa.list_(pa.bool_())), one(counts.astype(np.int32), pa.list_(pa.int32())), one(_pack(numbers), pa.binary()), one(words, pa.list_(pa.string())),
-                    one(train, longs), one(_pack(flat.astype(np.uint16)), pa.binary()), one(_pack(lens.astype(np.uint32)), pa.binary()), one(there.astype(np.int32), pa.list_(pa.int32())), one(raw[there], longs),
+                    one(serial, pa.int64()), one(held, pa.list_(pa.bool_())), one(counts.astype(np.int32), pa.list_(pa.int32())), one(_pack(numbers), pa.binary()), one(hashes.tobytes(), pa.binary()),
+                    one(_pack(train.astype("<i8")), pa.binary()), one(_pack(flat.astype(np.uint16)), pa.binary()), one(_pack(lens.astype(np.uint32)), pa.binary()), one(there.astype(np.int32), pa.list_(pa.int32())), one(raw[there], longs),
                     one(int(train.sum()) + n_docs, pa.int64()), one(n_docs, pa.int64()), one(batch.column("id").to_pylist(), id_type),
                 ],
                 [*(x.split()[0] for x in BLOCK_SCHEMA.split(", ")), "ids"],
@@ -89,9 +128,12 @@ def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: word numbers in a row, words of each text, raw subword ids in a row, raw ids of each text."""
     numbers, counts = _unpack(row["numbers"], "<i4"), np.array(row["counts"], np.int64)
     flat, lens = _unpack(row["sub"], "<u2"), _unpack(row["sub_lens"], "<u4").astype(np.int64)
-    starts, own = np.cumsum(lens) - lens, lens[numbers]
+    starts, own = (np.cumsum(lens) - lens).astype(np.int32), lens[numbers]
     ends = np.cumsum(own)
-    raw = flat[np.repeat(starts[numbers] - ends + own, own) + np.arange(int(own.sum()))].astype(np.int64)
+    if int(own.sum()) < 1 << 31 and len(flat) < 1 << 31:  # the usual block: half the memory
+        raw = flat[np.repeat(starts[numbers] - (ends - own).astype(np.int32), own) + np.arange(int(own.sum()), dtype=np.int32)].astype(np.int64)
+    else:
+        raw = flat[np.repeat(starts[numbers].astype(np.int64) - ends + own, own) + np.arange(int(own.sum()))].astype(np.int64)
     return numbers, counts, raw, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
@@ -117,9 +159,9 @@ def _training_line(row: dict, dense: np.ndarray) -> np.ndarray:
     return np.concatenate([[END], np.insert(dense[ids[np.repeat(train, lens)]], np.cumsum(lens[train]), END)])
 
 
-def refine(table: DataFrame, dense: np.ndarray, classes: np.ndarray, prior: np.ndarray, weights: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], int]:
-    """The weights after a pass over all training texts, and how many windows they are: each block goes on from the same weights with all of its windows, and what the blocks
-    come to is averaged by their windows. One number a weight reaches the driver."""
+def averaged(table: DataFrame, dense: np.ndarray, classes: np.ndarray, prior: np.ndarray, weights: dict[str, np.ndarray], rate: float) -> tuple[dict[str, np.ndarray], int]:
+    """The weights after a pass over the blocks' training texts, and how many windows these are: each block goes on from the same weights with all of its
+    windows, and what the blocks come to is averaged by their windows. One number a weight reaches the driver."""
     given = table.sparkSession.sparkContext.broadcast((dense, classes, prior, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +173,13 @@ def refine(table: DataFrame, dense: np.ndarray, classes: np.ndarray, prior: np.n
                 if len(line) < 2:
                     continue
                 found = attention.training_windows(line.astype(np.uint16))
-                new = attention.fit(found, classes, prior, passes=1, rate=REFINE_RATE, start=start, seed=row["block"])
+                new = attention.fit(found, classes, prior, start, rate=rate, seed=row["block"])
                 moved = np.concatenate([(new[k].astype(np.float64) - start[k]).reshape(-1) for k in start])
                 total[0] += len(found)
                 total[1:] += np.rint(moved * PARTS).astype(np.int64) * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "n"])
 
-    cells = table.select("block", "held", "counts", "numbers", "sub", "sub_lens").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
+    cells = table.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
     sums = cells["n"].to_numpy(np.float64)
     if not len(sums) or not sums[0]:
         return weights, 0
@@ -145,9 +187,9 @@ def refine(table: DataFrame, dense: np.ndarray, classes: np.ndarray, prior: np.n
     return {k: (x + m.reshape(x.shape)).astype(np.float32) for (k, x), m in zip(weights.items(), moved, strict=True)}, int(sums[0])
 
 
-def learn(table: DataFrame, rank_file: str, fit_windows: int = FIT_WINDOWS) -> attention.Model:
+def learn(table: DataFrame, rank_file: str) -> attention.Model:
     """The model of a table of blocks: counts of ids and of pairs of frequent ids over all training texts (at most DENSE squared reach
-    the driver), attention weights begun on about `fit_windows` windows, drawn by hash, and then fitted on all training texts."""
+    the driver), attention weights fitted on all training texts, from weights that some blocks, drawn by hash, were fitted on before."""
     spark = table.sparkSession
     raw = table.select(F.explode(F.arrays_zip("raw_ids", "raw_n")).alias("x")).groupBy("x.raw_ids").agg(F.sum("x.raw_n").alias("n")).toPandas()
     often = np.zeros(RAW_IDS, np.int64)
@@ -155,7 +197,6 @@ def learn(table: DataFrame, rank_file: str, fit_windows: int = FIT_WINDOWS) -> a
     first = np.zeros(RAW_IDS, bool)
     first[[rank for token, rank in _ranks(rank_file).items() if token.startswith(b" ")]] = True
     dense, rare, begins = dense_ids(often, first)
-    share = min(1.0, fit_windows * STRIDE / max(1, int(often.sum())))
     given = spark.sparkContext.broadcast(dense)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,30 +205,43 @@ def learn(table: DataFrame, rank_file: str, fit_windows: int = FIT_WINDOWS) -> a
             for row in batch.to_pylist():
                 line = _training_line(row, given.value)
                 total += np.bincount(line[:-1] * DENSE + line[1:], minlength=len(total))
-                start = np.arange(0, max(0, len(line) - LENGTH), STRIDE)
-                start = start[np.random.default_rng(row["block"]).random(len(start)) < share]
-                found = line[start[:, None] + np.arange(LENGTH + 1)].astype("<u2")
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["cell", "n", "sample"])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.nulls(len(at), pa.binary())], ["cell", "n", "sample"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    found = materialize(table.select("block", "held", "counts", "numbers", "sub", "sub_lens").mapInArrow(count, "cell long, n long, sample binary"), "pairs")
-    cells = found.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    texts = table.select("block", "held", "counts", "numbers", "sub", "sub_lens")
+    cells = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros((DENSE, DENSE))
     pairs.reshape(-1)[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
-    samples = [bytes(r.sample) for r in found.where("sample is not null").select("sample").collect()]
-    samples = np.array([np.frombuffer(x, "<u2") for x in sorted(samples)], np.int64).reshape(-1, LENGTH + 1)
     classes, prior, member = attention.counted(pairs, begins)
-    weights, number = refine(table, dense, classes, prior, attention.fit(samples, classes, prior))
+    drawn = F.pmod(F.xxhash64("block"), F.lit(1 << 20))
+    first = table.agg(F.min(drawn)).first()[0]
+    weights, _ = averaged(texts.where((drawn < (1 << 20) // BEGIN_ONE_IN) | (drawn == F.lit(first))), dense, classes, prior, attention.begun(), attention.RATE)
+    weights, number = averaged(texts, dense, classes, prior, weights, attention.RATE * THEN)
     return attention.Model(dense, rare, begins, classes, prior.astype(np.float32), member.astype(np.float32), weights, number)
 
 
-def word_counts(table: DataFrame) -> DataFrame:
-    """(block, place, c, first): for each word of a block's dictionary its count in all training texts; first: in one block only."""
-    rows = table.select("block", F.posexplode(F.arrays_zip("words", "n_train")).alias("place", "x")).select("block", "place", F.col("x.words").alias("word"), F.col("x.n_train").alias("n"))
-    by = Window.partitionBy("word").orderBy("block")
-    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select("block", "place", F.sum("n").over(every).alias("c"), (F.row_number().over(by) == 1).alias("first"))
+def _words(table: DataFrame) -> DataFrame:
+    """(block, place, word, n): the words of the blocks' dictionaries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, n = np.frombuffer(row["words"], "<i8"), _unpack(row["n_train"], "<i8")
+                for k in range(0, len(words), 1 << 16):
+                    part = words[k : k + (1 << 16)]
+                    columns = (np.full(len(part), row["block"]), np.arange(k, k + len(part), dtype=np.int32), part, n[k : k + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "place", "word", "n"])
+
+    return table.select("block", "words", "n_train").mapInArrow(run, "block long, place int, word long, n long")
+
+
+def word_counts(table: DataFrame) -> tuple[DataFrame, int]:
+    """(block, place, c): for each word of a block's dictionary its count in all training texts; and how many words have one. Counts are
+    added up before the shuffle as well as after it; the join back is one that adaptive execution can split at a word that all blocks have.
+    Words are told apart by 64-bit hashes: among a thousand million words two share a hash with probability 0.03."""
+    sums = materialize(_words(table).groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "sums")
+    found = _words(table).select("block", "place", "word").join(sums, "word", "left")
+    return found.select("block", "place", F.coalesce("c", F.lit(0)).alias("c")), sums.count()
 
 
 def mix(by_model: np.ndarray, by_counts: np.ndarray) -> np.ndarray:
@@ -196,7 +250,8 @@ def mix(by_model: np.ndarray, by_counts: np.ndarray) -> np.ndarray:
         return np.logaddexp(np.log(1 - BY_COUNTS) + by_model, np.log(BY_COUNTS) + np.log(by_counts))
 
 
-def score(df: DataFrame, rank_file: str, pattern: str, held: Column, id: str = "doc_id", text: str = "text", fit_windows: int = FIT_WINDOWS) -> DataFrame:
+@scratched
+def score(df: DataFrame, rank_file: str, pattern: str, held: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: id, held_out boolean, n_tokens, n_known, train_tokens (long), base_score, score (double, log10).
 
     Learns from the rows where `held` isn't true. A-Z are lower-cased; tokens are the words between the six white-space characters and one
@@ -209,11 +264,12 @@ def score(df: DataFrame, rank_file: str, pattern: str, held: Column, id: str = "
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     kind = rows.schema["id"].dataType.simpleString()
     table = materialize(blocks(rows, rank_file, pattern), "blocks")
-    counts = materialize(word_counts(table), "counts")
+    counts, distinct = word_counts(table)
+    counts = materialize(counts, "counts")
     sums = table.agg(F.sum("train_tokens"), F.sum("train_docs")).first()
     total, n_docs = (int(x or 0) for x in sums)
-    distinct = counts.where("first and c > 0").count() + (n_docs > 0)
-    shared = df.sparkSession.sparkContext.broadcast(learn(table, rank_file, fit_windows))
+    distinct += n_docs > 0
+    shared = df.sparkSession.sparkContext.broadcast(learn(table, rank_file))
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(rows.schema["id"].dataType)

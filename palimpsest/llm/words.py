@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words that a worker keeps.
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 
 
 def distinct_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -47,9 +48,12 @@ class WordIds(dict):
         """The numbers of words, each given once; new ones are tokenized."""
         if len(self) > MOST_WORDS:
             self.reset()
-        new, first = [w for w in words if w not in self], len(self)
-        self.update(zip(new, range(first, first + len(new)), strict=True))
-        if new:
+        found, first = np.fromiter(map(self.get, words, itertools.repeat(-1)), np.int64, len(words)), len(self)
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            found[fresh] = np.arange(first, first + len(fresh))
+            new = [words[i] for i in fresh.tolist()]
+            self.update(zip(new, range(first, first + len(new)), strict=True))
             got, lens = self.encode(new)
             total = len(got)
             if len(self) > len(self.starts):
@@ -60,7 +64,7 @@ class WordIds(dict):
             self.lens[first : len(self)] = lens
             self.starts[first : len(self)] = self.used + np.cumsum(lens) - lens
             self.used += total
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return found
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words by number, in a row, and each word's count of ids."""

@@ -11,11 +11,12 @@ from palimpsest.llm import attention, scoring
 from palimpsest.llm.attention import DENSE, END, LENGTH, RARE, RARE_FIRST
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
+
+
 def held():
     return F.expr("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
 
 
-
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
@@ -27,7 +28,7 @@ def toy_model():
     dense, rare, begins = scoring.dense_ids(often, first)
     classes, prior, member = attention.counted(draw.integers(0, 4, (DENSE, DENSE)).astype(float), begins)
     samples = draw.integers(0, DENSE, (300, LENGTH + 1))
-    weights = attention.fit(samples, classes, prior, passes=2)
+    weights = attention.fit(samples, classes, prior, attention.begun(), passes=2)
     return attention.Model(dense, rare, begins, classes, prior.astype(np.float32), member.astype(np.float32), weights), first
 
 
@@ -83,12 +84,44 @@ def test_gradients():
     pairs = np.ones((DENSE, DENSE))
     begins = np.arange(DENSE) % 2 == 0
     classes, prior, member = attention.counted(pairs, begins)
-    weights = attention.fit(samples, classes, prior, passes=100)
+    weights = attention.fit(samples, classes, prior, attention.begun(), passes=100, rate=6e-3)
     model = attention.Model(np.arange(DENSE), np.zeros(DENSE), begins, classes, prior.astype(np.float32), np.zeros((DENSE, DENSE), np.float32), weights)
     own, edge = model.score(samples[:1, :-1], samples[:1, 1:])
     assert np.exp((own + edge).mean()) > 0.8
 
 
+def test_gradients_are_those_of_the_loss():
+    """Each weight's step against differences of the plain model's loss."""
+    draw = np.random.default_rng(6)
+    samples, begins = draw.integers(0, 30, (4, LENGTH + 1)), np.arange(DENSE) % 2 == 0
+    classes, prior, _ = attention.counted(draw.integers(0, 9, (DENSE, DENSE)).astype(float), begins)
+    start = {k: v if k in ("ids", "places") else (draw.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in attention.begun().items()}
+
+    def loss(w):
+        model = attention.Model(np.arange(DENSE), np.zeros(DENSE), begins, classes, prior.astype(np.float32), np.zeros((DENSE, DENSE), np.float32), w)
+        own, edge = model.score(samples[:, :-1], samples[:, 1:])
+        return -float((own + edge).astype(np.float64).mean())
+
+    moved = attention.fit(samples, classes, prior, start, rate=1e-3)  # one step, against the sign of the gradient
+    for name, place in [("out", (3, 5)), ("bias", (7,)), ("q", (2, 4)), ("q", (5, 6)), ("places", (9, 3)), ("ids", (int(samples[0, 3]), 2))]:
+        up, down = ({**start, name: start[name].copy()} for _ in range(2))
+        up[name][place] += 0.05
+        down[name][place] -= 0.05
+        slope = (loss(up) - loss(down)) / 0.1
+        assert abs(slope) < 1e-4 or np.sign(start[name][place] - moved[name][place]) == np.sign(slope), name
+
+
+def test_steep_weights_do_not_overflow():
+    draw = np.random.default_rng(7)
+    samples = draw.integers(0, DENSE, (40, LENGTH + 1))
+    classes, prior, member = attention.counted(np.ones((DENSE, DENSE)), np.arange(DENSE) % 2 == 0)
+    steep = {k: v * 200 if k != "bias" else v + 300 * (np.arange(attention.CLASSES) % 2) for k, v in attention.fit(samples, classes, prior, attention.begun()).items()}
+    steep = {k: v.astype(np.float32) for k, v in steep.items()}
+    assert all(np.isfinite(x).all() for x in attention.fit(samples, classes, prior, steep).values())
+    model = attention.Model(np.arange(DENSE), np.zeros(DENSE), np.arange(DENSE) % 2 == 0, classes, prior.astype(np.float32), member.astype(np.float32), steep)
+    assert not any(np.isnan(x).any() for x in model.score(samples[:, :-1], samples[:, 1:]))
+
+
 @pytest.mark.parametrize("block", [8 << 20, 300])
 def test_scores_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(scoring, "BLOCK_BYTES", block)
@@ -105,7 +138,7 @@ def test_scores_equal_brute_force(spark, monkeypatch, block):
         w = words_of(t)
         base = sum(np.log10((count[x] + 1) / (n + v + 1)) for x in w) + np.log10((len(train) + 1) / (n + v + 1))
         want[(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(w) + 1, sum(x in count for x in w) + 1, n, round(base, 6))] += 1
-    got = scoring.score(df, RANKS, P.PATTERN, held(), fit_windows=50).collect()
+    got = scoring.score(df, RANKS, P.PATTERN, held()).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 for r in got)
     kept_out = [r for r in got if r.held_out]
@@ -131,7 +164,7 @@ def test_all_training_texts_reach_the_weights(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "id long, text string, held boolean").repartition(3, "id")
     table = scoring.blocks(df, RANKS, P.PATTERN)
     lines = [scoring._training_line(r.asDict(), np.zeros(scoring.RAW_IDS, int)) for r in table.collect()]
-    model = scoring.learn(table, RANKS, fit_windows=1)
+    model = scoring.learn(table, RANKS)
     assert len(lines) > 3 and model.fitted == sum(-(-(len(x) - 1) // LENGTH) for x in lines if len(x) > 1) > 100
     assert all(np.isfinite(x).all() for x in model.weights.values())
 
@@ -157,7 +190,7 @@ def test_unlikely_words_keep_their_scores(spark):
     train = [(i, "the of and some words", False) for i in range(40)]
     junk = [(100 + k, "q7x," * 150 * k, True) for k in (1, 2, 4)]
     df = spark.createDataFrame(train + junk, "doc_id long, text string, held boolean")
-    got = {r.doc_id: r.score for r in scoring.score(df, RANKS, P.PATTERN, F.col("held"), fit_windows=50).collect()}
+    got = {r.doc_id: r.score for r in scoring.score(df, RANKS, P.PATTERN, F.col("held")).collect()}
     assert 1.8 < got[102] / got[101] < 2.2 and 1.8 < got[104] / got[102] < 2.2
 
 
