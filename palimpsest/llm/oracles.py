@@ -42,11 +42,12 @@ def quality() -> str:
     values = {r.metric: f"({r.n} + {float(r.smooth)!r}::double) / ({r.of} + t_{r.of})" if r.smooth else f"({r.n} + t_{r.of} * t_{r.metric}) / ({r.of} + t_{r.of})" for r in rules.RULES}
     bucket = lambda x: f"floor(ln({x}) / {rules.STEP}::double)::bigint"
     buckets = lambda of, given: " union all ".join(f"select lang, source, '{m}' metric, {bucket(x)} bucket from {given}" for m, x in of.items())
-    percents = [50, *(q for q, _ in rules.QUANTILES), *(100 - q for q, _ in rules.QUANTILES)]
+    percents = [10, 25, 50, 75, 90]
+    wide = lambda near, far: f"(case when {near} = 0 then ({far}) / {rules.DECILE[1]}::double else greatest(({near}) / {rules.QUARTILE[1]}::double, least(({far}) / {rules.DECILE[1]}::double, {rules.TAIL}::double * (({near}) / {rules.QUARTILE[1]}::double))) end)"
 
     def spreads(name: str, of: str, by: str) -> str:
         quantiles = ", ".join(f"min(bucket) filter (100 * upto >= {q} * total) q{q}" for q in percents)
-        up, down = (f"greatest({', '.join(f'({x}) / {z}::double' for x, z in parts)})" for parts in ([(f"q{q} - q50", z) for q, z in rules.QUANTILES], [(f"q50 - q{100 - q}", z) for q, z in rules.QUANTILES]))
+        up, down = wide("q75 - q50", "q90 - q50"), wide("q50 - q25", "q50 - q10")
         return f"""{name} as (select {by}metric, max(total) total, max(q50) middle, max({up}) up, max({down}) down from (select {by}metric, max(total) total, {quantiles}
             from (select {by}metric, bucket, sum(n) over (partition by {by}metric order by bucket) upto, sum(n) over (partition by {by}metric) total from (select {by}metric, bucket, count(*) n from {of} group by all)) group by {by}metric) group by {by}metric)"""
 

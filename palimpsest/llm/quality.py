@@ -32,8 +32,9 @@ class Rule:
 RULES = (Rule("symbols", "n_symbols", "word_chars", 1), Rule("dup_lines", "n_dup_lines", "__n_lines", 1), Rule("repeats", "n_repeat_words", "n_words", WINDOW), Rule("word_length", "word_chars", "n_words"))
 #: Width of a sketch's buckets on the scale of logarithms: quantiles are exact to 0.2 %.
 STEP = 0.004
-#: Standard deviations that a fence lies beyond the median; quantiles, in percent, that they're estimated from, and where these lie in a normal distribution.
-SPREAD, QUANTILES = 5.0, ((75, 0.6745), (90, 1.2816))
+#: Standard deviations that a fence lies beyond the median; quantiles, in percent, that they're estimated from, and where these lie in a normal distribution:
+#: the quartile's estimate, or the decile's if that's larger, but then at most so many times the quartile's. Up to a quarter of a group may be junk.
+SPREAD, QUARTILE, DECILE, TAIL = 6.0, (75, 0.6745), (90, 1.2816), 1.5
 #: Different rows past the base checks that a (language, source) needs for its own fences; else its language's, else all rows' fences hold.
 GROUP_ROWS = 200
 
@@ -97,11 +98,15 @@ def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
 def spreads(sketches: DataFrame, by: list[str]) -> DataFrame:
     """(group, metric, rows, middle, up, down): the median, and the standard deviation above and below it as the quantiles have it, in buckets.
     A sketch has as many rows as buckets that occur, some thousands at most, whatever the number of rows."""
-    percents = [50, *(q for q, _ in QUANTILES), *(100 - q for q, _ in QUANTILES)]
+    percents = [10, 25, 50, 75, 90]
     gathered = sketches.groupBy(*by, "metric").agg(F.sum("n").alias("rows"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("all"))
     found = gathered.select(*by, "metric", "rows", *(_quantile(F.col("all"), F.col("rows"), p).alias(f"q{p}") for p in percents))
-    up = F.greatest(*((F.col(f"q{q}") - F.col("q50")) / z for q, z in QUANTILES))
-    down = F.greatest(*((F.col("q50") - F.col(f"q{100 - q}")) / z for q, z in QUANTILES))
+
+    def wide(near: Column, far: Column) -> Column:
+        near, far = near / QUARTILE[1], far / DECILE[1]
+        return F.when(near == 0, far).otherwise(F.greatest(near, F.least(far, TAIL * near)))
+
+    up, down = wide(F.col("q75") - F.col("q50"), F.col("q90") - F.col("q50")), wide(F.col("q50") - F.col("q25"), F.col("q50") - F.col("q10"))
     return found.select(*by, "metric", "rows", F.col("q50").alias("middle"), up.alias("up"), down.alias("down"))
 
 
