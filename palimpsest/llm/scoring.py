@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .attention import BY_COUNTS, DENSE, END, RARE, RARE_FIRST
-from .common import materialize, scratched, text_slices
+from .common import give_back, materialize, scratched, text_slices
 from .words import WordIds, distinct_words
 
 #: Bytes of text in a block; one block in so many is fitted first, for the weights from which all blocks start; part of the rate then.
@@ -80,7 +80,7 @@ class Subwords:
 
 
 def _subwords(rank_file: str, pattern: str) -> WordIds:
-    return WordIds(Subwords(rank_file, pattern))
+    return WordIds(Subwords(rank_file, pattern), 300_000)  # encoding is cheap, and a block takes memory of its own
 
 
 BLOCK_SCHEMA = "block long, held array<boolean>, counts array<int>, numbers binary, words binary, n_train binary, sub binary, sub_lens binary, raw_ids array<int>, raw_n array<long>, train_tokens long, train_docs long"
@@ -178,6 +178,7 @@ def averaged(table: DataFrame, dense: np.ndarray, classes: np.ndarray, prior: np
                 total[0] += len(found)
                 total[1:] += np.rint(moved * PARTS).astype(np.int64) * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "n"])
+        give_back()
 
     cells = table.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
     sums = cells["n"].to_numpy(np.float64)
@@ -207,6 +208,7 @@ def learn(table: DataFrame, rank_file: str) -> attention.Model:
                 total += np.bincount(line[:-1] * DENSE + line[1:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+        give_back()
 
     texts = table.select("block", "held", "counts", "numbers", "sub", "sub_lens")
     cells = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
@@ -231,6 +233,7 @@ def _words(table: DataFrame) -> DataFrame:
                     part = words[k : k + (1 << 16)]
                     columns = (np.full(len(part), row["block"]), np.arange(k, k + len(part), dtype=np.int32), part, n[k : k + (1 << 16)])
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "place", "word", "n"])
+        give_back()
 
     return table.select("block", "words", "n_train").mapInArrow(run, "block long, place int, word long, n long")
 

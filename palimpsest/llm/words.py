@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words that a worker keeps.
+#: Distinct words that a task keeps.
 MOST_WORDS = 600_000
 
 
@@ -35,9 +35,9 @@ class WordIds(dict):
     each other, and white space only parts them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST_WORDS):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
         self.reset()
 
     def reset(self) -> None:
@@ -46,7 +46,7 @@ class WordIds(dict):
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The numbers of words, each given once; new ones are tokenized."""
-        if len(self) > MOST_WORDS:
+        if len(self) > self.most:
             self.reset()
         found, first = np.fromiter(map(self.get, words, itertools.repeat(-1)), np.int64, len(words)), len(self)
         fresh = np.flatnonzero(found < 0)
