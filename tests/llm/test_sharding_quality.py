@@ -90,11 +90,11 @@ def test_adaptive_fences(spark, monkeypatch, broadcast):
 
 
 def code(i):
-    return f"w{i} " + " ".join(f"name{(i * 7 + j * j) % 97}{'x' * (i * j % 5)}" + ("$#$#$" if j * (i % 9 + 1) % 4 == 0 else "") for j in range(30 + i % 60))
+    return f"w{i} " + " ".join(f"name{(i * 7 + j * j) % 97}{'x' * ((i + j) % 5)}" + ("$#$#$" if j * (i % 9 + 1) % 4 == 0 else "") for j in range(30 + i % 60))
 
 
 def prose(i):
-    return f"w{i} " + " ".join(f"name{(i * 7 + j * j) % 97}{'x' * (i * j % 5)}" for j in range(30 + i % 60))
+    return f"w{i} " + " ".join(f"name{(i * 7 + j * j) % 97}{'x' * ((i + j) % 5)}" for j in range(30 + i % 60))
 
 
 def test_the_same_text_fares_unlike_in_unlike_sources(spark):
