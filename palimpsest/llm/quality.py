@@ -18,9 +18,9 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A share, (n + smooth) / (of + smooth * typical): `smooth` counts are added, with as much text as a typical document has for that many.
-    Or, without `smooth`, the mean n / of, with a typical document of typical mean added. Kept while it lies within the group's fence: above
-    it for means and shares, which rows without any n can't be, below it for means alone."""
+    """A share, (n + smooth) / (of + typical): a document of typical size with `smooth` occurrences is added. Or, without `smooth`, the mean
+    n / of, with a document of typical size and mean added. A row goes if this lies above its group's fence, unless it has no occurrence at all; and
+    for means also if it lies below."""
 
     metric: str
     n: str
