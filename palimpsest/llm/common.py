@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from functools import wraps
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +147,24 @@ def give_back() -> None:
         trim(0)
 
 
+#: What workers keep from task to task.
+_kept: list = []
+
+
+def kept_by_worker(load: Callable) -> Callable:
+    """load, with its last results kept in each worker until let_go()."""
+    cached = lru_cache(maxsize=2)(load)
+    _kept.append(cached)
+    return cached
+
+
+def let_go() -> None:
+    """Drops what this worker keeps for tasks of other kinds."""
+    for cached in _kept:
+        cached.cache_clear()
+    give_back()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `limit` bytes of `column`; a longer text is alone in its slice."""
     for batch in batches:

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, scratched, text_slices, texts_of
+from .common import join_small, let_go, materialize, scratched, text_slices, texts_of
 
 #: Buckets of byte trigrams, and rows of each declared language (about, by hash) that the text model is fitted on.
 BUCKETS, FIT_ROWS = 1 << 15, 2000
+#: Bytes of text whose trigrams are looked at together; each takes some 50 bytes meanwhile.
+TRIGRAM_BYTES = 512 << 10
 #: A text counts as this many independent trigrams at most; neighbours overlap, so a long text isn't endlessly sure.
 INDEPENDENT, PER_TRIGRAM = 60.0, 0.25
 #: Rows that the level above weighs in a host's and a suffix's prior, and rows that are added to each declared language.
@@ -53,7 +55,8 @@ def fit_text(df: DataFrame, text: str, declared: str, rows: int = FIT_ROWS) -> t
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "t"):
+        let_go()
+        for batch in text_slices(batches, "t", TRIGRAM_BYTES):
             ids, sizes = trigrams(texts_of(batch, "t"))
             own = np.array([place[x] for x in batch.column("l").to_pylist()], np.int64)
             at, n = np.unique(np.repeat(own, sizes) * BUCKETS + ids, return_counts=True)
@@ -72,8 +75,9 @@ def score_text(df: DataFrame, text: str, table: np.ndarray, to: str = "text_scor
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         weights = shared.value
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, TRIGRAM_BYTES):
             texts = texts_of(batch, text)
             ids, sizes = trigrams(texts)
             ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from .common import give_back, materialize, scratched, tasks_for, text_slices
+from .common import give_back, kept_by_worker, let_go, materialize, scratched, tasks_for, text_slices
 from .words import WordIds
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
 #: Buckets of a hashed document vector, and dimensions and bits of each of its projection.
 BUCKETS, DIMS, BITS = 1 << 10, 3, 16
+#: Pieces of words that the library gets at once: it takes some hundred bytes for each meanwhile.
+PIECES = 1 << 13
 
 
 #: Byte-level models see each byte as a character: printable ones as themselves, the others from 256 on, in order.
@@ -78,7 +80,8 @@ class Encoder:
                     continue
             number[i] = 0
             odd.append(i)
-        ids = np.array(self.pieces.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.int32)
+        parts = [np.array(self.pieces.encode_batch_fast([" ".join(pieces[k : k + PIECES])], add_special_tokens=False)[0].ids, np.int32) for k in range(0, len(pieces), PIECES)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         each = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
         if len(each) != len(pieces):  # a byte that the file doesn't know
             lists = [[t.id for t in self.pieces.model.tokenize(x)] for x in pieces]
@@ -96,14 +99,17 @@ class Encoder:
         return out, lens
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def _loaded(tokenizer_file: str) -> tuple[Encoder, bool, list[tuple[str, bool]]]:
     """Of a tokenizer file, once in each worker: its encoder, whether it's of the kind BY_WORDS, and its added tokens, and which are special."""
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = json.load(f)
     own = {"normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"], "model": {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}}
     by_words = own == BY_WORDS and not any(spec.get(k) for k in ("truncation", "padding"))
-    return Encoder(Tokenizer.from_file(tokenizer_file)), by_words, [(t["content"], t["special"]) for t in spec["added_tokens"]]
+    loaded = Encoder(Tokenizer.from_file(tokenizer_file)), by_words, [(t["content"], t["special"]) for t in spec["added_tokens"]]
+    del spec, own
+    give_back()
+    return loaded
 
 
 class TextIds:
@@ -237,7 +243,8 @@ def pack(tokens: DataFrame, length: int = 4096, id: str = "doc_id", parts: int =
     kind = tokens.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _packed(batches, length, TaskContext.get().partitionId()):
+        let_go()  # no tokenizer here, nor in what comes after
+        for rows in _packed(text_slices(batches, "ids"), length, TaskContext.get().partitionId()):
             doc, start, ids, total, number, at = zip(*rows, strict=True) if rows else ((),) * 6
             longs = [pa.array(x, pa.int64()) for x in (start, [len(x) for x in ids], total, number, at)]
             yield pa.RecordBatch.from_arrays([pa.array(doc, batch_type), *longs, pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])

@@ -71,7 +71,9 @@ class WordIds(dict):
         lens = self.lens[numbers]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[numbers] - ends + lens, lens) + np.arange(total)], lens
+        at = np.repeat(self.starts[numbers] - ends + lens, lens)
+        at += np.arange(total)
+        return self.flat[at], lens
 
     def of_texts(self, texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, in a row, and each text's count of ids."""
