@@ -41,6 +41,9 @@ def _ranks(rank_file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: Words that are encoded at a time: their ids are Python numbers meanwhile.
+PIECES = 1 << 14
+
 #: White space but a blank: words may hold some, since they're parted by six ASCII characters alone.
 ODD_SPACE = re.compile(r"[^\S ]")
 
@@ -56,6 +59,9 @@ class Subwords:
         self.bytes[list(ranks.values())] = list(map(len, ranks))
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(words) > PIECES:
+            ids, lens = zip(*(self(words[k : k + PIECES]) for k in range(0, len(words), PIECES)), strict=True)
+            return np.concatenate(ids), np.concatenate(lens)
         text = " " + " ".join(words)
         if not ODD_SPACE.search(text):
             ids = np.array(self.encode(text), np.int32)
@@ -120,6 +126,7 @@ def blocks(rows: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 [*(x.split()[0] for x in BLOCK_SCHEMA.split(", ")), "ids"],
             )
             serial += 1
+            del words, numbers, counts, often, order, rank, train, hashes, flat, lens, raw, there  # before the next block's
 
     return rows.mapInArrow(run, f"{BLOCK_SCHEMA}, ids array<{kind}>")
 

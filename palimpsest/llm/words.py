@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words that a task keeps.
-MOST_WORDS = 600_000
+#: Distinct words that a task keeps. Words that become Python strings at a time: a call takes memory of its own for each.
+MOST_WORDS, STRINGS = 600_000, 1 << 13
 
 
 def distinct_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -19,8 +19,10 @@ def distinct_words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray,
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()
-    found, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    del texts, lists
+    parts = (coded.dictionary.slice(k, STRINGS) for k in range(0, len(coded.dictionary), STRINGS))
+    found, numbers = [w for part in parts for w in part.to_numpy(zero_copy_only=False).tolist()], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if "" in found:  # before a leading and after a trailing gap
         real = numbers != found.index("")
         counts = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(counts)])])

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -122,6 +123,41 @@ def test_steep_weights_do_not_overflow():
     assert not any(np.isnan(x).any() for x in model.score(samples[:, :-1], samples[:, 1:]))
 
 
+def fit_input(windows):
+    draw = np.random.default_rng(9)
+    samples = draw.integers(0, DENSE, (windows, LENGTH + 1)).astype(np.uint16)
+    classes, prior, _ = attention.counted(draw.integers(0, 4, (DENSE, DENSE)).astype(float), np.arange(DENSE) % 2 == 0)
+    return samples, classes, prior.astype(np.float32)
+
+
+def test_a_batch_is_fitted_within_the_cache():
+    samples, classes, prior = fit_input(256)
+    tracemalloc.start()
+    try:
+        attention.fit(samples, classes, prior, attention.begun())
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("part", [7, 128])
+def test_parts_of_a_batch_add_up(monkeypatch, part):
+    given = fit_input(300)
+    want = attention.fit(*given, attention.begun())
+    monkeypatch.setattr(attention, "PART", part)
+    got = attention.fit(*given, attention.begun())
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+
+
+@pytest.mark.parametrize("skip", [0, LENGTH - attention.STRIDE])
+def test_scores_do_not_depend_on_how_many_at_once(skip):
+    model, _ = toy_model()
+    ids, then = np.random.default_rng(10).integers(0, DENSE, (2, 75, LENGTH))
+    alone = [np.concatenate(x) for x in zip(*(model.score(ids[i : i + 1], then[i : i + 1], skip) for i in range(75)), strict=True)]
+    for at_once in (10, attention.PART, 75, 256):
+        assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(model.score(ids, then, skip, at_once), alone, strict=True))
+
+
 @pytest.mark.parametrize("block", [8 << 20, 300])
 def test_scores_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(scoring, "BLOCK_BYTES", block)
